@@ -88,7 +88,7 @@ def spans_of(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs of words as code points [start, end) of the original text."""
     if not runs:
         return []
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.lower())]
     points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     return [(int(points[at[i][0]]), int(points[at[j - 1][1]])) for i, j in runs]
 
