@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,12 +56,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Removes the files of a table made by ``staged`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of tables made by ``staged`` that nothing reads any more, and lets Spark drop the shuffles behind them."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {os.path.dirname(x) for x in df.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()  # the context cleaner acts on what the collector finds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,10 +7,11 @@ an earlier class (by document id, document, line number) has a Jaccard similarit
 num / den or more with it; of a class, only the first line can stay.
 
 Candidates share a word of their prefixes in that order and pass the length filter, the
-positional filter and a bitmap filter: two sets can't differ in more bits than in words.
+positional filter, a bitmap filter (parities of words by bit can't differ in more bits than
+the sets differ in words) and a count of common prefix words.
 The similarity of what remains is verified on the words themselves. Most copies are found
-early: each class is first compared with the earliest class that shares one of
-``SIGNATURES`` min-hashes, and only classes that this doesn't remove look through the prefixes of all
+early: each class is first compared with the earliest class that shares one of three
+signatures, and only classes that this doesn't remove look through the prefixes of all
 earlier classes, so a large group of near copies isn't compared pair by pair.
 
 Native DataFrame expressions throughout.
@@ -24,24 +25,19 @@ other columns pass through untouched.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lookup_join, staged
+from quarry.llm.common import forget, lookup_join, staged
 
 #: Jaccard similarity, as a fraction, from which a later line is removed.
 NUM, DEN = 80, 100
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
-SIGNATURES = 3
 #: Keys that may be broadcast to pick rows.
 PICK_ROWS = 200_000
 
-#: Fixed 63-bit masks; xor with one gives an order of hashes.
-_MASKS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
-
 
 def words_of(line: Column) -> Column:
     """The distinct words of a line, in order of appearance."""
@@ -63,45 +59,38 @@ def word_order(docs: DataFrame, text: str) -> Column:
     return F.from_json(F.lit(json.dumps(sizes)), "array<bigint>")
 
 
-def _order_key(size_of: Column) -> Callable[[Column], Column]:
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        size = F.get(size_of, h.bitwiseAND(BUCKETS - 1).cast("int"))
-        return F.shiftleft(size, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    return key
-
-
 def classes_of(docs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
-    """A row per class of lines with equal word sets: cid, at (its first line), n, prefix, b0, b1, sigs."""
+    """A row per class of lines with equal word sets: cid, at (its first line), n, prefix, bits, sigs."""
     size_of = word_order(docs, text)
-    l = lines_of(docs, key, text).withColumn("keys", F.sort_array(F.transform(words_of(F.col("line")), _order_key(size_of)))).drop("line").where(F.size("keys") > 0)
-    n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), n - F.ceil(n * num / F.lit(den)).cast("int") + 1)
-    bits = [F.aggregate("keys", F.lit(0).cast("long"), (lambda s: lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, s).bitwiseAND(63).cast("int"))))(s)) for s in (0, 6)]
-    sigs = F.array(*(F.array_min(F.transform("keys", (lambda m: lambda x: x.bitwiseXOR(F.lit(m)).bitwiseAND(F.lit((1 << 57) - 1)))(m))) for m in _MASKS[:SIGNATURES]))
-    l = l.select("did", "doc", "pos", F.xxhash64("keys").alias("cid"), n.alias("n"), prefix.alias("prefix"), bits[0].alias("b0"), bits[1].alias("b1"), sigs.alias("sigs"))
-    return l.groupBy("cid").agg(F.min(F.struct("did", "doc", "pos")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("sigs").alias("sigs"))
-
-def _near(n1: str, n2: str, bits: list[tuple[str, str]], num: int, den: int) -> Column:
-    """Length filter and bitmap filter: at least num / den of the union is shared."""
-    a, b = F.col(n1), F.col(n2)
-    ok = (den * a >= num * b) & (den * b >= num * a)
-    for x, y in bits:
-        # differing words <= (den - num) / (den + num) of both sizes together
-        ok &= F.bit_count(F.col(x).bitwiseXOR(F.col(y))) * (den + num) <= (den - num) * (a + b)
-    return ok
+    rank = lambda h: F.shiftleft(F.get(size_of, h.bitwiseAND(BUCKETS - 1).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).cast("int")))
+    l = lines_of(docs, key, text).withColumn("h", F.sort_array(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))).drop("line").where(F.size("h") > 0)
+    n = F.size("h")
+    l = l.select("did", "doc", "pos", "h", n.alias("n"), F.sort_array(F.transform("h", rank)).alias("keys"), F.aggregate("h", F.lit(0).cast("long"), flip).alias("bits"))
+    prefix = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
+    # the least and the greatest hash are min-hashes of two orders; the most frequent words make a third signature
+    sigs = F.array(F.element_at("h", 1), F.element_at("h", -1), F.xxhash64(F.slice("keys", F.greatest(F.col("n") - 7, F.lit(1)), F.lit(8))))
+    l = l.select("did", "doc", "pos", F.xxhash64("h").alias("cid"), "n", prefix.alias("prefix"), "bits", sigs.alias("sigs"))
+    return l.groupBy("cid").agg(F.min(F.struct("did", "doc", "pos")).alias("at"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "sigs")))
+
+
+def _near(num: int, den: int) -> Column:
+    """Length filter and bitmap filter on (n, bits) and (nx, bitsx)."""
+    a, b = F.col("n"), F.col("nx")
+    # differing words <= (den - num) / (den + num) of both sizes together
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bitsx"))) * (den + num) <= (den - num) * (a + b)
+    return (den * a >= num * b) & (den * b >= num * a) & apart
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
-    """The distinct ``later`` classes of ``pairs`` (later, earlier, at, at2) whose words are similar enough."""
-    ids = pairs.select(F.col("later").alias("cid"), "at").union(pairs.select(F.col("earlier").alias("cid"), F.col("at2").alias("at"))).dropDuplicates(["cid"])
+    """The distinct ``later`` classes of ``pairs`` (later, earlier, at, atx) whose words are similar enough."""
+    ids = pairs.select(F.col("later").alias("cid"), "at").union(pairs.select(F.col("earlier").alias("cid"), F.col("atx").alias("at"))).dropDuplicates(["cid"])
     need = staged(ids.select("cid", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos")), "need")
     small = need.count() <= PICK_ROWS
     own = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text"))
     line = F.get(F.split(F.col("text"), "\n", -1), F.col("pos"))
-    words = own.join(F.broadcast(need) if small else need, "doc").select("cid", words_of(line).alias("w")).dropDuplicates(["cid"])
-    words = staged(words, "words")
+    picked = own.join(F.broadcast(need) if small else need, "doc").select("cid", line.alias("line"))
+    words = staged(picked.select("cid", words_of(F.col("line")).alias("w")), "words")
     p = pairs.select("later", "earlier").join(words.select(F.col("cid").alias("later"), F.col("w").alias("w1")), "later").join(words.select(F.col("cid").alias("earlier"), F.col("w").alias("w2")), "earlier")
     shared = F.size(F.array_intersect("w1", "w2"))
     return p.where(shared * den >= num * (F.size("w1") + F.size("w2") - shared)).select(F.col("later").alias("cid")).distinct()
@@ -109,24 +98,33 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, num: int, d
 
 def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, num: int, den: int) -> DataFrame:
     """cid of each class that an earlier one is similar to."""
-    bits = [("b0", "b0x"), ("b1", "b1x")]
-    # first by min-hash, against the earliest class of each
-    g = classes.select("cid", "at", "n", "b0", "b1", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig")).drop("j", "sig")
-    heads = g.groupBy("key").agg(F.min(F.struct("at", "cid", "n", "b0", "b1")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    heads = heads.select("key", F.col("h.at").alias("at2"), F.col("h.cid").alias("earlier"), F.col("h.n").alias("nx"), F.col("h.b0").alias("b0x"), F.col("h.b1").alias("b1x"))
-    first = lookup_join(g, heads, "key", F.col("cid"), salts=8).where((F.col("earlier") != F.col("cid")) & _near("n", "nx", bits, num, den))
-    first = staged(first.select(F.col("cid").alias("later"), "earlier", "at", "at2").dropDuplicates(["later", "earlier"]), "pairs")
+    # first by signature, against the earliest class of each
+    g = classes.select("cid", "at", "n", "bits", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig")).drop("j", "sig")
+    heads = g.groupBy("key").agg(F.min(F.struct("at", "cid", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = heads.select("key", F.col("h.at").alias("atx"), F.col("h.cid").alias("earlier"), F.col("h.n").alias("nx"), F.col("h.bits").alias("bitsx"))
+    first = lookup_join(g, heads, "key", F.col("cid"), salts=8).where((F.col("earlier") != F.col("cid")) & _near(num, den))
+    first = staged(first.select(F.col("cid").alias("later"), "earlier", "at", "atx").dropDuplicates(["later", "earlier"]), "pairs")
     done = staged(verified(docs, first, key, text, num, den).withColumn("done", F.lit(True)), "removed")
+    forget(first)
 
-    # then the rest by prefixes, against all earlier classes
-    x = lookup_join(classes.select("cid", "at", "n", "b0", "b1", "prefix"), done, "cid", F.col("n"), salts=1)
-    x = x.select("cid", "at", "n", "b0", "b1", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("p", "word"))
+    # then the rest by prefixes, against all other classes
+    x = lookup_join(classes.select("cid", "n", "bits", "prefix"), done, "cid", F.col("n"), salts=1)
+    x = x.select("cid", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("p", "word"))
     x = x.repartition("word")
-    r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "at", "n", "b0", "b1", "p")))
-    most = F.least(F.col("n") - F.col("p"), F.col("nx") - F.col("px"))
-    ok = (F.col("atx") < F.col("at")) & _near("n", "nx", bits, num, den) & (most * (num + den) >= num * (F.col("n") + F.col("nx")))
-    rest = x.where("NOT done").join(r, "word").where(ok).select(F.col("cid").alias("later"), F.col("cidx").alias("earlier"), "at", F.col("atx").alias("at2"))
-    rest = staged(rest.dropDuplicates(["later", "earlier"]), "pairs")
+    r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "n", "bits", "p")))
+    both = F.col("n") + F.col("nx")
+    ok = (F.col("cid") != F.col("cidx")) & _near(num, den)
+    rest = x.where("NOT done").join(r, "word").where(ok).groupBy(F.col("cid").alias("later"), F.col("cidx").alias("earlier"), "n", "nx").agg(F.count(F.lit(1)).alias("common"), F.min("p").alias("first"), F.min("px").alias("firstx"))
+    # no common word comes before the first one, in either
+    most = F.least(F.col("n") - F.col("first"), F.col("nx") - F.col("firstx"))
+    rest = staged(rest.where(most * (num + den) >= num * both), "pairs")
+    # of the two prefixes, the one that ends first has all its common words in the other
+    ends = classes.select("cid", "at", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
+    rest = rest.join(ends.select(F.col("cid").alias("later"), "at", "p", "end"), "later").join(ends.select(F.col("cid").alias("earlier"), F.col("at").alias("atx"), F.col("p").alias("px"), F.col("end").alias("endx")), "earlier")
+    ends_first = F.col("end") <= F.col("endx")
+    missing = F.when(ends_first, F.col("p")).otherwise(F.col("px")) - F.col("common")
+    enough = missing <= F.when(ends_first, F.col("n")).otherwise(F.col("nx")) - F.ceil(num * both / F.lit(num + den))
+    rest = staged(rest.where((F.col("atx") < F.col("at")) & enough).select("later", "earlier", "at", "atx"), "pairs")
     return staged(done.select("cid").union(verified(docs, rest, key, text, num, den)), "removed")
 
 
@@ -137,18 +135,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     """
     classes = staged(classes_of(docs, key, text, num, den), "classes")
     gone = removed_classes(docs, classes, key, text, num, den).withColumn("gone", F.lit(True))
-    c = lookup_join(classes.select("cid", "at"), gone, "cid", F.col("at.pos"), salts=1)
     # what stays of each document: its lines that are the first of a class that stays
-    first = c.where("gone IS NULL").select(F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
-    kept = first.groupBy("doc").agg(F.collect_list("pos").alias("kept"))
-    d = docs.withColumn("__quarry_doc", F.xxhash64(F.col(key), F.col(text)))
-    d = d.join(kept.withColumnRenamed("doc", "__quarry_doc").withColumnRenamed("kept", "__quarry_kept"), "__quarry_doc", "left")
+    first = lookup_join(classes.select("cid", "at"), gone, "cid", F.col("at.pos"), salts=1).where("gone IS NULL")
+    kept = staged(first.groupBy(F.col("at.doc").alias("__quarry_doc")).agg(F.collect_list("at.pos").alias("__quarry_kept")), "kept")
+    forget(classes, gone)
+    d = docs.withColumn("__quarry_doc", F.xxhash64(F.col(key), F.col(text))).join(kept, "__quarry_doc", "left")
     all_lines = F.split(F.col(text), "\n", -1)
     wordless = F.filter(F.transform(all_lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
     places = F.sort_array(F.concat(F.coalesce("__quarry_kept", F.array().cast("array<int>")), wordless))
-    left = F.transform(places, lambda i: F.get(all_lines, i))
     new = "__quarry_left"
-    d = d.withColumn(new, left)
+    d = d.withColumn(new, F.transform(places, lambda i: F.get(all_lines, i)))
     out = [F.array_join(F.col(new), "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         out += [F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(all_lines) - F.size(new), F.lit(0)).cast("long").alias("n_removed")]

@@ -8,8 +8,10 @@ order, rare first. The order is cut into ``FRAGMENTS`` fragments of about equal
 1. Equal sets (by two 64-bit sums) become one class.
 2. Classes that share a min-hash are paired with one class of that min-hash, and the pairs
    that pass the join's own test are linked; this only shortens step 3.
-3. Every pair that a prefix of the global order brings together, that passes length and
-   positional filters, and whose classes aren't yet in one component, is tested.
+3. Every pair that a prefix of the global order brings together, that passes length,
+   positional and count filters, and whose classes aren't yet in one component, is tested.
+   The count filter: of two sets, the one whose prefix ends first in the global order has
+   all common tokens of that prefix in the other's, so too few of them rule the pair out.
 4. The test: each class's set is cut at the fragments, the overlap of a pair is counted for
    each fragment by itself, and the counts are summed per pair.
 5. Components come from alternating large-star and small-star rounds.
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lookup_join, ship, staged
+from quarry.llm.common import forget, lookup_join, ship, staged
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -127,9 +129,10 @@ class Order:
         self.fragment[by] = cut
 
     def keys(self, h: np.ndarray) -> np.ndarray:
-        """The hashes re-coded so that their own order is the global one."""
+        """The hashes re-coded as signed integers whose own order is the global one, ascending."""
         low = np.uint64(64 - BUCKET_BITS)
-        return np.sort((self.rank[(h >> low).astype(np.int64)] << low) | (h & np.uint64((1 << (64 - BUCKET_BITS)) - 1)))
+        keys = (self.rank[(h >> low).astype(np.int64)] << low) | (h & np.uint64((1 << (64 - BUCKET_BITS)) - 1))
+        return np.sort((keys ^ np.uint64(1 << 63)).view(np.int64))
 
     def cut(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         f = self.fragment[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -172,7 +175,7 @@ def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
                     continue
                 sigs = (h[None, :] * _SEEDS[:, None] ^ (h[None, :] >> np.uint64(31))).min(1) if len(h) < 4096 else np.array([(h * s ^ (h >> np.uint64(31))).min() for s in _SEEDS])
                 p = len(h) - -(-num * len(h) // den) + 1
-                out.append((len(h), *set_sums(h), sigs.view(np.int64), o.keys(h)[:p].view(np.int64)))
+                out.append((len(h), *set_sums(h), sigs.view(np.int64), o.keys(h)[:p]))
             made = pd.DataFrame(out, columns=["n", "cid", "chk", "sigs", "prefix"])
             yield pd.concat([b[["doc_id", "row_key"]].reset_index(drop=True), made], axis=1)
 
@@ -202,14 +205,16 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: in
                 out += [(cid, k, part.view(np.int64)) for k, part in o.cut(h)]
             yield pd.DataFrame(out, columns=["cid", "fragment", "tokens"])
 
-    parts = pick(docs, keys).select("t").mapInPandas(cut, "cid long, fragment int, tokens array<long>").dropDuplicates(["cid", "fragment"])
+    parts = pick(docs, keys).select("t").mapInPandas(cut, "cid long, fragment int, tokens array<long>")
     parts = staged(parts, "fragments")
     left = parts.select(F.col("cid").alias("a"), "fragment", F.col("tokens").alias("ta"))
     right = parts.select(F.col("cid").alias("b"), "fragment", F.col("tokens").alias("tb"))
     return (
         pairs.join(left, "a")
         .join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+        .select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+        .groupBy("a", "b", "na", "nb", "fragment")
+        .agg(F.max("shared").alias("shared"))  # a text that is there twice, id and all, gives its fragments twice
         .groupBy("a", "b", "na", "nb")
         .agg(F.sum("shared").alias("shared"))
     )
@@ -255,7 +260,9 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "t")
     d = staged(describe(texts, order, n, num, den), "documents")
     c = d.where("n > 0").groupBy("cid", "chk").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("prefix").alias("prefix"))
-    c = staged(c, "classes")
+    c, whole = staged(c, "classes"), d
+    d = staged(d.select("doc_id", "n", "cid"), "documents")
+    forget(whole)
 
     # step 2
     g = c.select("cid", "n", "sigs", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig"))
@@ -265,6 +272,7 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     g = g.where((same >= AGREE) & _long_enough(F.col("n"), F.col("hn"), num, den))
     pairs = staged(g.select(F.least("cid", "hid").alias("a"), F.greatest("cid", "hid").alias("b"), F.when(F.col("cid") < F.col("hid"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("cid") < F.col("hid"), F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct(), "pairs")
     early = staged(components(linked(overlaps(docs, pairs, c, order, n), num, den)), "components")
+    forget(pairs)
 
     # step 3
     x = lookup_join(c.select("cid", "n", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
@@ -272,12 +280,24 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     several = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     y = staged(x.join(several, "token", "left_semi"), "prefixes")
     l, r = (y.select("token", *(F.col(k).alias(k + s) for k in ("cid", "comp", "n", "pos"))) for s in "12")
-    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(F.col("n1"), F.col("n2"), num, den) & (most * (num + den) >= num * (F.col("n1") + F.col("n2")))
-    found = l.join(r, "token").where(ok).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")).distinct()
+    both = F.col("n1") + F.col("n2")
+    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(F.col("n1"), F.col("n2"), num, den)
+    found = l.join(r, "token").where(ok).groupBy("cid1", "cid2", "n1", "n2", "comp1", "comp2").agg(F.count(F.lit(1)).alias("common"), F.min("pos1").alias("first1"), F.min("pos2").alias("first2"))
+    # no common token comes before the first one, in either
+    most = F.least(F.col("n1") - F.col("first1"), F.col("n2") - F.col("first2"))
+    found = found.where(most * (num + den) >= num * both)
+    ends = c.select("cid", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
     found = staged(found, "pairs")
+    for s in "12":
+        found = found.join(ends.select(*(F.col(k).alias(k + s) for k in ("cid", "p", "end"))), f"cid{s}")
+    need = F.ceil(num * both / F.lit(num + den))
+    first = F.col("end1") <= F.col("end2")
+    missing = F.when(first, F.col("p1")).otherwise(F.col("p2")) - F.col("common")
+    found = found.where(missing <= F.when(first, F.col("n1")).otherwise(F.col("n2")) - need)
+    found = staged(found.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")), "pairs")
     late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
+    forget(found, y)
 
     # names: the least document id of each component
     m = lookup_join(c.select("cid", "first_id", "copies"), early.select(F.col("node").alias("cid"), F.col("component").alias("comp")), "cid", F.col("copies"), salts=1)
