@@ -63,8 +63,13 @@ def forget(*tables: DataFrame) -> None:
         for f in {os.path.dirname(x) for x in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs: the context cleaner acts on what the collectors find."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()  # the context cleaner acts on what the collector finds
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

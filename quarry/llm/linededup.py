@@ -29,7 +29,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import forget, lookup_join, staged
+from quarry.llm.common import forget, lookup_join, release, staged
 
 #: Jaccard similarity, as a fraction, from which a later line is removed.
 NUM, DEN = 80, 100
@@ -118,6 +118,7 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     # no common word comes before the first one, in either
     most = F.least(F.col("n") - F.col("first"), F.col("nx") - F.col("firstx"))
     rest = staged(rest.where(most * (num + den) >= num * both), "pairs")
+    release(docs.sparkSession)
     # of the two prefixes, the one that ends first has all its common words in the other
     ends = classes.select("cid", "at", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
     rest = rest.join(ends.select(F.col("cid").alias("later"), "at", "p", "end"), "later").join(ends.select(F.col("cid").alias("earlier"), F.col("at").alias("atx"), F.col("p").alias("px"), F.col("end").alias("endx")), "earlier")
@@ -134,6 +135,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     With ``counts``, the columns n_lines and n_removed are added.
     """
     classes = staged(classes_of(docs, key, text, num, den), "classes")
+    release(docs.sparkSession)
     gone = removed_classes(docs, classes, key, text, num, den).withColumn("gone", F.lit(True))
     # what stays of each document: its lines that are the first of a class that stays
     first = lookup_join(classes.select("cid", "at"), gone, "cid", F.col("at.pos"), salts=1).where("gone IS NULL")

@@ -35,9 +35,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import forget, lookup_join, ship, staged
+from quarry.llm.common import forget, lookup_join, release, ship, staged
 
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 FRAGMENTS = 8
 #: Min-hashes of a set, and how many of them two classes must share to be paired in step 2.
@@ -134,10 +134,11 @@ class Order:
         keys = (self.rank[(h >> low).astype(np.int64)] << low) | (h & np.uint64((1 << (64 - BUCKET_BITS)) - 1))
         return np.sort((keys ^ np.uint64(1 << 63)).view(np.int64))
 
-    def cut(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def cut(self, h: np.ndarray) -> list[np.ndarray]:
+        """The hashes of each fragment."""
         f = self.fragment[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        for k in np.unique(f).tolist():
-            yield k, h[f == k]
+        by = np.argsort(f, kind="stable")
+        return np.split(h[by], np.searchsorted(f[by], np.arange(1, FRAGMENTS)))
 
 
 def set_sums(h: np.ndarray) -> tuple[int, int]:
@@ -201,23 +202,15 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: in
         for b in batches:
             out = []
             for h in shingle_sets([bytes(t) for t in b["t"]], n):
-                cid = set_sums(h)[0]
-                out += [(cid, k, part.view(np.int64)) for k, part in o.cut(h)]
-            yield pd.DataFrame(out, columns=["cid", "fragment", "tokens"])
-
-    parts = pick(docs, keys).select("t").mapInPandas(cut, "cid long, fragment int, tokens array<long>")
-    parts = staged(parts, "fragments")
-    left = parts.select(F.col("cid").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = parts.select(F.col("cid").alias("b"), "fragment", F.col("tokens").alias("tb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
-        .groupBy("a", "b", "na", "nb", "fragment")
-        .agg(F.max("shared").alias("shared"))  # a text that is there twice, id and all, gives its fragments twice
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("shared").alias("shared"))
-    )
+                out.append((set_sums(h)[0], [part.view(np.int64) for part in o.cut(h)]))
+            yield pd.DataFrame(out, columns=["cid", "fragments"])
+
+    parts = staged(pick(docs, keys).select("t").mapInPandas(cut, "cid long, fragments array<array<long>>"), "fragments")
+    left = parts.select(F.col("cid").alias("a"), F.col("fragments").alias("fa"))
+    right = parts.select(F.col("cid").alias("b"), F.col("fragments").alias("fb"))
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+    shared = F.aggregate(partial, F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", shared.alias("shared"))
 
 
 def linked(o: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,19 +274,15 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     y = staged(x.join(several, "token", "left_semi"), "prefixes")
     l, r = (y.select("token", *(F.col(k).alias(k + s) for k in ("cid", "comp", "n", "pos"))) for s in "12")
     both = F.col("n1") + F.col("n2")
-    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(F.col("n1"), F.col("n2"), num, den)
-    found = l.join(r, "token").where(ok).groupBy("cid1", "cid2", "n1", "n2", "comp1", "comp2").agg(F.count(F.lit(1)).alias("common"), F.min("pos1").alias("first1"), F.min("pos2").alias("first2"))
-    # no common token comes before the first one, in either
-    most = F.least(F.col("n1") - F.col("first1"), F.col("n2") - F.col("first2"))
-    found = found.where(most * (num + den) >= num * both)
-    ends = c.select("cid", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
-    found = staged(found, "pairs")
+    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(F.col("n1"), F.col("n2"), num, den) & (most * (num + den) >= num * both)
+    found = staged(l.join(r, "token").where(ok).select("cid1", "cid2", "n1", "n2", "comp1", "comp2").distinct(), "pairs")
+    release(spark)
     for s in "12":
-        found = found.join(ends.select(*(F.col(k).alias(k + s) for k in ("cid", "p", "end"))), f"cid{s}")
-    need = F.ceil(num * both / F.lit(num + den))
-    first = F.col("end1") <= F.col("end2")
-    missing = F.when(first, F.col("p1")).otherwise(F.col("p2")) - F.col("common")
-    found = found.where(missing <= F.when(first, F.col("n1")).otherwise(F.col("n2")) - need)
+        found = found.join(c.select(*(F.col(k).alias(k + s) for k in ("cid", "prefix"))), f"cid{s}")
+    first = F.element_at("prefix1", -1) <= F.element_at("prefix2", -1)
+    missing = F.size(F.when(first, F.col("prefix1")).otherwise(F.col("prefix2"))) - F.size(F.array_intersect("prefix1", "prefix2"))
+    found = found.where(missing <= F.when(first, F.col("n1")).otherwise(F.col("n2")) - F.ceil(num * both / F.lit(num + den)))
     found = staged(found.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")), "pairs")
     late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
