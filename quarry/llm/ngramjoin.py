@@ -217,12 +217,17 @@ def linked(o: DataFrame, num: int, den: int) -> DataFrame:
     return o.where(den * F.col("shared") >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def _with_roots(e: DataFrame) -> DataFrame:
+    """node, component from edges (u, v) that are stars: the centres belong to themselves."""
+    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (a, b), by large-star and small-star rounds."""
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
+        return _with_roots(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -234,10 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
         s = lookup_join(e, low, "u", F.col("v"))
         s = s.select(F.col("v").alias("u"), F.col("m").alias("v")).union(s.select("u", F.col("m").alias("v")))
         e = staged(s.where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+        # done when every node has one edge, to a node that has none to a smaller one
+        fan = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if fan.where("n > 1").isEmpty() and e.join(fan.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return _with_roots(e)
 
 
 def _long_enough(a: Column, b: Column, num: int, den: int) -> Column:
