@@ -39,9 +39,26 @@ BUCKETS = 1 << BUCKET_BITS
 PICK_ROWS = 200_000
 
 
+def _pieces(text: Column) -> Column:
+    """Lower-cased words of a text, with empty ones between neighbouring spaces.
+
+    Cutting at one literal space spares most texts the regular expression.
+    """
+    rare = F.contains(text, F.lit("\t"))
+    for c in "\x0b\f\r":
+        rare |= F.contains(text, F.lit(c))
+    return F.split(F.lower(F.when(rare, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)), " ")
+
+
 def words_of(line: Column) -> Column:
     """The distinct words of a line, in order of appearance."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"\s+")), "")
+    return F.array_remove(F.array_distinct(_pieces(line)), "")
+
+
+def hashes_of(line: Column) -> Column:
+    """The hashes of a line's distinct words; they are made distinct as numbers, not as strings."""
+    h = F.array_distinct(F.transform(_pieces(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(h, F.xxhash64(F.lit("")))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,7 +68,7 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def word_order(docs: DataFrame, text: str) -> Column:
     """A literal array of the size class of each bucket of words."""
-    w = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("w"))
+    w = docs.select(F.explode(_pieces(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     counts = w.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count().collect()
     sizes = [0] * BUCKETS
     for r in counts:
@@ -64,14 +81,15 @@ def classes_of(docs: DataFrame, key: str, text: str, num: int, den: int) -> Data
     size_of = word_order(docs, text)
     rank = lambda h: F.shiftleft(F.get(size_of, h.bitwiseAND(BUCKETS - 1).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).cast("int")))
-    l = lines_of(docs, key, text).withColumn("h", F.sort_array(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))).drop("line").where(F.size("h") > 0)
+    l = lines_of(docs, key, text).withColumn("h", hashes_of(F.col("line"))).drop("line")
     n = F.size("h")
     l = l.select("did", "doc", "pos", "h", n.alias("n"), F.sort_array(F.transform("h", rank)).alias("keys"), F.aggregate("h", F.lit(0).cast("long"), flip).alias("bits"))
     prefix = F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
     # the least and the greatest hash are min-hashes of two orders; the most frequent words make a third signature
-    sigs = F.array(F.element_at("h", 1), F.element_at("h", -1), F.xxhash64(F.slice("keys", F.greatest(F.col("n") - 7, F.lit(1)), F.lit(8))))
-    l = l.select("did", "doc", "pos", F.xxhash64("h").alias("cid"), "n", prefix.alias("prefix"), "bits", sigs.alias("sigs"))
-    return l.groupBy("cid").agg(F.min(F.struct("did", "doc", "pos")).alias("at"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "sigs")))
+    sigs = F.array(F.array_min("h"), F.array_max("h"), F.xxhash64(F.slice("keys", F.greatest(F.col("n") - 7, F.lit(1)), F.lit(8))))
+    l = l.select("did", "doc", "pos", F.xxhash64("keys").alias("cid"), "n", prefix.alias("prefix"), "bits", sigs.alias("sigs"))
+    c = l.groupBy("cid").agg(F.min(F.struct("did", "doc", "pos")).alias("at"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "sigs")))
+    return c.where("n > 0")  # only here: a filter on the words themselves would have them made twice
 
 
 def _near(num: int, den: int) -> Column:
@@ -108,7 +126,7 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     forget(first)
 
     # then the rest by prefixes, against all other classes
-    x = lookup_join(classes.select("cid", "n", "bits", "prefix"), done, "cid", F.col("n"), salts=1)
+    x = lookup_join(classes.select("cid", "n", "bits", "prefix"), done, "cid", F.col("n"), salts=1, max_rows=PICK_ROWS)
     x = x.select("cid", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("p", "word"))
     x = x.repartition("word")
     r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "n", "bits", "p")))
