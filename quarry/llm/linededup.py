@@ -8,7 +8,7 @@ num / den or more with it; of a class, only the first line can stay.
 
 Candidates share a word of their prefixes in that order and pass the length filter, the
 positional filter, a bitmap filter (parities of words by bit can't differ in more bits than
-the sets differ in words) and a count of common prefix words.
+the sets differ in words) and, once the pairs are distinct, a count of common prefix words.
 The similarity of what remains is verified on the words themselves. Most copies are found
 early: each class is first compared with the earliest class that shares one of three
 signatures, and only classes that this doesn't remove look through the prefixes of all
@@ -129,21 +129,26 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     x = lookup_join(classes.select("cid", "n", "bits", "prefix"), done, "cid", F.col("n"), salts=1, max_rows=PICK_ROWS)
     x = x.select("cid", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("p", "word"))
     x = x.repartition("word")
-    r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "n", "bits", "p")))
+    r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "n", "bits", "p", "done")))
     both = F.col("n") + F.col("nx")
-    ok = (F.col("cid") != F.col("cidx")) & _near(num, den)
-    rest = x.where("NOT done").join(r, "word").where(ok).groupBy(F.col("cid").alias("later"), F.col("cidx").alias("earlier"), "n", "nx").agg(F.count(F.lit(1)).alias("common"), F.min("p").alias("first"), F.min("px").alias("firstx"))
-    # no common word comes before the first one, in either
-    most = F.least(F.col("n") - F.col("first"), F.col("nx") - F.col("firstx"))
-    rest = staged(rest.where(most * (num + den) >= num * both), "pairs")
+    # within a pair, some common word has no more words before it than either set can miss
+    most = F.least(F.col("n") - F.col("p"), F.col("nx") - F.col("px"))
+    ok = F.when(F.col("donex"), F.col("cid") != F.col("cidx")).otherwise(F.col("cid") < F.col("cidx")) & _near(num, den) & (most * (num + den) >= num * both)
+    rest = x.where("NOT done").join(r, "word").where(ok).select(F.col("cid").alias("a"), F.col("cidx").alias("b"), "n", "nx", "donex").distinct()
+    rest = staged(rest, "pairs")
     release(docs.sparkSession)
     # of the two prefixes, the one that ends first has all its common words in the other
-    ends = classes.select("cid", "at", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("end"))
-    rest = rest.join(ends.select(F.col("cid").alias("later"), "at", "p", "end"), "later").join(ends.select(F.col("cid").alias("earlier"), F.col("at").alias("atx"), F.col("p").alias("px"), F.col("end").alias("endx")), "earlier")
-    ends_first = F.col("end") <= F.col("endx")
-    missing = F.when(ends_first, F.col("p")).otherwise(F.col("px")) - F.col("common")
+    ends = classes.select("cid", "at", "prefix")
+    found = rest.join(ends.select(F.col("cid").alias("a"), "at", "prefix"), "a").join(ends.select(F.col("cid").alias("b"), F.col("at").alias("atx"), F.col("prefix").alias("prefixx")), "b")
+    ends_first = F.element_at("prefix", -1) <= F.element_at("prefixx", -1)
+    missing = F.size(F.when(ends_first, F.col("prefix")).otherwise(F.col("prefixx"))) - F.size(F.array_intersect("prefix", "prefixx"))
     enough = missing <= F.when(ends_first, F.col("n")).otherwise(F.col("nx")) - F.ceil(num * both / F.lit(num + den))
-    rest = staged(rest.where((F.col("atx") < F.col("at")) & enough).select("later", "earlier", "at", "atx"), "pairs")
+    found = found.where(enough & (~F.col("donex") | (F.col("atx") < F.col("at"))))
+    swap = F.col("at") < F.col("atx")
+    either = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))
+    found = staged(found.select(either("b", "a").alias("later"), either("a", "b").alias("earlier"), either("atx", "at").alias("at"), either("at", "atx").alias("atx")), "pairs")
+    forget(rest)
+    rest = found
     return staged(done.select("cid").union(verified(docs, rest, key, text, num, den)), "removed")
 
 
