@@ -89,7 +89,8 @@ def classes_of(docs: DataFrame, key: str, text: str, num: int, den: int) -> Data
     sigs = F.array(F.array_min("h"), F.array_max("h"), F.xxhash64(F.slice("keys", F.greatest(F.col("n") - 7, F.lit(1)), F.lit(8))))
     l = l.select("did", "doc", "pos", F.xxhash64("keys").alias("cid"), "n", prefix.alias("prefix"), "bits", sigs.alias("sigs"))
     c = l.groupBy("cid").agg(F.min(F.struct("did", "doc", "pos")).alias("at"), *(F.first(x).alias(x) for x in ("n", "prefix", "bits", "sigs")))
-    return c.where("n > 0")  # only here: a filter on the words themselves would have them made twice
+    # only here: a filter on the words themselves would have them made twice; once staged, the short ids are fixed
+    return c.where("n > 0").withColumn("cid", F.monotonically_increasing_id())
 
 
 def _near(num: int, den: int) -> Column:
@@ -120,7 +121,8 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     g = classes.select("cid", "at", "n", "bits", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig")).drop("j", "sig")
     heads = g.groupBy("key").agg(F.min(F.struct("at", "cid", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
     heads = heads.select("key", F.col("h.at").alias("atx"), F.col("h.cid").alias("earlier"), F.col("h.n").alias("nx"), F.col("h.bits").alias("bitsx"))
-    first = lookup_join(g, heads, "key", F.col("cid"), salts=8).where((F.col("earlier") != F.col("cid")) & _near(num, den))
+    # a signature that very many classes share is split by the adaptive skew join; salting would repeat every head
+    first = lookup_join(g, heads, "key", F.col("cid"), salts=1).where((F.col("earlier") != F.col("cid")) & _near(num, den))
     first = staged(first.select(F.col("cid").alias("later"), "earlier", "at", "atx").dropDuplicates(["later", "earlier"]), "pairs")
     done = staged(verified(docs, first, key, text, num, den).withColumn("done", F.lit(True)), "removed")
     forget(first)
@@ -128,13 +130,16 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     # then the rest by prefixes, against all other classes
     x = lookup_join(classes.select("cid", "n", "bits", "prefix"), done, "cid", F.col("n"), salts=1, max_rows=PICK_ROWS)
     x = x.select("cid", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("p", "word"))
-    x = x.repartition("word")
+    # 31 bits of a word's hash are enough to find candidates; both sides of the join read this one shuffle
+    x = x.withColumn("word", F.col("word").bitwiseAND(0x7FFFFFFF).cast("int")).repartition("word")
     r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "n", "bits", "p", "done")))
     both = F.col("n") + F.col("nx")
     # within a pair, some common word has no more words before it than either set can miss
     most = F.least(F.col("n") - F.col("p"), F.col("nx") - F.col("px"))
-    ok = F.when(F.col("donex"), F.col("cid") != F.col("cidx")).otherwise(F.col("cid") < F.col("cidx")) & _near(num, den) & (most * (num + den) >= num * both)
-    rest = x.where("NOT done").join(r, "word").where(ok).select(F.col("cid").alias("a"), F.col("cidx").alias("b"), "n", "nx", "donex").distinct()
+    # "done" is tested with the other side's columns, so that it isn't pushed below the shuffle, which then would differ
+    new = F.when(F.col("done"), F.lit(False)).when(F.col("donex"), F.col("cid") != F.col("cidx")).otherwise(F.col("cid") < F.col("cidx"))
+    ok = new & _near(num, den) & (most * (num + den) >= num * both)
+    rest = x.join(r, "word").where(ok).select(F.col("cid").alias("a"), F.col("cidx").alias("b"), "n", "nx", "donex").distinct()
     rest = staged(rest, "pairs")
     release(docs.sparkSession)
     # of the two prefixes, the one that ends first has all its common words in the other
