@@ -549,3 +549,109 @@ def sliding_counts(s, d):
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM a) SELECT user_id, session, count(*) AS n, min(ts) AS start FROM b GROUP BY ALL""")
 def session_counts(s, d):
     return S.sessions(_t(s, d, "events"), "ts", 86400, "user_id")
+
+
+# ---- text records: terms, satellites, sentences, questions, entities
+
+# Gazetteer terms by category.
+TERMS = {
+    "instruments": ("vhrr", "ccd", "liss", "altika", "scatterometer", "radiometer", "imager", "sounder", "payload", "sensor"),
+    "applications": ("disaster", "cyclone", "drought", "flood", "tsunami", "climate", "weather", "monsoon", "forecast", "monitoring"),
+}
+# Patterns of satellite names.
+SATELLITES = (r"insat[- ]?[0-9]+[a-z]?", r"kalpana[- ]?[0-9]*", r"megha[- ]?tropiques", r"oceansat[- ]?[0-9]*", r"cartosat[- ]?[0-9]*[a-z]?", r"risat[- ]?[0-9]*[a-z]?")
+
+_SQL_TERMS = ", ".join(f"('{c}', '{w}')" for c, ws in TERMS.items() for w in ws)
+
+
+@query(f"SELECT doc_id, category, term FROM documents, (VALUES {_SQL_TERMS}) g(category, term) WHERE contains(lower(text), term)")
+def technical_terms(s, d):
+    hit = lambda c, w: F.when(F.lower("text").contains(w), F.struct(F.lit(c).alias("category"), F.lit(w).alias("term")))
+    found = F.filter(F.array(*(hit(c, w) for c, ws in TERMS.items() for w in ws)), lambda x: x.isNotNull())
+    return _t(s, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.category", "x.term")
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '({'|'.join(SATELLITES)})')) AS name FROM documents")
+def satellite_names(s, d):
+    names = F.regexp_extract_all(F.lower("text"), F.lit(f"({'|'.join(SATELLITES)})"), F.lit(0))
+    return _t(s, d, "documents").select("doc_id", F.explode(names).alias("name"))
+
+
+_SENT = r"list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+def _sentences() -> F.Column:
+    marked = F.regexp_replace("text", r"([.!?])[ \t\r\n]+", "$1\x01")
+    return F.filter(F.split(marked, "\x01"), lambda x: x != "")
+
+
+@query(f"WITH t AS (SELECT doc_id, {_SENT} AS l FROM documents) SELECT doc_id, (i - 1) AS pos, md5(l[i]) AS digest FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)")
+def sentences(s, d):
+    x = _t(s, d, "documents").select("doc_id", F.posexplode(_sentences()).alias("pos", "sentence"))
+    return x.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("sentence").cast("binary")).alias("digest"))
+
+
+@query(f"WITH t AS (SELECT doc_id, text, {_SENT} AS l FROM documents) SELECT doc_id, md5(CASE WHEN len(l) <= 3 THEN text ELSE substr(l[1] || ' ' || l[-1], 1, 150) END) AS digest FROM t")
+def extractive_summary(s, d):
+    l = _sentences()
+    short = F.substring(F.concat_ws(" ", F.element_at(l, 1), F.element_at(l, -1)), 1, 150)
+    return _t(s, d, "documents").select("doc_id", F.md5(F.when(F.size(l) <= 3, F.col("text")).otherwise(short).cast("binary")).alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, len({_SENT}) AS n_sentences, len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')) AS n_words, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS n_syllables FROM documents)
+SELECT doc_id, n_sentences, n_words, n_syllables, round(206.835 - 1.015 * n_words / greatest(n_sentences, 1) - 84.6 * n_syllables / greatest(n_words, 1), 4) AS flesch FROM t""")
+def readability(s, d):
+    words = F.size(F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != ""))
+    t = _t(s, d, "documents").select("doc_id", F.size(_sentences()).cast("long").alias("n_sentences"), words.cast("long").alias("n_words"), F.regexp_count("text", F.lit("[aeiouyAEIOUY]+")).cast("long").alias("n_syllables"))
+    flesch = F.lit(206.835) - 1.015 * F.col("n_words") / F.greatest("n_sentences", F.lit(1)) - 84.6 * F.col("n_syllables") / F.greatest("n_words", F.lit(1))
+    return t.withColumn("flesch", F.round(flesch, 4))
+
+
+def qa_pairs(s, d):
+    """Turns of a user with the assistant's next turn, as question and answer."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = _t(s, d, "conversations").withColumn("answer", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
+    return c.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("question"), F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
+query("""SELECT conv_id, turn, md5(text) AS question, md5(answer) AS answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")(qa_pairs)
+
+
+_PROPS = """props AS (SELECT 's' || s_suppkey AS s, 'nation' AS p, s_nationkey::VARCHAR AS o FROM supplier UNION ALL SELECT 's' || s_suppkey, 'band', CAST(floor(s_acctbal / 1000) AS BIGINT)::VARCHAR FROM supplier)"""
+
+
+def _props(s: SparkSession, d: str) -> DataFrame:
+    t = _t(s, d, "supplier").withColumn("s", F.concat(F.lit("s"), F.col("s_suppkey")))
+    both = F.array(F.struct(F.lit("nation").alias("p"), F.col("s_nationkey").cast("string").alias("o")), F.struct(F.lit("band").alias("p"), F.floor(F.col("s_acctbal") / 1000).cast("string").alias("o")))
+    return t.select("s", F.explode(both).alias("x")).select("s", "x.p", "x.o")
+
+
+@query(f"WITH {_PROPS} SELECT b.s AS id, count(DISTINCT a.p) / 10.0::DOUBLE AS similarity FROM props a JOIN props b ON a.p = b.p AND a.o = b.o WHERE a.s = 's1' AND b.s <> 's1' GROUP BY b.s")
+def similar_shared_properties(s, d):
+    p = _props(s, d)
+    own = p.where("s = 's1'").select("p", "o")
+    return p.where("s <> 's1'").join(own, ["p", "o"]).groupBy(F.col("s").alias("id")).agg((F.countDistinct("p") / 10.0).alias("similarity"))
+
+
+# The super type of each node type of the tables.
+SUPER_TYPES = {"region": "spatial_entity", "nation": "spatial_entity", "supplier": "organization", "customer": "organization", "part": "physical_object"}
+
+
+@query(f"WITH {_NODES} SELECT id, super FROM nodes JOIN (VALUES {', '.join(str(x) for x in SUPER_TYPES.items())}) h(type, super) USING (type)")
+def subsumption(s, d):
+    h = s.createDataFrame(list(SUPER_TYPES.items()), "type string, super string")
+    return G.nodes(s, d).join(F.broadcast(h), "type").select("id", "super")
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, start, name, kind) of each capitalised word."""
+    words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{3,}|[^A-Z]+|[A-Z]"), F.lit(0))
+    return _t(s, d, "documents").select("doc_id", F.posexplode(words).alias("pos", "name")).where(F.col("name").rlike("^[A-Z][a-z]{3,}$"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}|[^A-Z]+|[A-Z]')) AS name FROM documents)
+SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS n_docs, round(least(1.0, 0.8 + CASE WHEN count(*) > 1 THEN least(0.1 * count(*), 0.2) ELSE 0 END), 4)::DOUBLE AS confidence FROM m WHERE regexp_matches(name, '^[A-Z][a-z]{3,}$') GROUP BY name""")
+def entity_candidates(s, d):
+    n = F.count(F.lit(1))
+    conf = F.least(F.lit(1.0), F.lit(0.8) + F.when(n > 1, F.least(n * 0.1, F.lit(0.2))).otherwise(0.0))
+    return _mentions(s, d).groupBy("name").agg(n.alias("mentions"), F.countDistinct("doc_id").alias("n_docs"), F.round(conf, 4).alias("confidence"))
