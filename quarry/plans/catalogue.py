@@ -599,7 +599,7 @@ def extractive_summary(s, d):
 
 
 @query(f"""WITH t AS (SELECT doc_id, len({_SENT}) AS n_sentences, len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')) AS n_words, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS n_syllables FROM documents)
-SELECT doc_id, n_sentences, n_words, n_syllables, round(206.835 - 1.015 * n_words / greatest(n_sentences, 1) - 84.6 * n_syllables / greatest(n_words, 1), 4) AS flesch FROM t""")
+SELECT doc_id, n_sentences, n_words, n_syllables, round(206.835::DOUBLE - 1.015::DOUBLE * n_words / greatest(n_sentences, 1) - 84.6::DOUBLE * n_syllables / greatest(n_words, 1), 4) AS flesch FROM t""")
 def readability(s, d):
     words = F.size(F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != ""))
     t = _t(s, d, "documents").select("doc_id", F.size(_sentences()).cast("long").alias("n_sentences"), words.cast("long").alias("n_words"), F.regexp_count("text", F.lit("[aeiouyAEIOUY]+")).cast("long").alias("n_syllables"))
@@ -655,3 +655,70 @@ def entity_candidates(s, d):
     n = F.count(F.lit(1))
     conf = F.least(F.lit(1.0), F.lit(0.8) + F.when(n > 1, F.least(n * 0.1, F.lit(0.2))).otherwise(0.0))
     return _mentions(s, d).groupBy("name").agg(n.alias("mentions"), F.countDistinct("doc_id").alias("n_docs"), F.round(conf, 4).alias("confidence"))
+
+
+#: Mentions of a text are taken together up to this many pieces apart.
+GAP = 20
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{{3,}}|[^A-Z]+|[A-Z]') AS l FROM documents),
+m AS (SELECT doc_id, l[i] AS name, i AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t) WHERE regexp_matches(l[i], '^[A-Z][a-z]{{3,}}$'))
+SELECT a.name AS source, b.name AS target, count(*) AS n, count(DISTINCT a.doc_id) AS n_docs FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= {GAP} AND a.name <> b.name GROUP BY ALL""")
+def cooccurrence(s, d):
+    """A range join by bins: a later mention lies in the same bin of ``GAP`` pieces or the next one."""
+    m = _mentions(s, d).withColumn("bin", F.floor(F.col("pos") / GAP))
+    later = m.select("doc_id", F.col("name").alias("target"), F.col("pos").alias("at"), F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"))
+    near = m.join(later, ["doc_id", "bin"]).where((F.col("at") > F.col("pos")) & (F.col("at") - F.col("pos") <= GAP) & (F.col("name") != F.col("target")))
+    return near.groupBy(F.col("name").alias("source"), "target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+_HREF = """SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages"""
+
+
+def _hrefs(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE l AS ({_HREF}), w(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
+SELECT url, min(depth)::BIGINT AS depth FROM w GROUP BY url""")
+def crawl_reach(s, d):
+    """Breadth-first over links, three levels deep, from the first url."""
+    links, level = _hrefs(s, d), _t(s, d, "pages").agg(F.min("url").alias("url"))
+    seen = level.withColumn("depth", F.lit(0).cast("long"))
+    for depth in (1, 2, 3):
+        level = level.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        seen = seen.union(level.withColumn("depth", F.lit(depth).cast("long")))
+    return seen.groupBy("url").agg(F.min("depth").alias("depth"))
+
+
+# Extensions a crawl skips.
+SKIPPED = ("pdf", "jpg", "jpeg", "png", "gif", "zip", "doc", "docx", "exe")
+
+
+@query(f"WITH l AS ({_HREF}) SELECT DISTINCT dst AS url FROM l WHERE NOT EXISTS (SELECT 1 FROM pages WHERE url = dst) AND NOT regexp_matches(lower(dst), '[.]({'|'.join(SKIPPED)})$')")
+def crawl_frontier(s, d):
+    links = _hrefs(s, d).where(~F.lower("dst").rlike(f"[.]({'|'.join(SKIPPED)})$"))
+    return links.join(_t(s, d, "pages").select(F.col("url").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("url")).distinct()
+
+
+@query(r"""SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title_length, len(regexp_extract_all(html, '<h[1-6]')) AS n_headings, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs,
+len(regexp_extract_all(html, '<img[ >]')) AS n_images, len(regexp_extract_all(html, '<table[ >]')) AS n_tables, len(regexp_extract_all(html, '<form[ >]')) AS n_forms, len(regexp_extract_all(html, '<li[ >]')) AS n_items FROM pages""")
+def page_structure(s, d):
+    n = {"n_headings": "<h[1-6]", "n_paragraphs": "<p[ >]", "n_images": "<img[ >]", "n_tables": "<table[ >]", "n_forms": "<form[ >]", "n_items": "<li[ >]"}
+    title = F.length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).cast("long")
+    return _t(s, d, "pages").select("page_id", title.alias("title_length"), *(F.regexp_count("html", F.lit(p)).cast("long").alias(c) for c, p in n.items()))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description,
+regexp_extract(html, '<meta name="keywords" content="([^"]*)"', 1) AS keywords, regexp_extract(html, '<meta name="author" content="([^"]*)"', 1) AS author FROM pages""")
+def page_metadata(s, d):
+    meta = (F.regexp_extract("html", f'<meta name="{k}" content="([^"]*)"', 1).alias(k) for k in ("description", "keywords", "author"))
+    return _t(s, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), *meta)
+
+
+@query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'long' WHEN n_chars > 500 THEN 'medium' ELSE 'short' END AS size_class, CASE WHEN regexp_matches(lower(text), 'cyclone|flood|drought|tsunami') THEN 'Disaster' WHEN regexp_matches(lower(text), 'weather|climate|monsoon') THEN 'Weather' WHEN regexp_matches(lower(text), 'satellite|orbit|sensor') THEN 'Satellite' ELSE 'General' END AS category FROM documents")
+def categories(s, d):
+    t = F.lower("text")
+    size = F.when(F.col("n_chars") > 5000, "long").when(F.col("n_chars") > 500, "medium").otherwise("short")
+    topic = F.when(t.rlike("cyclone|flood|drought|tsunami"), "Disaster").when(t.rlike("weather|climate|monsoon"), "Weather").when(t.rlike("satellite|orbit|sensor"), "Satellite").otherwise("General")
+    return _t(s, d, "documents").select("doc_id", size.alias("size_class"), topic.alias("category"))
