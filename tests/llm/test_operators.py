@@ -207,6 +207,22 @@ def test_secrets(spark):
     assert got[0].red == "é [SECRET] x" and got[2].red == "see [SECRET] there"
 
 
+def test_secrets_of_every_alphabet(spark):
+    r = random.Random(3)
+    draw = lambda abc, n: "".join(r.choices(abc, k=n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    grouped = lambda abc, *n: "-".join(draw(abc, k) for k in n)
+    kinds = [lambda: draw(lower + digits, 40), lambda: draw(upper + digits, 40), lambda: grouped(digits + "abcdef", 8, 4, 4, 4, 12), lambda: grouped(upper + digits, 5, 5, 5, 5, 5, 5), lambda: grouped(lower + digits, 8, 8, 8, 8), lambda: grouped(lower + upper + digits, 5, 5, 5, 5, 5, 5), lambda: draw(lower + upper + digits, 40), lambda: draw(upper + "234567", 32)]
+    keys = [(k, make()) for k, make in enumerate(kinds) for _ in range(20)]
+    # ordinary text, of which most must still be rejected, and far more than keys
+    plain = ["-".join(["chapter", "the", "history", "of", "another", "little", "river"][: 5 + i % 3]) + f"-{i}" for i in range(30)] + ["item-1" + "-" * 40, "word" * 8 + "1"]
+    docs = spark.createDataFrame([(i, f"see {k} there") for i, (_, k) in enumerate(keys)] + [(1000 + i, x) for i, x in enumerate(plain)], "doc_id long, text string")
+    got = {x.doc_id: x.n for x in secrets.scan(docs).select("doc_id", F.size("secrets.all").alias("n")).collect()}
+    found = [sum(got[i] for i, (j, _) in enumerate(keys) if j == k) for k in range(len(kinds))]
+    assert min(found) >= 17, found
+    assert sum(got[1000 + i] for i in range(len(plain))) <= 6
+
+
 def labelled(spark, n=400):
     rows = [(i, edited(sentence(40), 2) if i % 3 else "!! ## " * 30, i % 3 and 1, 0) for i in range(n)]
     d = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
