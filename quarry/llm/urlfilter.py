@@ -4,7 +4,7 @@ Labelled pages (bad if of quality 0 or toxic) are counted per host. A beta-binom
 is fitted at each level by the method of moments and shrinks suffix towards all pages,
 registered domain towards its suffix, and host towards its registered domain. A page is
 blocked if the lower bound of its host's posterior bad rate reaches ``BLOCK_AT``. A host
-without labelled pages keeps no evidence of its own and is allowed.
+without labelled pages has the prior of its domain, else of its suffix, else of all pages.
 
 Native DataFrame expressions throughout. Counts are aggregated before any shuffle by host,
 and blocked hosts are joined back by broadcast under a checked size or else with a salt.
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lookup_join, lower_ascii
+from quarry.llm.common import lookup_join, lower_ascii, staged
 
 #: (verdict, host, path prefix): a rule fits the host and its subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -65,11 +65,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def _rho(groups: DataFrame, mean: Column) -> DataFrame:
-    """One row: the correlation that explains how far the groups' rates lie from ``mean``."""
+    """One row: the correlation that explains how far the rates of groups with labels lie from ``mean``."""
     v = mean * (1 - mean)
     p = F.col("bad") / F.col("n")
     over = F.sum(F.col("n") * F.pow(p - mean, 2) - v)
-    return groups.agg(F.least(F.lit(RHO_MAX), F.greatest(F.lit(RHO_MIN), F.coalesce(F.try_divide(over, F.sum((F.col("n") - 1) * v)), F.lit(RHO_MIN)))).alias("rho"))
+    return groups.where("n > 0").agg(F.least(F.lit(RHO_MAX), F.greatest(F.lit(RHO_MIN), F.coalesce(F.try_divide(over, F.sum((F.col("n") - 1) * v)), F.lit(RHO_MIN)))).alias("rho"))
 
 
 def _shrunk(groups: DataFrame, mean: str, out: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _shrunk(groups: DataFrame, mean: str, out: str) -> DataFrame:
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, block_at: float = BLOCK_AT, z: float = BOUND_Z) -> DataFrame:
-    """host, n, bad, posterior_mean, posterior_low, blocked: a row per host with labelled pages.
+    """host, n, bad, posterior_mean, posterior_low, blocked: a row per host of ``pages``.
 
     ``pages`` has page_id and host; ``labels`` has doc_id, quality, toxic, with doc_id read
     as a page id; repeated labels of a page count once, as bad if any is.
@@ -97,10 +97,14 @@ def host_reputation(pages: DataFrame, labels: DataFrame, block_at: float = BLOCK
     total = suffixes.agg((F.sum("bad") / F.sum("n")).alias("p_all"))
     s = _shrunk(suffixes.join(F.broadcast(total)), "p_all", "p_suffix").select("suffix", "p_suffix")
     d = _shrunk(domains.join(s, "suffix"), "p_suffix", "p_domain").select("domain", "p_domain")
-    h = _shrunk(hosts.join(d, "domain"), "p_domain", "posterior_mean")
+    every = hosts.select("host", "n", "bad").unionByName(pages.where("host <> ''").select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
+    every = every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    every = lookup_join(lookup_join(every, d, "domain", F.col("host")), s, "suffix", F.col("host")).join(F.broadcast(total))
+    every = staged(every.select("host", "n", "bad", F.coalesce("p_domain", "p_suffix", "p_all").alias("prior")), "hosts")
+    h = _shrunk(every, "prior", "posterior_mean")
     t = F.col("alpha") + F.col("beta")
     low = F.greatest(F.lit(0.0), F.col("posterior_mean") - z * F.sqrt(F.col("alpha") * F.col("beta") / (t * t * (t + 1))))
-    return h.select("host", "n", "bad", "posterior_mean", low.alias("posterior_low"), (low >= block_at).alias("blocked"))
+    return h.select("host", "n", "bad", "posterior_mean", low.alias("posterior_low"), F.coalesce(low >= block_at, F.lit(False)).alias("blocked"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

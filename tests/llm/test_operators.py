@@ -174,6 +174,22 @@ def test_bad_hosts_are_blocked(spark):
     assert {r.host for r in urlfilter.judge(pages, labels).where("verdict = 'block'").collect()} == {"bad.com"}
 
 
+def test_hosts_without_labels_follow_their_domain(spark):
+    hosts = [f"h{i}.{d}" for d in ("bad.com", "ok.org") for i in range(40)]
+    urls = [f"http://{h}/{i}" for h in hosts for i in range(20)]
+    new = ["http://new.bad.com/", "http://new.ok.org/", "http://new.other.com/", "http://new.elsewhere.xyz/"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("ok.org" in u), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r.host: r.verdict for r in urlfilter.judge(pages, labels, ()).collect()}
+    assert all(got[h] == ("block" if "bad.com" in h else "allow") for h in hosts)
+    assert [got[u[7:-1]] for u in new] == ["block", "allow", "block", "allow"]
+    rep = {r.host: r for r in urlfilter.host_reputation(pages.select("page_id", urlfilter.host_of(F.col("url")).alias("host")), labels).collect()}
+    assert len(rep) == 84 and (rep["new.bad.com"].n, rep["new.bad.com"].bad) == (0, 0) and rep["new.bad.com"].posterior_low > 0.99
+    assert abs(rep["new.elsewhere.xyz"].posterior_mean - 0.5) < 1e-9
+    none = urlfilter.judge(pages, labels.where("false"), ())
+    assert none.count() == len(urls + new) and none.where("verdict <> 'allow'").count() == 0
+
+
 def test_media_round_trip(docs, texts):
     for r in media.from_media(media.to_media(docs)).collect():
         data = (texts[r.doc_id] or "").encode()
