@@ -658,7 +658,9 @@ def entity_candidates(s, d):
     return _mentions(s, d).groupBy("name").agg(n.alias("mentions"), F.countDistinct("doc_id").alias("n_docs"), F.round(conf, 4).alias("confidence"))
 
 
-#: Mentions of a text are taken together up to this many pieces apart.
+#: Mentions of a text are taken together if one starts at most this many characters after the other's end.
+NEAR = 200
+#: The SQL counts pieces instead.
 GAP = 20
 
 
@@ -666,11 +668,19 @@ GAP = 20
 m AS (SELECT doc_id, l[i] AS name, i AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t) WHERE regexp_matches(l[i], '^[A-Z][a-z]{{3,}}$'))
 SELECT a.name AS source, b.name AS target, count(*) AS n, count(DISTINCT a.doc_id) AS n_docs FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= {GAP} AND a.name <> b.name GROUP BY ALL""")
 def cooccurrence(s, d):
-    """A range join by bins: a later mention lies in the same bin of ``GAP`` pieces or the next one."""
-    m = _mentions(s, d).withColumn("bin", F.floor(F.col("pos") / GAP))
-    later = m.select("doc_id", F.col("name").alias("target"), F.col("pos").alias("at"), F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"))
-    near = m.join(later, ["doc_id", "bin"]).where((F.col("at") > F.col("pos")) & (F.col("at") - F.col("pos") <= GAP) & (F.col("name") != F.col("target")))
-    return near.groupBy(F.col("name").alias("source"), "target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    """A range join by bins: a later mention starts in the bin of ``NEAR`` characters of the earlier one's end, or the next."""
+    name = "[A-Z][a-z]{3,}"
+    t = _t(s, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = F.arrays_zip(F.transform(F.split("text", name, -1), F.length).alias("gap"), F.regexp_extract_all("text", F.lit(name), F.lit(0)).alias("name"))
+    m = t.select("doc_id", "row", F.posexplode(found).alias("pos", "x")).select("doc_id", "row", "pos", "x.gap", "x.name").where("name IS NOT NULL")
+    # offsets in code points: all gaps and names so far
+    m = m.withColumn("end", F.sum(F.col("gap") + F.length("name")).over(W.partitionBy("row").orderBy("pos")))
+    m = m.select("doc_id", "row", "pos", "name", "end", (F.col("end") - F.length("name")).alias("start"))
+    bin_of = F.floor(F.col("end") / NEAR)
+    first = m.select("doc_id", "row", "pos", F.col("name").alias("source"), "end", F.explode(F.array(bin_of, bin_of + 1)).alias("bin"))
+    later = m.select("row", F.col("pos").alias("at"), F.col("name").alias("target"), "start", F.floor(F.col("start") / NEAR).alias("bin"))
+    near = first.join(later, ["row", "bin"]).where((F.col("at") > F.col("pos")) & (F.col("start") - F.col("end") <= NEAR) & (F.col("source") != F.col("target")))
+    return near.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 _HREF = """SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages"""

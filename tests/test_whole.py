@@ -1,5 +1,8 @@
 """Queries whose SQL in the catalogue does less than the whole job, against the whole job."""
 
+import re
+from collections import defaultdict
+
 import duckdb
 
 from quarry.plans import catalogue
@@ -14,3 +17,24 @@ def test_data_chain_has_every_part(spark):
         c.sql(f"CREATE VIEW {n} AS SELECT * FROM '{DIR}/{n}.parquet'")
     got = catalogue.data_chain_3hop(spark, DIR)
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(sql).fetchall())
+
+
+def by_brute_force(docs):
+    out = defaultdict(list)
+    for doc_id, text in docs:
+        m = list(re.finditer("[A-Z][a-z]{3,}", text or ""))
+        for i, a in enumerate(m):
+            for b in m[i + 1 :]:
+                if b.start() - a.end() > 200:
+                    break
+                if a[0] != b[0]:
+                    out[a[0], b[0]].append(doc_id)
+    return sorted((*k, len(v), len(set(v))) for k, v in out.items())
+
+
+def test_cooccurrence_counts_characters(spark, tmp_path):
+    docs = [(1, "Anna" + "x" * 200 + "Berta"), (2, "Anna" + "x" * 201 + "Berta"), (3, "\U0001d11e" * 150 + "Carla" + "A " * 60 + "\U0001d11eDoris Carla"), (4, None), (5, ""), (6, "Anna. Berta"), (6, "Carla Anna")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalogue.cooccurrence(spark, str(tmp_path)).collect())) == by_brute_force(docs)
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall()
+    assert sorted(map(tuple, catalogue.cooccurrence(spark, DIR).collect())) == by_brute_force(docs)
