@@ -57,10 +57,55 @@ def confidence(hits: DataFrame, by: str, score: str) -> DataFrame:
 
 
 def pairwise_distances(emb: DataFrame, block: str) -> DataFrame:
-    """Mean and deviation of cosine distances of pairs, within blocks."""
-    a, b = emb.select(block, F.col("vec_id").alias("i"), F.col("embedding").alias("u")), emb.select(block, F.col("vec_id").alias("j"), F.col("embedding").alias("v"))
-    d = a.join(b, block).where("i < j").select(block, (1 - cosine(F.col("u"), F.col("v"))).alias("d"))
-    return d.groupBy(block).agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.stddev_pop("d"), 6).alias("deviation"), F.count(F.lit(1)).alias("pairs"))
+    """Mean and deviation of cosine distances of all pairs (in the row whose block is null), and of the pairs of each block.
+
+    From moments, without making pairs: with unit vectors u, the cosines of all pairs sum to
+    half of ``|sum u|^2`` less the vectors' own, and their squares to half of
+    ``||sum u u'||^2`` less the same. Vectors that are null, zero or of another size have cosine 0.
+    """
+    kind = emb.schema[block].dataType.simpleString()
+
+    def moments(batches):
+        """Per block and size: [vectors, sum of |u|^2, sum of |u|^4, sum u, sum u u']."""
+        import numpy as np
+        import pandas as pd
+
+        kept = {}
+
+        def rows():
+            keys, values = list(kept), [v.tolist() for v in kept.values()]
+            kept.clear()
+            return pd.DataFrame({"block": pd.Series([k[0] for k in keys], dtype=object), "size": [k[1] for k in keys], "m": pd.Series(values, dtype=object)})
+
+        for batch in batches:
+            vectors = [None if x is None else np.asarray(x, np.float64) for x in batch["embedding"]]
+            sizes = np.array([0 if x is None or np.isnan(x).any() else len(x) for x in vectors])
+            blocks = batch["block"].astype(object).where(batch["block"].notna(), None)
+            for (name, size), at in pd.Series(range(len(batch))).groupby([blocks.to_numpy(), sizes], dropna=False).indices.items():
+                name = None if pd.isna(name) else name
+                u = np.stack([vectors[i] for i in at]) if size else np.zeros((len(at), 0))
+                norm = np.sqrt((u * u).sum(1, keepdims=True))
+                u = np.divide(u, norm, out=np.zeros_like(u), where=norm > 0)
+                own = (u * u).sum(1)
+                m = np.concatenate(([len(at), own.sum(), (own * own).sum()], u.sum(0), (u.T @ u).ravel()))
+                key = (name, int(size))
+                kept[key] = kept[key] + m if key in kept else m
+            if len(kept) > 256:  # so many blocks don't fill the memory
+                yield rows()
+        yield rows()
+
+    part = emb.select(F.col(block).cast("string").alias("block"), "embedding").mapInPandas(moments, "block string, size int, m array<double>")
+    both = F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("block")), F.struct(F.lit(False).alias("whole"), F.col("block").alias("block")))
+    part = part.select(F.explode(both).alias("b"), "size", "m").select("b.whole", "b.block", "size", F.posexplode("m").alias("pos", "v"))
+    part = part.where("whole OR block IS NOT NULL").groupBy("whole", "block", "size", "pos").agg(F.sum("v").alias("v"))
+    at = lambda i: F.sum(F.when(F.col("pos") == i, F.col("v")).otherwise(0.0))
+    is_sum = (F.col("pos") >= 3) & (F.col("pos") < 3 + F.col("size"))
+    square = lambda ok: F.sum(F.when(ok, F.col("v") * F.col("v")).otherwise(0.0))
+    g = part.groupBy("whole", "block").agg(at(0).alias("n"), ((square(is_sum) - at(1)) / 2).alias("c1"), ((square(F.col("pos") >= 3 + F.col("size")) - at(2)) / 2).alias("c2"))
+    g = g.withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2).where("pairs > 0")
+    c = F.col("c1") / F.col("pairs")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("c2") / F.col("pairs") - c * c))
+    return g.select(F.col("block").cast(kind).alias(block), F.round(1 - c, 6).alias("mean"), F.round(deviation, 6).alias("deviation"), F.col("pairs").cast("long").alias("pairs"))
 
 
 def kmeans(emb: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

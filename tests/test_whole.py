@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 
+from quarry.operators import vector
 from quarry.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -38,3 +39,20 @@ def test_cooccurrence_counts_characters(spark, tmp_path):
     assert sorted(map(tuple, catalogue.cooccurrence(spark, str(tmp_path)).collect())) == by_brute_force(docs)
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall()
     assert sorted(map(tuple, catalogue.cooccurrence(spark, DIR).collect())) == by_brute_force(docs)
+
+
+def test_pairwise_distances_cover_all_pairs(spark):
+    d = "1 - coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)"
+    sql = f"SELECT {{0}} AS label, round(avg({d}), 6), round(stddev_pop({d}), 6), count(*) FROM '{DIR}/embeddings.parquet' a JOIN '{DIR}/embeddings.parquet' b ON a.vec_id < b.vec_id {{1}} GROUP BY 1"
+    want = duckdb.sql(sql.format("NULL", "")).fetchall() + duckdb.sql(sql.format("a.label", "AND a.label = b.label")).fetchall()
+    got = [tuple(r) for r in catalogue.pairwise_distance_stats(spark, DIR).collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_pairwise_distances_of_zero_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, None, None), (4, [0.0, 1.0, 0.0], 3)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    # of ten pairs only (0, 2) has a cosine, of 1
+    assert sorted(map(tuple, vector.pairwise_distances(e, "label").collect()), key=str) == [(1, 1.0, 0.0, 1), (None, 0.9, 0.3, 10)]
+    assert vector.pairwise_distances(e.where("vec_id = 0"), "label").count() == 0
