@@ -693,13 +693,33 @@ def _hrefs(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE l AS ({_HREF}), w(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
 SELECT url, min(depth)::BIGINT AS depth FROM w GROUP BY url""")
 def crawl_reach(s, d):
-    """Breadth-first over links, three levels deep, from the first url."""
-    links, level = _hrefs(s, d), _t(s, d, "pages").agg(F.min("url").alias("url"))
-    seen = level.withColumn("depth", F.lit(0).cast("long"))
-    for depth in (1, 2, 3):
-        level = level.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        seen = seen.union(level.withColumn("depth", F.lit(depth).cast("long")))
-    return seen.groupBy("url").agg(F.min("depth").alias("depth"))
+    """Breadth-first over links, resolved against their page's url, from the first url until no level has a new one."""
+    if not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir("/tmp/checkpoints/quarry")
+
+    def resolved(batches):
+        from urllib.parse import urljoin
+
+        def join(src, dst):
+            try:
+                return urljoin(src, dst)
+            except ValueError:  # no url
+                return dst
+
+        for b in batches:
+            yield b.assign(dst=[join(*x) for x in zip(b["src"], b["dst"], strict=True)])
+
+    links = _hrefs(s, d).where("src IS NOT NULL").mapInPandas(resolved, "src string, dst string").distinct().checkpoint()
+    seen = level = _t(s, d, "pages").agg(F.min("url").alias("url")).withColumn("depth", F.lit(0).cast("long")).checkpoint()
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        level = level.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        level = level.withColumn("depth", F.lit(depth).cast("long")).checkpoint()
+        seen = seen.union(level)
+        if depth % 8 == 0:
+            seen = seen.checkpoint()
+    return seen
 
 
 # Extensions a crawl skips.

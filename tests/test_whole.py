@@ -56,3 +56,12 @@ def test_pairwise_distances_of_zero_vectors(spark):
     # of ten pairs only (0, 2) has a cosine, of 1
     assert sorted(map(tuple, vector.pairwise_distances(e, "label").collect()), key=str) == [(1, 1.0, 0.0, 1), (None, 0.9, 0.3, 10)]
     assert vector.pairwise_distances(e.where("vec_id = 0"), "label").count() == 0
+
+
+def test_crawl_reaches_every_level_and_relative_links(spark, tmp_path):
+    at = "http://a.org/d/"
+    pages = [(i, f"{at}{i}", f'<a href="{(at, "", "/d/", "../d/")[i % 4]}{i + 1}"> <a href="{at}0"> <a href="http://[bad">') for i in range(10, 30)] + [(99, "http://z.org/", '<a href="more">')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {f"{at}{i}": i - 10 for i in range(10, 31)} | {f"{at}0": 1, "http://[bad": 1}
+    got = [tuple(r) for r in catalogue.crawl_reach(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and dict(got) == want
