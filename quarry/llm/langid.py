@@ -105,7 +105,7 @@ class Model:
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
         best = np.full(len(n), -np.inf)
         out, size = np.zeros_like(full), np.zeros(len(n), np.int64)
-        for m in range(1, min(k, 4) + 1):
+        for m in range(1, k + 1):
             start = np.where(rank < m, np.maximum(full, 1e-6), 0)
             pi, value = fit(start / start.sum(1, keepdims=True), ROUNDS // 2 if 1 < m < k else 0)
             value = value - (m - 1) * 0.5 * np.log(np.maximum(n, 2)) - (m - 1)

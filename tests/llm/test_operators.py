@@ -264,3 +264,16 @@ def test_language_mixture(spark, no_docs):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].score == 0
     assert set(got[902].languages.split(",")) == {"aa", "zz"} and 0.3 < got[902].score < 0.7
     assert langid.train(no_docs) is None and langid.identify(d, None).where("language.lang_pred <> 'und'").count() == 0
+
+
+def test_mixture_of_more_than_four_languages(spark):
+    alphabets = ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx")
+    mk = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(80))
+    rows = [(i, mk(alphabets[i % 6]), alphabets[i % 6]) for i in range(180)]
+    mixed = [(900 + n, " ".join(mk(a) for a in alphabets[:n]), None) for n in (4, 5, 6)]
+    d = spark.createDataFrame([*rows, *mixed], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in langid.identify(d, langid.train(d)).collect()}
+    assert all(got[i].languages == x for i, _, x in rows)
+    for n in (4, 5, 6):
+        assert set(got[900 + n].languages.split(",")) == set(alphabets[:n])
+        assert abs(got[900 + n].score - 1 / n) < 0.05
