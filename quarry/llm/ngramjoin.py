@@ -249,8 +249,11 @@ def _long_enough(a: Column, b: Column, num: int, den: int) -> Column:
     return (den * a >= num * b) & (den * b >= num * a)
 
 
-def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, n, cid; per class with company: cid, component_id). ``docs``: doc_id, t (binary), row_key."""
+def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(per document: doc_id, n, cid; per class with company: cid, component_id). ``docs``: doc_id, t (binary), row_key.
+
+    With ``rows``, documents have their row_key too, and classes top, which tells components apart whose ids repeat.
+    """
     spark = docs.sparkSession
     ship(spark)
     order = spark.sparkContext.broadcast(global_order(docs, n))
@@ -259,7 +262,7 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     d = staged(describe(texts, order, n, num, den), "documents")
     c = d.where("n > 0").groupBy("cid", "chk").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("prefix").alias("prefix"))
     c, whole = staged(c, "classes"), d
-    d = staged(d.select("doc_id", "n", "cid"), "documents")
+    d = staged(d.select("doc_id", "n", "cid", *["row_key"] * rows), "documents")
     forget(whole)
 
     # step 2
@@ -299,8 +302,8 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     m = lookup_join(m, late.select(F.col("node").alias("comp"), F.col("component").alias("top")), "comp", F.col("cid")).withColumn("top", F.coalesce("top", "comp"))
     m = staged(m.select("cid", "top", "first_id", "copies"), "members")
     names = m.groupBy("top").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1").select("top", "component_id")
-    named = lookup_join(m, names.withColumn("found", F.lit(True)), "top", F.col("cid")).where("found").select("cid", "component_id", "found")
-    return d.select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "cid"), named
+    named = lookup_join(m, names.withColumn("found", F.lit(True)), "top", F.col("cid")).where("found").select("cid", "component_id", "found", *["top"] * rows)
+    return d.select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "cid", *["row_key"] * rows), named
 
 
 def _prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,20 +319,25 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` less all but the document with the least id of each component.
+    """``docs`` less all but the row with the least id of each component.
 
-    Rows with equal ids become one, whichever comes first; rows without an id stay.
+    Decided by row (id and text): rows that share an id but not a component don't affect each
+    other, rows equal in both become one, and rows without words or without an id stay.
     """
-    c = staged(similar_components(docs, n, num, den), "components")
-    gone = staged(c.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= PICK_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    twice = staged(c.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    d, named = classes_of(_prepared(docs), n, num, den, rows=True)
+    c = lookup_join(d, named, "cid", F.col("row_key")).where("found AND n > 0 AND doc_id IS NOT NULL")
+    c = staged(c.groupBy("top", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "components")
+    first = c.groupBy("top").agg(F.min(F.struct("doc_id", "row_key")).alias("f")).select("top", F.col("f.row_key").alias("first"))
+    c = staged(lookup_join(c, first, "top", F.col("row_key")).select("row_key", "copies", (F.col("row_key") == F.col("first")).alias("stays")), "components")
+    key = "__quarry_row"
+    gone, twice = c.where("NOT stays").select(F.col("row_key").alias(key)), c.where("stays AND copies > 1").select(F.col("row_key").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= PICK_ROWS else gone, key, "left_anti")
     if twice.isEmpty():
-        return kept
-    marked = kept.join(twice.withColumn("__quarry_twice", F.lit(True)), "doc_id", "left")
+        return kept.select(*docs.columns)
+    marked = kept.join(twice.withColumn("__quarry_twice", F.lit(True)), key, "left")
     once = marked.where("__quarry_twice IS NULL").drop("__quarry_twice")
-    more = marked.where("__quarry_twice").drop("__quarry_twice").dropDuplicates(["doc_id"])
+    more = marked.where("__quarry_twice").drop("__quarry_twice").dropDuplicates([key])
     return once.unionByName(more).select(*docs.columns)
 
 

@@ -72,6 +72,15 @@ def test_one_of_each_keeps_columns_and_repeated_ids_once(docs):
     assert len(ids) == len(set(ids))
 
 
+def test_one_of_each_decides_by_row(spark):
+    a, b, c, e = (sentence(60) for _ in range(4))
+    # id 5 has a copy of id 1's text and two texts of its own; id 7 has one text twice
+    rows = [(1, a), (5, a), (5, b), (5, c), (7, e), (7, e), (8, edited(e, 1)), (9, ""), (9, ""), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngramjoin.one_of_each(d).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (5, c), (7, e), (9, ""), (9, ""), (None, a)], key=str)
+
+
 def brute_lines(texts, num=80, den=100):
     seen, out = [], []
     for t in texts:
