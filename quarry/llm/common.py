@@ -34,8 +34,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, in local mode only."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return told or "/tmp/checkpoints/quarry"
 
 
@@ -86,7 +88,7 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, salts: int = 64, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], salt_by: Column, salts: int = 64, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with a table of unique keys, whatever the skew of ``left``.
 
     ``right`` is staged and counted. Up to ``max_rows`` rows it is broadcast; beyond, it is
@@ -98,4 +100,4 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, sa
     salt = "__quarry_salt"
     l = left.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(salt_by), F.lit(salts)), F.lit(0)).cast("int"))
     r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, salt], "left").drop(salt)
+    return l.join(r, [*([key] if isinstance(key, str) else key), salt], "left").drop(salt)

@@ -5,13 +5,13 @@ Texts are lower-cased (A-Z) and cut at white space; a document's set holds its d
 all documents, and the buckets ordered by count: rank of bucket, then hash, is the global
 order, rare first. The order is cut into ``FRAGMENTS`` fragments of about equal mass.
 
-1. Equal sets (by two 64-bit sums) become one class.
+1. Equal sets (by two 64-bit sums together) become one class with a short id.
 2. Classes that share a min-hash are paired with one class of that min-hash, and the pairs
    that pass the join's own test are linked; this only shortens step 3.
 3. Every pair that a prefix of the global order brings together, that passes length,
-   positional and count filters, and whose classes aren't yet in one component, is tested.
-   The count filter: of two sets, the one whose prefix ends first in the global order has
-   all common tokens of that prefix in the other's, so too few of them rule the pair out.
+   positional and bitmap filters, and whose classes aren't yet in one component, is tested.
+   The bitmap filter: parities of the tokens by 8 bits of their hashes can't differ in more
+   places than the sets differ in tokens.
 4. The test: each class's set is cut at the fragments, the overlap of a pair is counted for
    each fragment by itself, and the counts are summed per pair.
 5. Components come from alternating large-star and small-star rounds.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import forget, lookup_join, release, ship, staged
@@ -163,8 +164,13 @@ def global_order(docs: DataFrame, n: int) -> Order:
     return Order(counts)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """256 bits: the parity of the tokens at each value of a byte of their hashes."""
+    return np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, row_key, n, cid, chk, sigs, prefix of each document."""
+    """doc_id, row_key, n, h1, h2, sigs, bits, prefix of each document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = order.value
@@ -172,21 +178,16 @@ def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
             out = []
             for h in shingle_sets([bytes(t) for t in b["t"]], n):
                 if not len(h):
-                    out.append((0, 0, 0, None, None))
+                    out.append((0, 0, 0, None, None, None))
                     continue
                 sigs = (h[None, :] * _SEEDS[:, None] ^ (h[None, :] >> np.uint64(31))).min(1) if len(h) < 4096 else np.array([(h * s ^ (h >> np.uint64(31))).min() for s in _SEEDS])
                 p = len(h) - -(-num * len(h) // den) + 1
-                out.append((len(h), *set_sums(h), sigs.view(np.int64), o.keys(h)[:p]))
-            made = pd.DataFrame(out, columns=["n", "cid", "chk", "sigs", "prefix"])
+                # 31 bits of a token are enough to find candidates
+                out.append((len(h), *set_sums(h), sigs.view(np.int64), parities(h), (o.keys(h)[:p] & 0x7FFFFFFF).astype(np.int32)))
+            made = pd.DataFrame(out, columns=["n", "h1", "h2", "sigs", "bits", "prefix"])
             yield pd.concat([b[["doc_id", "row_key"]].reset_index(drop=True), made], axis=1)
 
-    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, cid long, chk long, sigs array<long>, prefix array<long>")
-
-
-def pick(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose row_key is among ``keys`` (staged)."""
-    small = keys.count() <= PICK_ROWS
-    return docs.join(F.broadcast(keys) if small else keys, "row_key", "left_semi")
+    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, h1 long, h2 long, sigs array<long>, bits array<long>, prefix array<int>")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: int) -> DataFrame:
@@ -195,17 +196,17 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: in
     Sets are made again from the texts of one document of each class in a pair.
     """
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    keys = staged(classes.join(ids, "cid", "left_semi").select("row_key"), "keys")
+    keys = staged(classes.join(ids, "cid", "left_semi").select("row_key", "cid"), "keys")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = order.value
         for b in batches:
-            out = []
-            for h in shingle_sets([bytes(t) for t in b["t"]], n):
-                out.append((set_sums(h)[0], [part.view(np.int64) for part in o.cut(h)]))
-            yield pd.DataFrame(out, columns=["cid", "fragments"])
+            parts = [[part.view(np.int64) for part in o.cut(h)] for h in shingle_sets([bytes(t) for t in b["t"]], n)]
+            yield pd.DataFrame({"cid": b["cid"], "fragments": pd.Series(parts, index=b.index, dtype=object)})
 
-    parts = staged(pick(docs, keys).select("t").mapInPandas(cut, "cid long, fragments array<array<long>>"), "fragments")
+    picked = docs.join(F.broadcast(keys) if keys.count() <= PICK_ROWS else keys, "row_key").select("cid", "t")
+    # repeated rows of a document give its set again
+    parts = staged(picked.mapInPandas(cut, "cid long, fragments array<array<long>>"), "fragments").dropDuplicates(["cid"])
     left = parts.select(F.col("cid").alias("a"), F.col("fragments").alias("fa"))
     right = parts.select(F.col("cid").alias("b"), F.col("fragments").alias("fb"))
     partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
@@ -250,7 +251,7 @@ def _long_enough(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, n, cid; per class with company: cid, component_id). ``docs``: doc_id, t (binary), row_key.
+    """(per document: doc_id, n, h1, h2; per class with company: h1, h2, component_id). ``docs``: doc_id, t (binary), row_key.
 
     With ``rows``, documents have their row_key too, and classes top, which tells components apart whose ids repeat.
     """
@@ -260,9 +261,9 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "t")
     d = staged(describe(texts, order, n, num, den), "documents")
-    c = d.where("n > 0").groupBy("cid", "chk").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("prefix").alias("prefix"))
-    c, whole = staged(c, "classes"), d
-    d = staged(d.select("doc_id", "n", "cid", *["row_key"] * rows), "documents")
+    c = d.where("n > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), *(F.first(x).alias(x) for x in ("n", "sigs", "bits", "prefix")))
+    c, whole = staged(c.withColumn("cid", F.monotonically_increasing_id()), "classes"), d
+    d = staged(d.select("doc_id", "n", "h1", "h2", *["row_key"] * rows), "documents")
     forget(whole)
 
     # step 2
@@ -275,35 +276,34 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     early = staged(components(linked(overlaps(docs, pairs, c, order, n), num, den)), "components")
     forget(pairs)
 
-    # step 3
-    x = lookup_join(c.select("cid", "n", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
-    x = x.select("cid", "n", F.coalesce("component", "cid").alias("comp"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    several = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    y = staged(x.join(several, "token", "left_semi"), "prefixes")
-    l, r = (y.select("token", *(F.col(k).alias(k + s) for k in ("cid", "comp", "n", "pos"))) for s in "12")
-    both = F.col("n1") + F.col("n2")
-    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(F.col("n1"), F.col("n2"), num, den) & (most * (num + den) >= num * both)
-    found = staged(l.join(r, "token").where(ok).select("cid1", "cid2", "n1", "n2", "comp1", "comp2").distinct(), "pairs")
+    # step 3; both sides of the join read one shuffle
+    x = lookup_join(c.select("cid", "n", "bits", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
+    x = x.select("cid", "n", F.coalesce("component", "cid").alias("comp"), *(F.col("bits")[i].alias(f"b{i}") for i in range(4)), F.posexplode("prefix").alias("pos", "token"))
+    x = x.select("token", "cid", "comp", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("m"), *(f"b{i}" for i in range(4)))
+    # tokens of one component only can't link two
+    w = W.partitionBy("token")
+    x = x.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
+    l, r = (x.select("token", *(F.col(k).alias(k + s) for k in x.columns[1:])) for s in "12")
+    n1, n2 = (F.shiftright(f"m{s}", 32).cast("int") for s in "12")
+    pos1, pos2 = (F.col(f"m{s}").bitwiseAND(0x7FFFFFFF).cast("int") for s in "12")
+    most = F.least(n1 - pos1, n2 - pos2)
+    apart = sum((F.bit_count(F.col(f"b{i}1").bitwiseXOR(F.col(f"b{i}2"))) for i in range(4)), F.lit(0))
+    ok = (F.col("cid1") < F.col("cid2")) & (F.col("comp1") != F.col("comp2")) & _long_enough(n1, n2, num, den) & (most * (num + den) >= num * (n1 + n2)) & (apart * (den + num) <= (den - num) * (n1 + n2))
+    found = l.join(r, "token").where(ok).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), n1.cast("long").alias("na"), n2.cast("long").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")).distinct()
+    found = staged(found, "pairs")
     release(spark)
-    for s in "12":
-        found = found.join(c.select(*(F.col(k).alias(k + s) for k in ("cid", "prefix"))), f"cid{s}")
-    first = F.element_at("prefix1", -1) <= F.element_at("prefix2", -1)
-    missing = F.size(F.when(first, F.col("prefix1")).otherwise(F.col("prefix2"))) - F.size(F.array_intersect("prefix1", "prefix2"))
-    found = found.where(missing <= F.when(first, F.col("n1")).otherwise(F.col("n2")) - F.ceil(num * both / F.lit(num + den)))
-    found = staged(found.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")), "pairs")
     late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
-    forget(found, y)
+    forget(found)
 
     # names: the least document id of each component
-    m = lookup_join(c.select("cid", "first_id", "copies"), early.select(F.col("node").alias("cid"), F.col("component").alias("comp")), "cid", F.col("copies"), salts=1)
+    m = lookup_join(c.select("cid", "h1", "h2", "first_id", "copies"), early.select(F.col("node").alias("cid"), F.col("component").alias("comp")), "cid", F.col("copies"), salts=1)
     m = m.withColumn("comp", F.coalesce("comp", "cid"))
     m = lookup_join(m, late.select(F.col("node").alias("comp"), F.col("component").alias("top")), "comp", F.col("cid")).withColumn("top", F.coalesce("top", "comp"))
-    m = staged(m.select("cid", "top", "first_id", "copies"), "members")
+    m = staged(m.select("h1", "h2", "top", "first_id", "copies"), "members")
     names = m.groupBy("top").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1").select("top", "component_id")
-    named = lookup_join(m, names.withColumn("found", F.lit(True)), "top", F.col("cid")).where("found").select("cid", "component_id", "found", *["top"] * rows)
-    return d.select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "cid", *["row_key"] * rows), named
+    named = lookup_join(m, names.withColumn("found", F.lit(True)), "top", F.col("h1")).where("found").select("h1", "h2", "component_id", "found", *["top"] * rows)
+    return d.select(F.col("doc_id").cast(kind).alias("doc_id"), "n", "h1", "h2", *["row_key"] * rows), named
 
 
 def _prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,7 +313,7 @@ def _prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents with a Jaccard similarity of num / den or more are linked."""
     d, named = classes_of(_prepared(docs, key, text), n, num, den)
-    out = lookup_join(d, named, "cid", F.xxhash64("doc_id"))
+    out = lookup_join(d, named, ["h1", "h2"], F.xxhash64("doc_id"))
     alone = ~F.coalesce("found", F.lit(False)) | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -325,7 +325,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     other, rows equal in both become one, and rows without words or without an id stay.
     """
     d, named = classes_of(_prepared(docs), n, num, den, rows=True)
-    c = lookup_join(d, named, "cid", F.col("row_key")).where("found AND n > 0 AND doc_id IS NOT NULL")
+    c = lookup_join(d, named, ["h1", "h2"], F.col("row_key")).where("found AND n > 0 AND doc_id IS NOT NULL")
     c = staged(c.groupBy("top", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "components")
     first = c.groupBy("top").agg(F.min(F.struct("doc_id", "row_key")).alias("f")).select("top", F.col("f.row_key").alias("first"))
     c = staged(lookup_join(c, first, "top", F.col("row_key")).select("row_key", "copies", (F.col("row_key") == F.col("first")).alias("stays")), "components")
