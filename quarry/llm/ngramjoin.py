@@ -9,7 +9,9 @@ order, rare first. The order is cut into ``FRAGMENTS`` fragments of about equal
 2. Classes that share a min-hash are paired with one class of that min-hash, and the pairs
    that pass the join's own test are linked; this only shortens step 3.
 3. Every pair that a prefix of the global order brings together, that passes length,
-   positional and bitmap filters, and whose classes aren't yet in one component, is tested.
+   positional, bitmap and count filters, and whose classes aren't yet in one component, is
+   tested. The count filter: of two sets, the one whose prefix ends first in the global order
+   has all common tokens of that prefix in the other's, so too few of them rule the pair out.
    The bitmap filter: parities of the tokens by 8 bits of their hashes can't differ in more
    places than the sets differ in tokens.
 4. The test: each class's set is cut at the fragments, the overlap of a pair is counted for
@@ -178,16 +180,17 @@ def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
             out = []
             for h in shingle_sets([bytes(t) for t in b["t"]], n):
                 if not len(h):
-                    out.append((0, 0, 0, None, None, None))
+                    out.append((0, 0, 0, None, None, None, 0))
                     continue
                 sigs = (h[None, :] * _SEEDS[:, None] ^ (h[None, :] >> np.uint64(31))).min(1) if len(h) < 4096 else np.array([(h * s ^ (h >> np.uint64(31))).min() for s in _SEEDS])
                 p = len(h) - -(-num * len(h) // den) + 1
+                keys = o.keys(h)[:p]
                 # 31 bits of a token are enough to find candidates
-                out.append((len(h), *set_sums(h), sigs.view(np.int64), parities(h), (o.keys(h)[:p] & 0x7FFFFFFF).astype(np.int32)))
-            made = pd.DataFrame(out, columns=["n", "h1", "h2", "sigs", "bits", "prefix"])
+                out.append((len(h), *set_sums(h), sigs.view(np.int64), parities(h), (keys & 0x7FFFFFFF).astype(np.int32), int(keys[-1])))
+            made = pd.DataFrame(out, columns=["n", "h1", "h2", "sigs", "bits", "prefix", "last"])
             yield pd.concat([b[["doc_id", "row_key"]].reset_index(drop=True), made], axis=1)
 
-    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, h1 long, h2 long, sigs array<long>, bits array<long>, prefix array<int>")
+    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, h1 long, h2 long, sigs array<long>, bits array<long>, prefix array<int>, last long")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: int) -> DataFrame:
@@ -261,7 +264,7 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "t")
     d = staged(describe(texts, order, n, num, den), "documents")
-    c = d.where("n > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), *(F.first(x).alias(x) for x in ("n", "sigs", "bits", "prefix")))
+    c = d.where("n > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), *(F.first(x).alias(x) for x in ("n", "sigs", "bits", "prefix", "last")))
     c, whole = staged(c.withColumn("cid", F.monotonically_increasing_id()), "classes"), d
     d = staged(d.select("doc_id", "n", "h1", "h2", *["row_key"] * rows), "documents")
     forget(whole)
@@ -292,6 +295,13 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     found = l.join(r, "token").where(ok).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"), n1.cast("long").alias("na"), n2.cast("long").alias("nb"), F.col("comp1").alias("ca"), F.col("comp2").alias("cb")).distinct()
     found = staged(found, "pairs")
     release(spark)
+    for k in "ab":
+        found = found.join(c.select(F.col("cid").alias(k), F.col("prefix").alias(f"p{k}"), F.col("last").alias(f"l{k}")), k)
+    first = F.col("la") <= F.col("lb")
+    # tokens that share their 31 bits make one, so no more are counted as missing than are
+    missing = F.size(F.array_except(F.when(first, F.col("pa")).otherwise(F.col("pb")), F.when(first, F.col("pb")).otherwise(F.col("pa"))))
+    enough = missing <= F.when(first, F.col("na")).otherwise(F.col("nb")) - F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    found = staged(found.where(enough).select("a", "b", "na", "nb", "ca", "cb"), "pairs")
     late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
     forget(found)
