@@ -56,15 +56,27 @@ def trails(e: DataFrame, start: str, depth: int) -> DataFrame:
     return out
 
 
-def paths(e: DataFrame, start: str, end: str, longest: int = 4, limit: int = 10) -> DataFrame:
-    """Shortest node-simple paths first."""
-    t = trails(e, start, longest).where((F.col("node") == end) & (F.col("depth") > 0))
+def paths(e: DataFrame, start: str, end: str, longest: int = 5, limit: int = 10, shortest: int = 1, types: list[str] | None = None) -> DataFrame:
+    """Node-simple paths of ``shortest`` to ``longest`` steps, over relations of ``types`` if given; short ones first."""
+    t = trails(e if types is None else e.where(F.col("rel").isin(*types)), start, longest).where((F.col("node") == end) & (F.col("depth") >= shortest))
     return t.select(F.array_join("path", ">").alias("path"), F.col("depth").alias("length")).orderBy("length", "path").limit(limit)
 
 
+def traversal(e: DataFrame, n: DataFrame, start: str, depth: int = 3, types: list[str] | None = None, limit: int = 50) -> DataFrame:
+    """id, name, type, distance, path of every trail from ``start``, by distance and name; ``types`` restricts where trails may end."""
+    t = trails(e, start, depth).where("depth > 0").join(n, F.col("node") == n["id"])
+    t = t if types is None else t.where(F.col("type").isin(*types))
+    return t.select("id", "name", "type", F.col("depth").alias("distance"), F.array_join("path", ">").alias("path")).distinct().orderBy("distance", "name", "path").limit(limit)
+
+
 def within(e: DataFrame, start: str, radius: int) -> DataFrame:
-    """node, distance: nodes at most ``radius`` away."""
-    return trails(e, start, radius).groupBy("node").agg(F.min("depth").alias("distance"))
+    """node, distance: nodes at most ``radius`` away. Breadth first: each level holds only nodes not seen before, so no path is enumerated."""
+    step = both_ways(e).select("src", F.col("dst").alias("next"))
+    seen = level = e.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("distance"))
+    for d in range(1, radius + 1):
+        level = level.join(step, F.col("node") == F.col("src")).select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
+        seen = seen.unionByName(level)
+    return seen
 
 
 def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
@@ -73,14 +85,17 @@ def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def similar_by_neighbours(e: DataFrame, n: DataFrame, of: str) -> DataFrame:
-    """id, shared, similarity: Jaccard of neighbourhoods among nodes of the same type, common neighbours reached by the same relation."""
-    b = both_ways(e).distinct()
-    degree = b.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("deg"))
+    """id, shared, similarity: Jaccard of neighbourhoods among nodes of the same type, common neighbours reached by the same relation.
+
+    Only nodes of the anchor's type take part, so degrees are counted for them alone.
+    """
     kind = n.where(F.col("id") == of).select(F.col("type").alias("t"))
-    mine = b.where(F.col("src") == of).select(F.col("dst").alias("nbr"), "rel")
-    shared = b.where(F.col("src") != of).withColumnRenamed("dst", "nbr").join(mine, ["nbr", "rel"]).groupBy(F.col("src").alias("id")).agg(F.countDistinct("nbr").alias("shared"))
-    mine_deg = degree.where(F.col("id") == of).select(F.col("deg").alias("d0"))
-    s = shared.join(degree, "id").join(n.join(F.broadcast(kind), n["type"] == kind["t"], "left_semi").select("id"), "id").join(F.broadcast(mine_deg))
+    same = n.join(F.broadcast(kind), n["type"] == F.col("t")).select(F.col("id").alias("src"))
+    b = both_ways(e).join(same, "src", "left_semi").distinct()
+    mine = b.where(F.col("src") == of).select(F.col("dst").alias("dst"), "rel", F.lit(1).alias("hit"))
+    s = b.join(mine, ["dst", "rel"], "left").groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("deg"), F.countDistinct(F.when(F.col("hit") == 1, F.col("dst"))).alias("shared"))
+    d0 = b.where(F.col("src") == of).agg(F.countDistinct("dst").alias("d0"))
+    s = s.where((F.col("id") != of) & (F.col("shared") > 0)).join(F.broadcast(d0))
     return s.select("id", "shared", (F.col("shared") / (F.col("deg") + F.col("d0") - F.col("shared"))).alias("similarity"))
 
 

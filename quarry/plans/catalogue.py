@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.fixed import SATELLITES, SKIPPED_EXTENSIONS, TERMS
 from quarry.operators import graph as G
 from quarry.operators import relational as R
 from quarry.operators import vector as V
+from quarry.operators.mutation import upsert_last
 from quarry.sources.tables import load
 from quarry.streaming import windows as S
 
@@ -51,7 +53,7 @@ def _t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(f"""WITH sem AS ({_SEM}), kw AS (SELECT doc_id, text, source FROM documents WHERE text ILIKE '%the%' ORDER BY doc_id LIMIT 10),
 u AS (SELECT doc_id, text, source, round(relevance * 1.2, 6) AS score, 0 AS leg FROM sem UNION ALL SELECT doc_id, text, source, 0.8::DOUBLE, 1 FROM kw),
-k AS (SELECT *, row_number() OVER (PARTITION BY source || ':' || doc_id || ':' || substr(text, 1, 100) ORDER BY leg, score DESC, doc_id) AS rn FROM u)
+k AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source, '') || ':' || substr(coalesce(text, ''), 1, 100) ORDER BY leg, score DESC, doc_id) AS rn FROM u)
 SELECT doc_id, score, leg, substr(text, 1, 500) AS preview FROM k WHERE rn = 1 ORDER BY score DESC, leg, doc_id LIMIT 10""")
 def hybrid_search(s, d):
     return V.hybrid(_t(s, d, "documents"), _t(s, d, "embeddings"), 0, "the")
@@ -89,8 +91,10 @@ def confidence_score(s, d):
     return V.confidence(_t(s, d, "events").withColumn("value", F.col("value") / 1000), "event_type", "value")
 
 
-@query("""SELECT a.label, round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean, round(stddev_pop(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS deviation, count(*) AS pairs
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
+_PAIRS = "round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean, round(stddev_pop(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS deviation, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+
+
+@query(f"SELECT a.label, {_PAIRS} AND a.label = b.label GROUP BY a.label UNION ALL SELECT NULL, {_PAIRS}")
 def pairwise_distance_stats(s, d):
     return V.pairwise_distances(_t(s, d, "embeddings"), "label")
 
@@ -173,14 +177,18 @@ def crawl_stats(s, d):
     return p.agg(F.count(F.lit(1)).alias("visited"), F.count_if(bad).alias("failed"), F.round(F.try_divide(F.count_if(~bad), F.count(F.lit(1))), 6).alias("success_rate"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'updated' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+@query("""SELECT c_custkey, coalesce(last, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def upsert_keep_last(s, d):
+    """Customers' segments replaced by their orders' priorities, of which the last by date counts."""
     c = _t(s, d, "customer").select("c_custkey", "c_mktsegment")
-    return R.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("updated")), "c_custkey")
+    new = _t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderdate", "o_orderkey")
+    new = new.join(c.select("c_custkey"), "c_custkey", "left_semi")
+    return upsert_last(c, new, "c_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def soft_delete(s, d):
+def rows_without_children(s, d):
+    """Customers without orders, by an anti-join."""
     return _t(s, d, "customer").join(_t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -205,10 +213,10 @@ def last_n_messages(s, d):
     return R.last_n(_t(s, d, "conversations"), "conv_id", "turn", 6).select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
-@query("SELECT conv_id, string_agg('**' || role || '**: ' || substr(text, 1, 80), chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg('**' || role || '**: ' || text, chr(10) ORDER BY turn)) AS markdown FROM conversations GROUP BY conv_id")
 def export_markdown(s, d):
-    line = F.struct("turn", F.concat(F.lit("**"), F.col("role"), F.lit("**: "), F.substring("text", 1, 80)).alias("x"))
-    return _t(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["x"]), "\n").alias("markdown"))
+    line = F.struct("turn", F.concat(F.lit("**"), F.col("role"), F.lit("**: "), F.col("text")).alias("x"))
+    return _t(s, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["x"]), "\n").cast("binary")).alias("markdown"))
 
 
 # ---- graph
@@ -252,9 +260,9 @@ def domain_2hop(s, d):
     return _t(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name", "r_name")
 
 
-@query("SELECT p_name, s_name, n_name, r_name FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_partkey <= 20")
+@query("SELECT p_name, s_name, n_name, r_name FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def data_chain_3hop(s, d):
-    """Every chain part, supplier, nation, region; the SQL keeps only twenty parts."""
+    """Every chain part, supplier, nation, region."""
     l = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     c = l.join(_t(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(_t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     n = _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -270,7 +278,7 @@ def _walk(depth: int) -> str:
     return f"""{_GEO}, {_BOTH}, w AS (SELECT 's1' AS node, ['s1'] AS path, 0 AS depth UNION ALL SELECT dst, list_append(path, dst), depth + 1 FROM w JOIN both_ways ON src = node WHERE depth < {depth} AND NOT list_contains(path, dst))"""
 
 
-@query(f"WITH RECURSIVE {_walk(4)} SELECT array_to_string(path, '>') AS path, depth AS length FROM w WHERE node = 's2' AND depth > 0 ORDER BY length, path LIMIT 10")
+@query(f"WITH RECURSIVE {_walk(5)} SELECT array_to_string(path, '>') AS path, depth AS length FROM w WHERE node = 's2' AND depth > 0 ORDER BY length, path LIMIT 10")
 def find_paths(s, d):
     return G.paths(G.geo_edges(s, d), "s1", "s2")
 
@@ -446,7 +454,7 @@ def chunks_stride(s, d):
 
 
 @query("""SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha256, CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 9) || '...' ELSE p_name END AS short,
-trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-') AS slug, strftime(DATE '2024-01-31', '%Y-%m-%d') AS day FROM part""".replace("\\\\", "\\"))
+trim(substr(regexp_replace(regexp_replace(trim(lower(p_name)), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), 1, 50), '-') AS slug, strftime(DATE '2024-01-31', '%Y-%m-%d') AS day FROM part""".replace("\\\\", "\\"))
 def scalar_misc(s, d):
     n = F.col("p_name")
     return _t(s, d, "part").select("p_partkey", X.hashed(n).alias("md5"), X.hashed(n, "sha256").alias("sha256"), X.truncate(n, 12).alias("short"), X.slug(n).alias("slug"), F.date_format(F.lit("2024-01-31").cast("date"), "yyyy-MM-dd").alias("day"))
@@ -469,12 +477,6 @@ def doc_dedup(s, d):
     return t.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest")
 
 
-@query("SELECT doc_id, round(least(length(text) / 5000.0, 0.2) + CASE WHEN length(text) > 100 THEN 0.1 ELSE 0 END + CASE WHEN quality = 1 THEN 0.3 ELSE 0 END, 6) AS score FROM documents LEFT JOIN labels USING (doc_id)")
-def doc_quality(s, d):
-    t = _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left")
-    return t.select("doc_id", F.round(F.least(F.length("text") / 5000.0, F.lit(0.2)) + F.when(F.length("text") > 100, 0.1).otherwise(0.0) + F.when(F.col("quality") == 1, 0.3).otherwise(0.0), 6).alias("score"))
-
-
 # ---- pages
 
 
@@ -499,10 +501,11 @@ def url_normalise(s, d):
     return _t(s, d, "pages").select("page_id", X.strip_fragment(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '?') THEN 'query' ELSE 'general' END AS page_type FROM pages")
-def page_type(s, d):
+@query("SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '?') THEN 'query' ELSE 'general' END AS part FROM pages")
+def url_language(s, d):
+    """The part of the site that a url of these tables names."""
     u = F.col("url")
-    return _t(s, d, "pages").select("page_id", F.when(u.contains("/de/"), "german").when(u.contains("/fr/"), "french").when(u.contains("?"), "query").otherwise("general").alias("page_type"))
+    return _t(s, d, "pages").select("page_id", F.when(u.contains("/de/"), "german").when(u.contains("/fr/"), "french").when(u.contains("?"), "query").otherwise("general").alias("part"))
 
 
 @query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
@@ -554,14 +557,6 @@ def session_counts(s, d):
 
 # ---- text records: terms, satellites, sentences, questions, entities
 
-# Gazetteer terms by category.
-TERMS = {
-    "instruments": ("vhrr", "ccd", "liss", "altika", "scatterometer", "radiometer", "imager", "sounder", "payload", "sensor"),
-    "applications": ("disaster", "cyclone", "drought", "flood", "tsunami", "climate", "weather", "monsoon", "forecast", "monitoring"),
-}
-# Patterns of satellite names.
-SATELLITES = (r"insat[- ]?[0-9]+[a-z]?", r"kalpana[- ]?[0-9]*", r"megha[- ]?tropiques", r"oceansat[- ]?[0-9]*", r"cartosat[- ]?[0-9]*[a-z]?", r"risat[- ]?[0-9]*[a-z]?")
-
 _SQL_TERMS = ", ".join(f"('{c}', '{w}')" for c, ws in TERMS.items() for w in ws)
 
 
@@ -572,9 +567,9 @@ def technical_terms(s, d):
     return _t(s, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.category", "x.term")
 
 
-@query(f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '({'|'.join(SATELLITES)})')) AS name FROM documents")
+@query(f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{'|'.join(SATELLITES)}')) AS name FROM documents")
 def satellite_names(s, d):
-    names = F.regexp_extract_all(F.lower("text"), F.lit(f"({'|'.join(SATELLITES)})"), F.lit(0))
+    names = F.regexp_extract_all(F.lower("text"), F.lit("|".join(SATELLITES)), F.lit(0))
     return _t(s, d, "documents").select("doc_id", F.explode(names).alias("name"))
 
 
@@ -660,13 +655,12 @@ def entity_candidates(s, d):
 
 #: Mentions of a text are taken together if one starts at most this many characters after the other's end.
 NEAR = 200
-#: The SQL counts pieces instead.
-GAP = 20
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{{3,}}|[^A-Z]+|[A-Z]') AS l FROM documents),
-m AS (SELECT doc_id, l[i] AS name, i AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t) WHERE regexp_matches(l[i], '^[A-Z][a-z]{{3,}}$'))
-SELECT a.name AS source, b.name AS target, count(*) AS n, count(DISTINCT a.doc_id) AS n_docs FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= {GAP} AND a.name <> b.name GROUP BY ALL""")
+@query(rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[A-Z][a-z]{{3,}}|[^A-Z]+|[A-Z]') AS l FROM documents),
+p AS (SELECT r, doc_id, l, list_transform(l, lambda x: length(x)) AS n FROM t), x AS (SELECT r, doc_id, i, l[i] AS name FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)),
+s AS (SELECT *, sum(length(name)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS stop FROM x), m AS (SELECT r, doc_id, i, name, stop, stop - length(name) AS start, (stop // {NEAR}) AS bin FROM s WHERE regexp_matches(name, '^[A-Z][a-z]{{3,}}$'))
+SELECT a.name AS source, b.name AS target, count(*) AS n, count(DISTINCT a.doc_id) AS n_docs FROM m a JOIN m b ON a.r = b.r AND b.i > a.i AND b.start - a.stop <= {NEAR} AND a.name <> b.name GROUP BY ALL""")
 def cooccurrence(s, d):
     """A range join by bins: a later mention starts in the bin of ``NEAR`` characters of the earlier one's end, or the next."""
     name = "[A-Z][a-z]{3,}"
@@ -690,12 +684,18 @@ def _hrefs(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()
 
 
-@query(f"""WITH RECURSIVE l AS ({_HREF}), w(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 3)
+_RESOLVED = f"""h AS ({_HREF}), l AS (SELECT src, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN dst WHEN starts_with(dst, '//') THEN regexp_extract(src, '^[^:]*:') || dst WHEN starts_with(dst, '/') THEN regexp_extract(src, '^[^:]*://[^/?#]*') || dst WHEN starts_with(dst, '#') THEN regexp_replace(src, '#.*$', '') || dst ELSE regexp_extract(src, '^[^?#]*/') || dst END AS dst FROM h WHERE src IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_RESOLVED}, w(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN l ON src = url WHERE depth < 50)
 SELECT url, min(depth)::BIGINT AS depth FROM w GROUP BY url""")
 def crawl_reach(s, d):
     """Breadth-first over links, resolved against their page's url, from the first url until no level has a new one."""
     if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir("/tmp/checkpoints/quarry")
+        told = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.checkpoint.dir", None)
+        if not told and not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        s.sparkContext.setCheckpointDir(told or "/tmp/checkpoints/quarry")
 
     def resolved(batches):
         from urllib.parse import urljoin
@@ -722,8 +722,8 @@ def crawl_reach(s, d):
     return seen
 
 
-# Extensions a crawl skips.
-SKIPPED = ("pdf", "jpg", "jpeg", "png", "gif", "zip", "doc", "docx", "exe")
+#: Extensions a crawl skips.
+SKIPPED = tuple(x[1:] for x in SKIPPED_EXTENSIONS)
 
 
 @query(f"WITH l AS ({_HREF}) SELECT DISTINCT dst AS url FROM l WHERE NOT EXISTS (SELECT 1 FROM pages WHERE url = dst) AND NOT regexp_matches(lower(dst), '[.]({'|'.join(SKIPPED)})$')")
@@ -745,11 +745,3 @@ regexp_extract(html, '<meta name="keywords" content="([^"]*)"', 1) AS keywords,
 def page_metadata(s, d):
     meta = (F.regexp_extract("html", f'<meta name="{k}" content="([^"]*)"', 1).alias(k) for k in ("description", "keywords", "author"))
     return _t(s, d, "pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), *meta)
-
-
-@query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'long' WHEN n_chars > 500 THEN 'medium' ELSE 'short' END AS size_class, CASE WHEN regexp_matches(lower(text), 'cyclone|flood|drought|tsunami') THEN 'Disaster' WHEN regexp_matches(lower(text), 'weather|climate|monsoon') THEN 'Weather' WHEN regexp_matches(lower(text), 'satellite|orbit|sensor') THEN 'Satellite' ELSE 'General' END AS category FROM documents")
-def categories(s, d):
-    t = F.lower("text")
-    size = F.when(F.col("n_chars") > 5000, "long").when(F.col("n_chars") > 500, "medium").otherwise("short")
-    topic = F.when(t.rlike("cyclone|flood|drought|tsunami"), "Disaster").when(t.rlike("weather|climate|monsoon"), "Weather").when(t.rlike("satellite|orbit|sensor"), "Satellite").otherwise("General")
-    return _t(s, d, "documents").select("doc_id", size.alias("size_class"), topic.alias("category"))

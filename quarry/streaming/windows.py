@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.fixed import DEFAULT_LIMIT, RATE_LIMITS
+
 
 def rate_limit(events: DataFrame, client: str, ts: str, order: str, limit: int, unit: str = "hour") -> DataFrame:
     """Each request with its rank in its client's window and whether it is allowed."""
@@ -39,3 +41,62 @@ def streaming_counts(stream: DataFrame, ts: str, size: str, late: str, *keys: st
     """Tumbling counts of a stream with a watermark (the time column as TIMESTAMP)."""
     s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return tumbling(s, ts, size, *keys)
+
+
+def rate_limit_by_endpoint(requests: DataFrame, client: str, path: str, ts: str, order: str, unit: str = "minute") -> DataFrame:
+    """Each request with its rank in its client's and endpoint's window, and whether the endpoint's limit allows it."""
+    limit = F.lit(DEFAULT_LIMIT)
+    for prefix, n in reversed(RATE_LIMITS):
+        limit = F.when(F.col(path).startswith(prefix), n).otherwise(limit)
+    w = W.partitionBy(client, path, F.date_trunc(unit, ts)).orderBy(ts, order)
+    return requests.withColumn("rank", F.row_number().over(w)).withColumn("allowed", F.col("rank") <= limit)
+
+
+def live(values: DataFrame, now: DataFrame, ts: str, ttl: str) -> DataFrame:
+    """``values`` that haven't expired at ``now`` (one row); a time to live of 0 or less never ends."""
+    age = F.col("now") - F.col(ts)
+    return values.join(F.broadcast(now)).where((F.col(ttl) <= 0) | (age < F.make_dt_interval(secs=F.col(ttl).cast("decimal(18,6)")))).drop("now")
+
+
+def changed_stream(stream: DataFrame, key: str, value: str, ts: str) -> DataFrame:
+    """key, before, value of each change of ``value`` under ``key`` in a stream: the last value is kept as state.
+
+    Rows of a micro-batch are taken in order of ``ts``; the first value of a key isn't a change.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = []
+        for v in pd.concat(batches).sort_values(ts, kind="stable")[value]:
+            if last is not None and v != last:
+                rows.append((k[0], last, v))
+            last = v
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(rows, columns=[key, "before", value])
+
+    kind = stream.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, before string, {value} string"
+    return stream.select(key, value, ts).groupBy(key).applyInPandasWithState(step, out, "last string", "append", "NoTimeout")
+
+
+def feed(spark, path: str, schema: str) -> DataFrame:
+    """A stream of JSON records landed as files: conditions, forecasts and alerts."""
+    return spark.readStream.schema(schema).json(path)
+
+
+#: Records of a feed of conditions.
+CONDITIONS = "station string, at timestamp, current struct<temperature:string,humidity:string,wind:string>, forecast array<struct<day:string,high:double,low:double>>, alerts array<string>"
+
+
+def reading(c):
+    """The number in a reading such as ``31.5 °C``; null without one."""
+    return F.regexp_extract(c, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
+def conditions(stream: DataFrame) -> DataFrame:
+    """station, at, temperature, humidity, wind, alerts of a feed."""
+    return stream.select("station", "at", *(reading(F.col(f"current.{c}")).alias(c) for c in ("temperature", "humidity", "wind")), F.size("alerts").alias("alerts"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from quarry.plans import catalogue
+from quarry.plans import knowledge, processing, records, state, webpages  # noqa: F401
 from quarry.sources.tables import NAMES
 
 DIR = "/root/testdata/sf0.001"
