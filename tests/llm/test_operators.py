@@ -225,7 +225,8 @@ def test_png_filters_and_damage():
 def test_secrets(spark):
     key = "q8Zr2LxV0bT7nKdY4mWcE1sHfJ6uPgA9"
     t = ["é password: hunter22 x", f'API_KEY="{key}"', f"see {key} there", "xxxxxxxxxx1xxxxxxxxxx1xxxxxxxxxx", "AKIA" + "B7" * 8 + " " + "0123456789abcdef" * 2, "token=abc", None, "", "password: token: abcdefg"]
-    docs = spark.createDataFrame([(i, x) for i, x in enumerate(t)] + [(100 + i, "word" * 8 + "1") for i in range(30)], "doc_id long, text string")
+    # ordinary text beside runs is what they are compared with
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(t)] + [(100 + i, "word" * 8 + "1 " + sentence(400)) for i in range(30)], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", secrets.joined(F.col("secrets.base")).alias("base"), secrets.joined(F.col("secrets.all")).alias("all"), secrets.redact(F.col("text"), F.col("secrets.all")).alias("red")).collect()}
     assert [got[i].base for i in range(9)] == ["assign:2:20", f"assign:0:{9 + len(key)}", "", "", "access:0:20,hex:21:53", "", "", "", ""]
     assert got[2].all == f"rand:4:{4 + len(key)}" and got[3].all == "" and got[100].all == ""
@@ -241,7 +242,10 @@ def test_secrets_of_every_alphabet(spark):
     keys = [(k, make()) for k, make in enumerate(kinds) for _ in range(20)]
     # ordinary text, of which most must still be rejected, and far more than keys
     plain = ["-".join(["chapter", "the", "history", "of", "another", "little", "river"][: 5 + i % 3]) + f"-{i}" for i in range(30)] + ["item-1" + "-" * 40, "word" * 8 + "1"]
-    docs = spark.createDataFrame([(i, f"see {k} there") for i, (_, k) in enumerate(keys)] + [(1000 + i, x) for i, x in enumerate(plain)], "doc_id long, text string")
+    # ordinary text of the same words is what runs are compared with
+    words = ["chapter", "the", "history", "of", "another", "little", "river"]
+    prose = lambda n: " ".join(r.choices(words, k=n))
+    docs = spark.createDataFrame([(i, f"see {k} there {prose(300)} {prose(60).upper()}") for i, (_, k) in enumerate(keys)] + [(1000 + i, x) for i, x in enumerate(plain)], "doc_id long, text string")
     got = {x.doc_id: x.n for x in secrets.scan(docs).select("doc_id", F.size("secrets.all").alias("n")).collect()}
     found = [sum(got[i] for i, (j, _) in enumerate(keys) if j == k) for k in range(len(kinds))]
     assert min(found) >= 17, found
