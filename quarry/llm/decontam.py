@@ -6,9 +6,9 @@ of ``window`` consecutive words (a shorter item is one window). One scan of a no
 text finds every window; the hits are mapped back to words and to code points of the
 original text.
 
-The automaton is broadcast, so its source is measured first: items are dealt by hash into
-groups of at most about ``MAX_ITEM_BYTES`` of text, each with an automaton of its own, and a
-text is scanned once per group (one group for any usual test set).
+The automaton is broadcast and stays in each worker, so its source is measured first: items of
+over ``MAX_ITEM_BYTES`` of text in all are refused with a ValueError. Larger sets are scanned a
+part at a time, each in a call of its own; a worker keeps the automaton of one call only.
 
 Defined results: null and wordless texts have no words and are clean; items that are null
 or wordless give no window, as do items with a null id; repeated items count once by id;
@@ -17,7 +17,6 @@ with an empty item table nothing is hit. Other columns pass through untouched.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections.abc import Callable
@@ -32,7 +31,7 @@ from quarry.llm.common import ship
 
 #: Words in a window.
 WINDOW = 13
-#: Bytes of item text behind one automaton.
+#: Bytes of item text behind an automaton, whose states take some fifty times as much memory.
 MAX_ITEM_BYTES = 8 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -105,6 +104,7 @@ def _scanner(spark: SparkSession, items: list[tuple[str, bytes]], window: int) -
     def hits(texts: pd.Series) -> pd.DataFrame:
         key = (mark, window)
         if key not in _built:
+            _built.clear()
             _built[key] = automaton(told.value, window)
         a = _built[key]
         rows = []
@@ -118,30 +118,23 @@ def _scanner(spark: SparkSession, items: list[tuple[str, bytes]], window: int) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """``docs`` with a struct ``out``: n_words, n_hit, items (ids as strings, sorted), spans (of each automaton, in code points), contaminated.
+    """``docs`` with a struct ``out``: n_words, n_hit, items (ids as strings, sorted), spans (in code points), contaminated; a column of that name is replaced.
 
     A text is contaminated if any word is hit and a twentieth of its words or more are.
     """
     spark = docs.sparkSession
     ship(spark)
     b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    groups = max(1, math.ceil((b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / max_item_bytes))
-    parts = []
-    for k in range(groups):
-        rows = b.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == k).collect() if groups > 1 else b.collect()
-        parts.append(_scanner(spark, [(r["item"], bytes(r["text"])) for r in rows], window)(F.col(text).cast("binary")))
-    tmp = [f"__quarry_hits_{k}" for k in range(groups)]
-    df = docs.select("*", *(p.alias(n) for p, n in zip(parts, tmp, strict=True)))
-    first = F.col(tmp[0])
-    if groups == 1:
-        n_hit = F.aggregate(first["runs"], F.lit(0).cast("long"), lambda s, r: s + r["past"] - r["first"])
-    else:
-        runs = F.concat(*(F.col(n)["runs"] for n in tmp))
-        n_hit = F.size(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["past"] - 1))))).cast("long")
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(n)["items"] for n in tmp))))
-    spans = F.array_sort(F.array_distinct(F.concat(*(F.col(n)["spans"] for n in tmp))))
-    named = F.struct(first["n_words"].alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), spans.alias("spans"), ((n_hit > 0) & (20 * n_hit >= first["n_words"])).alias("contaminated"))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns), named.alias(out))
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_item_bytes:
+        raise ValueError(f"{size} bytes of items are over the limit of {max_item_bytes}: scan them in parts")
+    hits = _scanner(spark, [(r["item"], bytes(r["text"])) for r in b.collect()], window)
+    tmp = "__quarry_hits"
+    df = docs.withColumn(tmp, hits(F.col(text).cast("binary")))
+    h = F.col(tmp)
+    n_hit = F.aggregate(h["runs"], F.lit(0).cast("long"), lambda s, r: s + r["past"] - r["first"])
+    named = F.struct(h["n_words"].alias("n_words"), n_hit.alias("n_hit"), h["items"].alias("items"), h["spans"].alias("spans"), ((n_hit > 0) & (20 * n_hit >= h["n_words"])).alias("contaminated"))
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), named.alias(out))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

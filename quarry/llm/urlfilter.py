@@ -5,9 +5,11 @@ is fitted at each level by the method of moments and shrinks suffix towards all
 registered domain towards its suffix, and host towards its registered domain. A page is
 blocked if the lower bound of its host's posterior bad rate reaches ``BLOCK_AT``. A host
 without labelled pages has the prior of its domain, else of its suffix, else of all pages.
+A suffix is one of ``SUFFIXES`` or else the last label; a registered domain has one label more.
 
-Native DataFrame expressions throughout. Counts are aggregated before any shuffle by host,
-and blocked hosts are joined back by broadcast under a checked size or else with a salt.
+Native DataFrame expressions throughout. Counts are aggregated before any shuffle by host and
+staged once; what the three fits send to the driver is a number each. Blocked hosts are joined
+back by broadcast under a checked size or else with a salt.
 
 Defined results: null urls and urls without ``://`` have empty host and path; labels that
 are null, repeated or of unknown pages don't count twice or at all; without labels no host
@@ -25,6 +27,16 @@ from quarry.llm.common import lookup_join, lower_ascii, staged
 
 #: (verdict, host, path prefix): a rule fits the host and its subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Suffixes of more than one label under which names are registered; a cluster passes a whole list.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "nhs.uk",
+    "com.au", "net.au", "org.au", "edu.au", "gov.au", "id.au", "co.nz", "org.nz", "net.nz", "ac.nz", "govt.nz",
+    "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "go.kr", "ac.kr",
+    "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "com.tw", "org.tw", "gov.tw", "edu.tw", "com.hk", "org.hk", "gov.hk", "edu.hk",
+    "co.in", "net.in", "org.in", "gov.in", "ac.in", "edu.in", "nic.in", "res.in", "com.sg", "edu.sg", "gov.sg", "com.my", "co.id", "or.id", "go.id", "ac.id", "co.th", "or.th", "go.th", "ac.th",
+    "com.br", "net.br", "org.br", "gov.br", "edu.br", "com.ar", "gob.ar", "edu.ar", "com.mx", "gob.mx", "edu.mx", "com.co", "com.pe", "com.ve",
+    "co.za", "org.za", "gov.za", "ac.za", "com.tr", "gov.tr", "edu.tr", "co.il", "org.il", "ac.il", "gov.il", "com.ua", "com.pl", "com.ru",
+)
 #: A host is blocked if the lower bound of its bad rate is at least this.
 BLOCK_AT = 0.5
 #: Standard deviations below the posterior mean at which the bound lies.
@@ -46,13 +58,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels (the host itself if it has fewer)."""
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+def _suffix_pattern(suffixes: Sequence[str]) -> str:
+    return "(?:" + "|".join(x.replace(".", "[.]") for x in suffixes) + "|[^.]*)" if suffixes else "[^.]*"
 
 
-def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"[^.]*$", 0)
+def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix and one label more (the host itself if it has no more)."""
+    return F.regexp_extract(host, rf"(?:^|[.])([^.]+[.]{_suffix_pattern(suffixes)}|{_suffix_pattern(suffixes)})$", 1)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    return F.regexp_extract(host, rf"(?:^|[.])({_suffix_pattern(suffixes)})$", 1)
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -64,43 +80,45 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
-def _rho(groups: DataFrame, mean: Column) -> DataFrame:
-    """One row: the correlation that explains how far the rates of groups with labels lie from ``mean``."""
-    v = mean * (1 - mean)
-    p = F.col("bad") / F.col("n")
-    over = F.sum(F.col("n") * F.pow(p - mean, 2) - v)
-    return groups.where("n > 0").agg(F.least(F.lit(RHO_MAX), F.greatest(F.lit(RHO_MIN), F.coalesce(F.try_divide(over, F.sum((F.col("n") - 1) * v)), F.lit(RHO_MIN)))).alias("rho"))
+def _rho(groups: DataFrame, mean: str) -> float:
+    """The correlation that explains how far the rates of groups with labels lie from their prior means."""
+    v = F.col(mean) * (1 - F.col(mean))
+    over = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col(mean), 2) - v)
+    rho = groups.where("n > 0").agg(F.try_divide(over, F.sum((F.col("n") - 1) * v)).alias("rho")).first()["rho"]
+    return min(RHO_MAX, max(RHO_MIN, RHO_MIN if rho is None else rho))
 
 
 def _shrunk(groups: DataFrame, mean: str, out: str) -> DataFrame:
     """``groups`` with alpha and beta of the posterior under the fitted prior, and its mean as ``out``."""
-    rho = _rho(groups, F.col(mean))
-    g = groups.join(F.broadcast(rho))  # one row
-    m = 1 / F.col("rho") - 1
+    m = 1 / F.lit(_rho(groups, mean)) - 1
     a, b = F.col("bad") + m * F.col(mean), F.col("n") - F.col("bad") + m * (1 - F.col(mean))
-    return g.withColumn("alpha", a).withColumn("beta", b).withColumn(out, F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("rho")
+    return groups.withColumn("alpha", a).withColumn("beta", b).withColumn(out, F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, block_at: float = BLOCK_AT, z: float = BOUND_Z) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, block_at: float = BLOCK_AT, z: float = BOUND_Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """host, n, bad, posterior_mean, posterior_low, blocked: a row per host of ``pages``.
 
     ``pages`` has page_id and host; ``labels`` has doc_id, quality, toxic, with doc_id read
-    as a page id; repeated labels of a page count once, as bad if any is.
+    as a page id; repeated labels of a page count once, as bad if any is. Without labels the
+    means are null and no host is blocked.
     """
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     l = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("page_id")).agg(bad.cast("long").alias("bad"))
-    seen = pages.where("page_id IS NOT NULL AND host <> ''").select("page_id", "host").join(l, "page_id")
-    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.select("host", registered_domain(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg((F.sum("bad") / F.sum("n")).alias("p_all"))
-    s = _shrunk(suffixes.join(F.broadcast(total)), "p_all", "p_suffix").select("suffix", "p_suffix")
-    d = _shrunk(domains.join(s, "suffix"), "p_suffix", "p_domain").select("domain", "p_domain")
-    every = hosts.select("host", "n", "bad").unionByName(pages.where("host <> ''").select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
-    every = every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    every = lookup_join(lookup_join(every, d, "domain", F.col("host")), s, "suffix", F.col("host")).join(F.broadcast(total))
-    every = staged(every.select("host", "n", "bad", F.coalesce("p_domain", "p_suffix", "p_all").alias("prior")), "hosts")
+    seen = pages.where("host <> ''").select("page_id", "host").join(l, "page_id", "left")
+    hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = staged(hosts.select("host", registered_domain(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "bad"), "hosts")
+    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = hosts.groupBy("domain", "suffix").agg(*sums).where("n > 0")
+    suffixes_ = domains.groupBy("suffix").agg(*sums)
+    total = hosts.agg(*sums).first()
+    if not total["n"]:
+        none = F.lit(None).cast("double")
+        return hosts.select("host", "n", "bad", none.alias("posterior_mean"), none.alias("posterior_low"), F.lit(False).alias("blocked"))
+    p_all = F.lit(total["bad"] / total["n"])
+    s = staged(_shrunk(suffixes_.withColumn("p_all", p_all), "p_all", "p_suffix").select("suffix", "p_suffix"), "suffixes")
+    d = staged(_shrunk(domains.join(s, "suffix"), "p_suffix", "p_domain").select("domain", "p_domain"), "domains")
+    every = lookup_join(lookup_join(hosts, d, "domain", F.col("host")), s, "suffix", F.col("host"))
+    every = every.select("host", "n", "bad", F.coalesce("p_domain", "p_suffix", p_all).alias("prior"))
     h = _shrunk(every, "prior", "posterior_mean")
     t = F.col("alpha") + F.col("beta")
     low = F.greatest(F.lit(0.0), F.col("posterior_mean") - z * F.sqrt(F.col("alpha") * F.col("beta") / (t * t * (t + 1))))
@@ -124,7 +142,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _level(name: str, groups: str, mean: str) -> str:
     v = f"({mean} * (1 - {mean}))"
-    return f"""{name}_r AS (SELECT least({RHO_MAX}, greatest({RHO_MIN}, coalesce(sum(n * pow(bad / n - {mean}, 2) - {v}) / nullif(sum((n - 1) * {v}), 0), {RHO_MIN}))) AS rho FROM {groups}),
+    return f"""{name}_r AS (SELECT least({RHO_MAX}, greatest({RHO_MIN}, coalesce(sum(n * pow(bad / n - {mean}, 2) - {v}) / nullif(sum((n - 1) * {v}), 0), {RHO_MIN}))) AS rho FROM {groups} WHERE n > 0),
 {name} AS (SELECT g.*, bad + (1 / rho - 1) * {mean} AS alpha, n - bad + (1 / rho - 1) * (1 - {mean}) AS beta FROM {groups} g, {name}_r)"""
 
 
@@ -132,14 +150,15 @@ OP7_SQL = rf"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*)::DOUBLE AS n, sum(bad) AS bad FROM p JOIN l USING (page_id) WHERE host <> '' GROUP BY host),
-domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+hosts AS (SELECT host, regexp_extract(host, '(?:^|[.])([^.]+[.]{_suffix_pattern(SUFFIXES)}|{_suffix_pattern(SUFFIXES)})$', 1) AS domain, regexp_extract(host, '(?:^|[.])({_suffix_pattern(SUFFIXES)})$', 1) AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l USING (page_id) WHERE host <> '' GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL HAVING sum(n) > 0),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-s0 AS (SELECT *, (SELECT sum(bad) / sum(n) FROM suffixes) AS mu FROM suffixes),
+t AS (SELECT sum(bad) / nullif(sum(n), 0) AS p_all FROM hosts),
+s0 AS (SELECT *, (SELECT p_all FROM t) AS mu FROM suffixes),
 {_level("s1", "s0", "mu")},
 d0 AS (SELECT domains.*, alpha / (alpha + beta) AS mu FROM domains JOIN s1 USING (suffix)),
 {_level("d1", "d0", "mu")},
-h0 AS (SELECT hosts.*, alpha / (alpha + beta) AS mu FROM hosts JOIN d1 USING (domain)),
+h0 AS (SELECT hosts.*, coalesce(d1.alpha / (d1.alpha + d1.beta), s1.alpha / (s1.alpha + s1.beta), (SELECT p_all FROM t)) AS mu FROM hosts LEFT JOIN d1 ON d1.domain = hosts.domain LEFT JOIN s1 ON s1.suffix = hosts.suffix),
 {_level("h1", "h0", "mu")},
 b AS (SELECT host FROM h1 WHERE alpha / (alpha + beta) - {BOUND_Z} * sqrt(alpha * beta / (pow(alpha + beta, 2) * (alpha + beta + 1))) >= {BLOCK_AT}),
 m AS (SELECT p.*, (b.host IS NOT NULL) AS bad_host,

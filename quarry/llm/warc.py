@@ -11,14 +11,18 @@ Defined results: null html is an empty payload; an empty table gives no archives
 rows; repeated rows give a record each; a null page id gives a record without an id, which
 revisits an equal payload that has one; a record with missing, repeated or misnumbered
 segments, a wrong total length, bad framing or a digest mismatch has status ``damaged``
-and a null payload. Other columns of the input are ignored.
+and a null payload; a cut or damaged file gives the records before the damage and one such row
+for the rest. Records of other types (warcinfo, request, metadata) are skipped. The parts of one
+record meet in one row, so a record's block is bounded by a row's memory. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,22 +103,53 @@ def page_records(uid: str, page_id, url: str | None, payload: bytes, refers_to,
     return out
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of each record of one archive file, gzip-compressed or not."""
+def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """(named fields in lower case, block) of each record of one archive file, gzip-compressed or not.
+
+    What follows damage can't be trusted: (None, b"") stands for it and ends the file. A file
+    cut within its compressed data still gives the records before the cut.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, whole = _inflated(data)
+    else:
+        whole = True
     at, n = 0, len(data)
     while at < n:
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if not data.startswith(b"WARC/", at) or end < 0:
+            yield None, b""
+            return
         fields = {}
-        for line in data[at:end].decode().split("\r\n")[1:]:
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4  # each record ends with two line ends
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > n or "warc-type" not in fields:
+            yield None, b""
+            return
+        yield fields, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size) + 4  # each record ends with two line ends
+    if not whole:
+        yield None, b""
+
+
+def _inflated(data: bytes) -> tuple[bytes, bool]:
+    """What gzip members hold, up to the first damage, and whether there was none."""
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        try:
+            # in pieces, so that damage costs no more than the piece it is in
+            for i in range(0, len(data), 1 << 16):
+                out.append(d.decompress(data[i : i + (1 << 16)]))
+                if d.eof:
+                    data = d.unused_data + data[i + (1 << 16) :]
+                    break
+            else:
+                return b"".join(out), False
+        except zlib.error:
+            return b"".join(out), False
+    return b"".join(out), True
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
@@ -153,6 +188,8 @@ _PARTS = T.StructType(
         T.StructField("block", T.BinaryType()),
     ]
 )
+#: Types of records that hold payloads or refer to them; others are skipped.
+_PAGES = ("response", "revisit", "resource", "continuation")
 _KEEP = ("warc-type", "x-page-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "x-payload-length")
 
 
@@ -165,9 +202,15 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
             for content in b["content"]:
                 rows = []
                 for f, block in parse_archive(bytes(content)):
+                    if f is None:  # a row of its own, without an origin
+                        rows.append((f"damaged:{uuid.uuid4()}", -1, None, {}, b""))
+                        continue
+                    if f["warc-type"] not in _PAGES:
+                        continue
                     first = f["warc-type"] != "continuation"
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f["warc-record-id"] if first else f["warc-segment-origin-id"], int(f.get("warc-segment-number", 0 if first else -1)), int(total) if total else None, {k: f[k] for k in _KEEP if k in f} if first else None, block))
+                    total, number = f.get("warc-segment-total-length", ""), f.get("warc-segment-number", "0" if first else "")
+                    origin = f.get("warc-record-id" if first else "warc-segment-origin-id") or f"damaged:{uuid.uuid4()}"
+                    rows.append((origin, int(number) if number.isdigit() else -1, int(total) if total.isdigit() else None, {k: f[k] for k in _KEEP if k in f} if first else None, block))
                 out = pd.DataFrame(rows, columns=[x.name for x in _PARTS])
                 out["total"] = out["total"].astype("Int64")
                 yield out

@@ -130,13 +130,52 @@ def test_warc_damage():
     assert warc.assemble(parts, f | {"warc-payload-digest": "sha1:X"})[0] == "damaged"
 
 
+def test_warc_damaged_files_give_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i + 10) + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w")
+    path = next(tmp_path.glob("w/part-*"))
+    data = path.read_bytes()
+    plain, whole = warc._inflated(data)
+    assert whole
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for n, bad in enumerate((data[: len(data) // 2], data[:600] + b"\0" * 9 + data[609:], plain[:-40], plain + b"rubbish", plain.replace(b"Content-Length: ", b"Content-Length: x", 1), b"\x1f\x8b", b"rubbish", info + plain)):
+        at = tmp_path / f"bad{n}"
+        at.mkdir()
+        (at / "part-0.warc").write_bytes(bad)
+        rows = warc.reassemble(warc.read_parts(spark, str(at))).collect()
+        sound = [r for r in rows if r.status == "whole"]
+        assert all(r.payload_digest == warc.digest32(bytes(r.payload)) for r in sound)
+        assert len(rows) - len(sound) == (0 if bad.startswith(info) else 1), n
+        assert len(sound) == (40 if n in (3, 7) else len(sound))
+
+
+def test_warc_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(none, f"{tmp_path}/n")
+    assert warc.reassemble(warc.read_parts(spark, f"{tmp_path}/n")).count() == 0
+    twice = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, None, "same")], "page_id long, url string, html string").withColumn("status", F.lit(0))
+    warc.write_archives(twice, f"{tmp_path}/t")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.reassemble(warc.read_parts(spark, f"{tmp_path}/t")).collect())
+    assert got == [("1", "revisit", "2"), ("1", "revisit", "2"), ("2", "response", "")] or got[2][2] in ("", None)
+
+
+def test_decontamination_of_nothing_and_of_repeated_rows(spark, no_docs):
+    bench = spark.createDataFrame([(1, "rare pair")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a rare pair"), (1, "a rare pair"), (None, "rare pair " * 30_000)], "doc_id long, text string")
+    assert decontam.decontaminate(no_docs, bench).count() == 0
+    assert [r.hits.n_hit for r in decontam.decontaminate(docs, bench.limit(0)).collect()] == [0, 0, 0]
+    assert sorted(r.hits.n_hit for r in decontam.decontaminate(docs, bench).collect()) == [2, 2, 60_000]
+
+
 def test_decontamination(spark):
     item, short = sentence(30), "rare pair"
     t = [f"{sentence(50)}, {item.upper()}! {sentence(5)}", "A Rare-pair.", sentence(300) + " " + " ".join(item.split()[:13]), None, "", " ".join(item.split()[:12])]
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, short), (3, None), (None, "x"), (4, "..."), (5, item)], "item_id long, text string")
-    for limit in (1 << 20, 60):  # one automaton, or several
-        got = {r.doc_id: r.hits for r in decontam.decontaminate(docs, bench, max_item_bytes=limit).collect()}
+    with pytest.raises(ValueError):  # the automaton is broadcast, so its source is bounded
+        decontam.decontaminate(docs, bench, max_item_bytes=60)
+    for table in (docs, docs.withColumn("hits", F.lit(1))):
+        got = {r.doc_id: r.hits for r in decontam.decontaminate(table, bench).collect()}
         assert [(got[i].n_hit, got[i].contaminated, list(got[i]["items"])) for i in range(6)] == [(30, True, ["1", "5"]), (2, True, ["2"]), (13, False, ["1", "5"]), (0, False, []), (0, False, []), (0, False, [])]
     s = got[0].spans[0]
     assert t[0][s.start : s.end] == item.upper()
@@ -183,6 +222,68 @@ def test_bad_hosts_are_blocked(spark):
     assert {r.host for r in urlfilter.judge(pages, labels).where("verdict = 'block'").collect()} == {"bad.com"}
 
 
+def test_suffixes_of_several_labels(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.org", "y.org", "org", "h", "", "1.2.3.com.au"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urlfilter.registered_domain(F.col("h")).alias("d"), urlfilter.suffix_of(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in rows} == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.org": ("y.org", "org"), "y.org": ("y.org", "org"), "org": ("org", "org"), "h": ("h", "h"), "": ("", ""), "1.2.3.com.au": ("3.com.au", "com.au"),
+    }
+
+
+def brute_reputation(pages, labels):
+    """host: (n, bad, lower bound) in plain Python."""
+    bad = {}
+    for i, q, t in labels:
+        if i is not None and (q is not None or t is not None):
+            bad[i] = max(bad.get(i, 0), int(q == 0 or t == 1))
+    cut = lambda h: (".".join(h.split(".")[-2:]), h.split(".")[-1])  # noqa: E731  (one-label suffixes only)
+    hosts = {}
+    for i, h in pages:
+        if h:
+            n = hosts.setdefault(h, [0, 0])
+            if i in bad:
+                n[0] += 1
+                n[1] += bad[i]
+
+    def sums(level):
+        out = {}
+        for h, (n, b) in hosts.items():
+            x = out.setdefault(cut(h)[level], [0, 0])
+            x[0] += n
+            x[1] += b
+        return {k: v for k, v in out.items() if v[0]}
+
+    def fit(groups, prior):
+        own = {k: v for k, v in groups.items() if v[0]}
+        num = sum(n * (b / n - prior[k]) ** 2 - prior[k] * (1 - prior[k]) for k, (n, b) in own.items())
+        den = sum((n - 1) * prior[k] * (1 - prior[k]) for k, (n, b) in own.items())
+        m = 1 / min(0.5, max(0.001, num / den if den else 0.001)) - 1
+        return {k: (b + m * prior[k], n - b + m * (1 - prior[k])) for k, (n, b) in groups.items()}
+
+    mean = lambda ab: {k: a / (a + b) for k, (a, b) in ab.items()}
+    total = sum(b for _, b in hosts.values()) / sum(n for n, _ in hosts.values())
+    s = mean(fit(sums(1), dict.fromkeys(sums(1), total)))
+    of = {cut(h)[0]: cut(h)[1] for h in hosts}
+    d = mean(fit(sums(0), {k: s[of[k]] for k in sums(0)}))
+    prior = {h: d.get(cut(h)[0], s.get(cut(h)[1], total)) for h in hosts}
+    ab = fit(hosts, prior)
+    return {h: (*hosts[h], max(0.0, a / (a + b) - 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)) for h, (a, b) in ab.items()}
+
+
+def test_reputation_equals_brute_force(spark):
+    r = random.Random(5)
+    names = [f"h{i}.d{i % 7}.{('com', 'org', 'xyz')[i % 3]}" for i in range(60)] + ["lone.net"]
+    pages = [(i, r.choice(names)) for i in range(1500)] + [(None, "null.d1.com"), (3, names[0]), (9000, ""), (9001, None)]
+    labels = [(i, int(r.random() > (0.9 if h and ".d3." in h else 0.2)), r.choice((0, 0, 1, None))) for i, h in pages if i is not None and i % 3 and not (h or "").startswith("h1")] + [(3, 0, None), (None, 0, 1), (77777, 0, 1)]
+    p = spark.createDataFrame(pages, "page_id long, host string").repartition(3)
+    got = urlfilter.host_reputation(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = brute_reputation(pages, labels)
+    assert {x.host for x in got} == set(want)
+    for x in got:
+        assert (x.n, x.bad) == want[x.host][:2] and x.posterior_low == pytest.approx(want[x.host][2], abs=1e-9)
+    assert urlfilter.host_reputation(p.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_hosts_without_labels_follow_their_domain(spark):
     hosts = [f"h{i}.{d}" for d in ("bad.com", "ok.org") for i in range(40)]
     urls = [f"http://{h}/{i}" for h in hosts for i in range(20)]
