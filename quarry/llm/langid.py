@@ -12,7 +12,8 @@ held out, with their whole texts; all else covers every row.
 Defined results: null text and text without a letter give ``und`` and score 0, as does
 every text if no labelled row could be learned from; a text of one letter gets the language
 of the best prior and likelihood; repeated rows give a row each and equal texts equal
-results; ties go to the language first in order; other columns pass through untouched.
+results; ties go to the language first in order; other columns pass through untouched, but
+for one named as the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -53,9 +54,10 @@ def codes(data: bytes) -> np.ndarray:
     h[:-2] += b[2:] << 16
     h *= np.uint32(2654435761)
     h >>= np.uint32(16)
-    pad = b == 0
-    pad[:-1] |= pad[1:]
-    pad[:-2] |= pad[2:]
+    zero = b == 0
+    pad = zero.copy()
+    pad[:-1] |= zero[1:]
+    pad[:-2] |= zero[2:]
     pad[-2:] = True
     h[pad] = BUCKETS
     return h
@@ -66,7 +68,7 @@ def _units(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     parts, n = [], np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
         t = b" " + b" ".join(t.translate(_FOLD).split()) + b" "
-        n[i] = -(-len(t) // UNIT)
+        n[i] = -(-(len(t) + 2) // UNIT)  # with two zeros at least, no trigram reaches into the next text
         parts.append(t.ljust(int(n[i]) * UNIT, b"\0"))
     return b"".join(parts), n
 

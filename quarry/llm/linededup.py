@@ -68,8 +68,9 @@ def hashes_of(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row (did, doc, pos, line) for each line; ``doc`` is a hash of id and text."""
-    return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("did"), F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    """A row (did, doc, pos, line) for each line; ``doc`` is a hash of id and text, made before the lines are."""
+    whole = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("did"), F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.split(F.col(text), "\n", -1).alias("lines"))
+    return whole.select("did", "doc", F.posexplode("lines").alias("pos", "line"))
 
 
 def word_order(docs: DataFrame, text: str) -> Column:

@@ -11,7 +11,7 @@ rows not held out; features and scores cover every row.
 Defined results: null and empty texts have features of zero and are scored like any other;
 null labels are ignored, and repeated labels of a document count each; with no labels the
 score is 0.5, with labels of one kind it is the smoothed share of ones; other columns pass
-through untouched.
+through untouched, but for one named as the result, which is replaced.
 """
 
 from __future__ import annotations
