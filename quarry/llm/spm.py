@@ -20,7 +20,7 @@ Characters without a piece are spelled in byte pieces.
 Defined results: null and empty texts have no ids; ids decode to the text itself, but for
 meta symbols in the text, which come back as spaces (``round_trip`` false); words of over
 ``LONG`` characters take a plain search, with the same result; the cache of words holds at
-most ``CACHE`` entries. A model with a normaliser or other settings of spaces than these is
+most twice ``CACHE`` entries and those of a block. A model with a normaliser or other settings of spaces than these is
 refused. Repeated rows give a row each; other columns pass through untouched, but for those
 named as a result, which are replaced.
 """
@@ -41,12 +41,12 @@ from quarry.llm.common import ship
 META = "▁"
 #: Longest word for the batched search.
 LONG = 256
-#: Words whose ids are remembered in a worker.
-CACHE = 400_000
-#: Words searched at once.
-BATCH = 1 << 16
+#: Words whose ids are remembered in a worker; those met since the cache last filled up stay.
+CACHE = 120_000
+#: Characters of words searched at once, and of texts cut into words at once.
+BATCH, BLOCK = 1 << 18, 2_000_000
 #: Pairs of neighbours remembered in a worker.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 NEVER = -np.inf
@@ -136,6 +136,7 @@ class Vocabulary:
         # a score below any word's for characters that no piece holds
         self.missing = min(self.key_scores, default=0.0) - 10.0
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _hash(self, piece: str) -> np.uint64:
         h = np.uint64(0)
@@ -361,14 +362,17 @@ class Vocabulary:
         """Puts the ids of the words (meta symbols in place) into the cache."""
         by: dict[int, list[str]] = {}
         for w in words:
-            by.setdefault(len(w), []).append(w)
+            if (known := self.older.get(w)) is not None:
+                self.cache[w] = known
+            else:
+                by.setdefault(len(w), []).append(w)
         for n, group in by.items():
             if n == 1:
                 self.cache.update((w, self._ids(w, [(0, 1)])) for w in group)
             elif n > LONG:
                 self.cache.update((w, self._ids(w, self._viterbi_long(w))) for w in group)
             else:
-                step = max(1, BATCH * 8 // n)
+                step = max(1, BATCH // n)
                 for i in range(0, len(group), step):
                     part = group[i : i + step]
                     self.cache.update(zip(part, self._packed(part), strict=True))
@@ -387,7 +391,7 @@ class Vocabulary:
             out.extend(b"".join(map(get, b)) for b in block)
             block, new, size = [], set(), 0
             if len(self.cache) > CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
 
         for t in texts:
             words = self.cut.findall(f" {t}".replace(META, " ")) if t else []
@@ -395,7 +399,7 @@ class Vocabulary:
             block.append(words)
             new.update(w for w in words if w not in self.cache)
             size += len(t)
-            if size > 4_000_000:
+            if size > BLOCK:
                 flush()
         flush()
         return out
