@@ -106,7 +106,7 @@ def hashed(c: Column, algorithm: str = "md5") -> Column:
     return {"md5": F.md5(c.cast("binary")), "sha1": F.sha1(c.cast("binary")), "sha256": F.sha2(c.cast("binary"), 256)}.get(algorithm, F.lit(""))
 
 
-def _bound(value: Column, f) -> Column:
+def bound(value: Column, f) -> Column:
     """``f`` of ``value``, which is evaluated once however often ``f`` uses it."""
     return F.transform(F.array(F.struct(value.alias("v"))), lambda s: f(s["v"]))[0]
 
@@ -114,7 +114,7 @@ def _bound(value: Column, f) -> Column:
 def list_chunks(c: Column, size: int) -> Column:
     """Slices of ``size`` elements of an array."""
     none = F.array().cast("array<int>")
-    return _bound(c, lambda w: F.transform(F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))).otherwise(none), lambda i: F.slice(w, i, F.lit(size))))
+    return bound(c, lambda w: F.transform(F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))).otherwise(none), lambda i: F.slice(w, i, F.lit(size))))
 
 
 def word_chunks(c: Column, size: int = 1000) -> Column:
@@ -134,7 +134,7 @@ def stride_chunks(c: Column, size: int = 1000, overlap: int = 200) -> Column:
     def chunks(w: Column) -> Column:
         return F.transform(w, lambda x, i: F.concat(x, F.substring(F.array_join(F.slice(w, i + 2, F.lit(more)), ""), 1, overlap)))
 
-    return _bound(steps, chunks)
+    return bound(steps, chunks)
 
 
 def located(text: Column, pattern: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed
-from quarry.functions.text import located
+from quarry.functions.text import bound, located
 
 #: How pattern entities are made from what a pattern matches.
 LEAST_LENGTH = 3
@@ -25,10 +25,14 @@ def term_variants(term: str) -> tuple[str, ...]:
 
 
 def technical_terms(text: Column) -> Column:
-    """array<struct<category, term>> of the variants that the lower-cased text holds."""
-    t = F.lower(text)
-    hits = [F.when(t.contains(v), F.struct(F.lit(c).alias("category"), F.lit(v).alias("term"))) for c, terms in fixed.TERMS.items() for w in terms for v in term_variants(w)]
-    return F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    """array<struct<category, term>> of the variants that the lower-cased text holds; the text is evaluated once."""
+    words = [(c, v) for c, terms in fixed.TERMS.items() for w in terms for v in term_variants(w)]
+
+    def hits(t: Column) -> Column:
+        found = F.array(*(F.when(t.contains(v), F.struct(F.lit(c).alias("category"), F.lit(v).alias("term"))) for c, v in words))
+        return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+    return bound(F.lower(text), hits)
 
 
 def all_matches(text: Column, patterns: tuple[str, ...]) -> Column:

@@ -24,6 +24,10 @@ def sentences(c: Column) -> Column:
 
 def readability(c: Column) -> Column:
     """struct of counts, averages, Flesch reading ease and Flesch-Kincaid grade; syllables are runs of vowels."""
+    return X.bound(c, _readability)
+
+
+def _readability(c: Column) -> Column:
     n_s = F.greatest(F.size(sentences(c)), F.lit(1))
     words = X.token_count(c)
     n_w = F.greatest(words, F.lit(1))
@@ -51,6 +55,10 @@ def readability_whole(s, d):
 
 def quality(c: Column) -> Column:
     """0.2 for length, 0.2 for reading ease, 0.3 for technical categories, 0.15 for sentences and 0.15 for different words; at most 1."""
+    return X.bound(c, _quality)
+
+
+def _quality(c: Column) -> Column:
     n = X.token_count(c)
     length = F.when(n.between(100, 3000), F.least(n / 1000, F.lit(1.0))).otherwise(0.5)
     kinds = F.size(F.array_distinct(F.transform(E.technical_terms(c), lambda x: x["category"])))
@@ -270,7 +278,7 @@ def scored(df: DataFrame) -> DataFrame:
         F.when(n > 100, F.least(n / 1000, F.lit(1.0)) * 0.2).otherwise(0.0) + F.when(F.length("title") > 10, 0.1).otherwise(0.0) + F.when(F.length("description") > 20, 0.1).otherwise(0.0)
         + F.least(F.col("term_kinds") * 0.1, F.lit(0.3)) + F.least(F.col("structures") * 0.05, F.lit(0.2)) + F.least(F.col("flesch") / 100, F.lit(1.0)) * 0.1
     )
-    return t.withColumn("quality_score", F.round(F.least(score, F.lit(1.0)), 6))
+    return t.withColumn("quality_score", F.round(F.least(score, F.lit(1.0)), 8))
 
 
 def _sql_clean(c: str) -> str:
@@ -283,7 +291,7 @@ def _sql_clean(c: str) -> str:
 
 _MAIN = f"main AS (SELECT *, {_sql_clean('content')} AS text, 1 + CASE WHEN page_type IN ('faq', 'product') THEN 1 ELSE 0 END AS structures, CASE WHEN length(coalesce(list_extract({_SENT.replace('(text', '(content')}, 1), '')) > 200 THEN 203 ELSE length(coalesce(list_extract({_SENT.replace('(text', '(content')}, 1), '')) END AS desc_length FROM normal)"
 _SCORED = f"""src AS (SELECT doc_id, text FROM main), {_READ}, scored AS (SELECT main.*, flesch, words, ({_KINDS.replace('lower(text)', 'lower(main.text)')}) AS term_kinds, round(least(CASE WHEN length(main.text) > 100 THEN least(length(main.text) / 1000::DOUBLE, 1.0) * 0.2::DOUBLE ELSE 0 END + CASE WHEN length(title) > 10 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN desc_length > 20 THEN 0.1::DOUBLE ELSE 0 END
-+ least(({_KINDS.replace('lower(text)', 'lower(main.text)')}) * 0.1::DOUBLE, 0.3::DOUBLE) + least(structures * 0.05::DOUBLE, 0.2::DOUBLE) + least(flesch / 100, 1.0) * 0.1::DOUBLE, 1.0), 6) AS quality_score FROM main JOIN read USING (doc_id))"""
++ least(({_KINDS.replace('lower(text)', 'lower(main.text)')}) * 0.1::DOUBLE, 0.3::DOUBLE) + least(structures * 0.05::DOUBLE, 0.2::DOUBLE) + least(flesch / 100, 1.0) * 0.1::DOUBLE, 1.0), 8) AS quality_score FROM main JOIN read USING (doc_id))"""
 _CHAIN = f"{_ITEMS}, {_VALID}, {_NORMAL}, {_MAIN}, {_SCORED}"
 
 

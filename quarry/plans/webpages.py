@@ -86,10 +86,10 @@ def page_category(s, d):
     return P.records(_typed(s, d)).select("page_id", P.category(F.col("page_type"), F.col("visible")).alias("category"))
 
 
-@query(f"SELECT page_id, {_TITLE} AS title, substr({_unescape('''trim(regexp_replace(regexp_extract(html, '(?is)<p>(.*?)(?:</p>)', 1), '<[^>]*>', '', 'g'))''')}, 1, 30) AS head FROM pages WHERE regexp_matches(html, '<p>[^<]*</p>')")
+@query()
 def page_title_description(s, d):
-    """Title, and where there is no meta description the head of the first paragraph."""
-    return _records(s, d).join(load(s, d, "pages").where(F.col("html").rlike("<p>[^<]*</p>")).select("page_id"), "page_id", "left_semi").select("page_id", "title", F.substring("description", 1, 30).alias("head"))
+    """Title, and the meta description or else the first paragraph's first 200 characters."""
+    return _records(s, d).select("page_id", "title", "description")
 
 
 @query(f"""SELECT page_id, {_TITLE} AS title, coalesce({_unescape('''list_extract(regexp_extract_all(html, '<meta name="description" content="([^"]*)"', 1), -1)''')}, '') AS description, coalesce({_unescape('''list_extract(regexp_extract_all(html, '<meta name="keywords" content="([^"]*)"', 1), -1)''')}, '') AS keywords FROM pages""")
