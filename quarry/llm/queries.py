@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, langid, linededup, media, ngramjoin, quality, secrets, spm, urlfilter, warc
+from quarry.llm import decontam, langid, linededup, media, ngramjoin, quality, secrets, spm, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         media.op8_media_columns,
         secrets.op9_secret_scan,
         langid.op10_language_id,
+        suffixdedup.op11_suffix_dedup,
     )
 }
 
