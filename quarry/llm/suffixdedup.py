@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ BUCKET, TRANSFORM = 8 << 20, 2 << 20
 #: Windows of a segment at most, and documents of a fingerprint from which its windows go singly.
 LONGEST, HOT = 4096, 20_000
 
+def _small(data: bytes) -> bytes:
+    """Texts travel compressed: blocks are shuffled once for each time they are asked something."""
+    return zstandard.compress(data, 3)
+
+
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -130,7 +136,7 @@ def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def block() -> pd.DataFrame:
         data = [bytes(d) for _, d in held]
-        return pd.DataFrame({"dids": [np.array([i for i, _ in held], np.int64).tobytes()], "ends": [np.cumsum([len(d) for d in data], dtype=np.int64).tobytes()], "data": [b"".join(data)]})
+        return pd.DataFrame({"dids": [np.array([i for i, _ in held], np.int64).tobytes()], "ends": [np.cumsum([len(d) for d in data], dtype=np.int64).tobytes()], "data": [_small(b"".join(data))], "size": [size]})
 
     for pdf in rows:
         for row in zip(pdf["did"], pdf["data"], strict=True):
@@ -144,7 +150,7 @@ def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _opened(data: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64)
+    return np.frombuffer(zstandard.decompress(data), np.uint8), np.frombuffer(ends, np.int64)
 
 
 def _reports(buckets: int):
@@ -181,8 +187,9 @@ def _sent(buckets: int):
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in blocks:
             for block, data, ends, dids, flags in zip(pdf["block"], pdf["data"], pdf["ends"], pdf["dids"], pdf["flags"], strict=True):
-                raw, ends, dids = bytes(data), np.frombuffer(ends, np.int64), np.frombuffer(dids, np.int64)
-                texts, starts, runs, prints = segments(np.frombuffer(raw, np.uint8), ends)
+                bytes_of, ends = _opened(data, ends)
+                raw, dids = bytes_of.tobytes(), np.frombuffer(dids, np.int64)
+                texts, starts, runs, prints = segments(bytes_of, ends)
                 own = np.unique(prints, return_inverse=True)[1]
                 flag = np.frombuffer(b"".join(x["flags"] for x in flags), np.uint8)[own]
                 one = flag == 1
@@ -206,7 +213,7 @@ def _sent(buckets: int):
                 out = []
                 for k, a, b in _slices(_buckets(fp, buckets)):
                     lens = np.array([len(c) for c in contents[a:b]], np.uint32)
-                    out.append((k, block, a, b"".join(contents[a:b]), lens.tobytes(), low[a:b].tobytes(), fp[a:b].tobytes()))
+                    out.append((k, block, a, _small(b"".join(contents[a:b])), lens.tobytes(), low[a:b].tobytes(), fp[a:b].tobytes()))
                 out.append((-1, block, len(first), b"", np.stack([s.astype(np.int64), n.astype(np.int64)]).tobytes(), (dids[t] > low[entry]).tobytes(), entry.tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "block", "base", "contents", "lens", "dids", "ids"])
 
@@ -299,7 +306,7 @@ def _decided(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     row, entry, contents, holders, prints = [], [], [], [], []
     for r, (base, data, lens, dids, ids) in enumerate(zip(pdf["base"], pdf["contents"], pdf["lens"], pdf["dids"], pdf["ids"], strict=True)):
         cut = np.append(0, np.cumsum(np.frombuffer(lens, np.uint32), dtype=np.int64))
-        data = bytes(data)
+        data = zstandard.decompress(data)
         contents += [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         row.append(np.full(len(cut) - 1, r)), entry.append(np.arange(base, base + len(cut) - 1))
         holders.append(np.frombuffer(dids, np.int64)), prints.append(np.frombuffer(ids, np.uint64))
@@ -381,27 +388,32 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ship(spark)
     none = F.lit(np.iinfo(np.int64).min)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("did"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data")).withColumn("sha", F.sha2("data", 256))
-    first = rows.groupBy("sha").agg(F.min("did").alias("did")).select("did", "sha", F.lit(True).alias("first"))
+    first = staged(rows.groupBy("sha").agg(F.min("did").alias("did")).select("did", "sha", F.lit(True).alias("first")), "first")
     # by id, so that no group of equal texts meets in one task
     marked = rows.join(first, ["did", "sha"], "left")
-    blocks = marked.where("first").select("did", "data").mapInPandas(_packed, "dids binary, ends binary, data binary")
-    blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", compression="zstd")
+    blocks = marked.where("first").select("did", "data").mapInPandas(_packed, "dids binary, ends binary, data binary, size long")
+    blocks = staged(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     release(spark)
-    buckets = -(-(blocks.agg(F.sum(F.length("data"))).first()[0] or 0) // BUCKET) or 1
+    buckets = -(-(blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET) or 1
     reports = blocks.select("block", "data", "ends").mapInPandas(_reports(buckets), "bucket long, block long, prints binary, each binary")
     flags = reports.groupBy("bucket").applyInPandas(_shared, "bucket long, block long, flags binary")
     flags = staged(flags, "flags").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "flags"))).alias("flags"))
     sent = blocks.join(flags, "block").mapInPandas(_sent(buckets), "bucket long, block long, base long, contents binary, lens binary, dids binary, ids binary")
-    sent = staged(sent, "segments", compression="zstd")
+    sent = staged(sent, "segments")
     release(spark)
     ranges = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_decided, "block long, ranges binary")
-    ranges = staged(ranges, "ranges").groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = staged(ranges, "ranges")
+    release(spark)
+    ranges = ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges"))
     places = sent.where("bucket < 0").select("block", "base", "lens", F.col("dids").alias("later"), "ids")
     found = blocks.join(places, "block", "left").join(ranges, "block", "left").mapInPandas(_cut_out, "did long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    # copies lose everything or are too short to lose anything, so their texts needn't be moved
     n = F.length("data").cast("long")
-    span = F.struct(F.lit(0).cast("long").alias("start"), n.alias("end"))
-    whole = n >= LEAST
-    copies = rows.join(first, ["did", "sha"], "left_anti").select("did", n.alias("n_bytes"), F.when(whole, F.array(span)).otherwise(F.array().cast("array<struct<start: long, end: long>>")).alias("spans"), F.when(whole, F.lit(b"")).otherwise(F.col("data")).alias("kept"))
+    short = rows.select("did", "sha", n.alias("n_bytes"), F.when(n < LEAST, F.col("data")).otherwise(F.lit(b"")).alias("kept"))
+    kind = "array<struct<start: long, end: long>>"
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    spans = F.when(F.col("n_bytes") < LEAST, F.array().cast(kind)).otherwise(whole)
+    copies = short.join(first, ["did", "sha"], "left_anti").select("did", "n_bytes", spans.alias("spans"), "kept")
     return found.unionByName(copies).select(F.nullif(F.col("did"), none).alias(key), "n_bytes", "spans", "kept")
 
 
