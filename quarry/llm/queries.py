@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, langid, linededup, media, ngramjoin, quality, secrets, spm, suffixdedup, urlfilter, warc
+from quarry.llm import decontam, hardneg, langid, linededup, media, ngramjoin, quality, secrets, spelling, spm, suffixdedup, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op9_secret_scan,
         langid.op10_language_id,
         suffixdedup.op11_suffix_dedup,
+        spelling.op12_spelling_variants,
+        hardneg.op13_hard_negatives,
     )
 }
 
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": ngramjoin.OP3_SQL,
     "op5_benchmark_decontamination": decontam.OP5_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
+    "op13_hard_negatives": hardneg.OP13_SQL,
 }
