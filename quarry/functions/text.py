@@ -111,6 +111,11 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(F.struct(value.alias("v"))), lambda s: f(s["v"]))[0]
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row: through a generator the optimiser moves neither filters nor copies of what it makes."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def list_chunks(c: Column, size: int) -> Column:
     """Slices of ``size`` elements of an array."""
     none = F.array().cast("array<int>")
@@ -198,6 +203,11 @@ def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("(?i)(" + "|".join(patterns) + ")")
 
 
+def is_web_url(c: Column) -> Column:
+    """Whether ``url_problems`` finds none, as one expression."""
+    return c.rlike("^(?i:https?)://[^/?#]")
+
+
 def url_problems(c: Column) -> Column:
     scheme = F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     return problems((scheme == "", "no scheme"), ((scheme != "") & (domain(c) == ""), "no domain"), ((scheme != "") & (domain(c) != "") & ~F.lower(scheme).isin("http", "https"), "scheme isn't http or https"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,13 +25,36 @@ def term_variants(term: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys((term, f"{term}s", f"{term}es", term.replace("-", " "), term.replace(" ", "-"))))
 
 
+def _roots(category: str) -> list[str]:
+    """The variants of a category's terms that hold no other: a text that holds any variant holds one of these."""
+    known = list(dict.fromkeys(v for w in fixed.TERMS[category] for v in term_variants(w)))
+    return [v for v in known if not any(o != v and o in v for o in known)]
+
+
 def technical_terms(text: Column) -> Column:
-    """array<struct<category, term>> of the variants that the lower-cased text holds; the text is evaluated once."""
-    words = [(c, v) for c, terms in fixed.TERMS.items() for w in terms for v in term_variants(w)]
+    """array<struct<category, term>> of the variants that the lower-cased text holds.
+
+    The text is searched for the shortest variants once; longer ones are only looked for where what they hold is there.
+    """
+    words = list(dict.fromkeys((c, v) for c, terms in fixed.TERMS.items() for w in terms for v in term_variants(w)))
+    roots = list(dict.fromkeys(r for c in fixed.TERMS for r in _roots(c)))
+
+    def found(t: Column, there: Column) -> Column:
+        def hit(c: str, v: str) -> Column:
+            known = there[next(i for i, r in enumerate(roots) if r in v)]
+            return F.when(known if v in roots else known & t.contains(v), F.struct(F.lit(c).alias("category"), F.lit(v).alias("term")))
+
+        return F.filter(F.array(*(hit(c, v) for c, v in words)), lambda x: x.isNotNull())
+
+    return bound(F.lower(text), lambda t: bound(F.array(*(t.contains(r) for r in roots)), lambda there: found(t, there)))
+
+
+def term_categories(text: Column) -> Column:
+    """The categories of which the lower-cased text holds a term."""
 
     def hits(t: Column) -> Column:
-        found = F.array(*(F.when(t.contains(v), F.struct(F.lit(c).alias("category"), F.lit(v).alias("term"))) for c, v in words))
-        return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+        any_root = lambda c: reduce(lambda a, b: a | b, (t.contains(r) for r in _roots(c)))
+        return F.filter(F.array(*(F.when(any_root(c), F.lit(c)) for c in fixed.TERMS)), lambda x: x.isNotNull())
 
     return bound(F.lower(text), hits)
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.staging import new_path, staged
 from quarry.sources.tables import load
 
 
@@ -45,21 +46,46 @@ def neighbours(e: DataFrame, n: DataFrame, of: str, direction: str = "both") ->
     return o.where(F.col("src") == of).select(F.col("dst").alias("id"), "rel").join(n, "id").select("id", "name", "type", "rel")
 
 
-def trails(e: DataFrame, start: str, depth: int) -> DataFrame:
-    """node, path (array), depth: node-simple undirected paths from ``start``; ``depth`` bounded joins, so no driver loop over rows."""
-    step = both_ways(e).select("src", F.col("dst").alias("next")).distinct()
-    level = e.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"), F.lit(0).alias("depth"))
-    out = level
+def _grown(step: DataFrame, start: str, depth: int, toward: DataFrame | None = None) -> list[DataFrame]:
+    """The levels of node-simple paths from ``start``: node, path and depth, each level staged and read for the next one.
+
+    Paths of the last level end in ``toward`` (column node), if given.
+    """
+    spark = step.sparkSession
+    levels = [staged(spark.createDataFrame([(start, [start], 0)], "node string, path array<string>, depth int"), "level")]
     for d in range(1, depth + 1):
-        level = level.join(step, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+        on = step if d < depth or toward is None else step.join(toward, step["next"] == toward["node"], "left_semi")
+        new = levels[-1].join(on, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("next")))
+        levels.append(staged(new.select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.lit(d).alias("depth")), "level"))
+    return levels
+
+
+def _steps(e: DataFrame) -> DataFrame:
+    """The undirected steps (src, next) of a graph, made once and staged."""
+    return staged(both_ways(e).select("src", F.col("dst").alias("next")).distinct(), "steps")
+
+
+def trails(e: DataFrame, start: str, depth: int) -> DataFrame:
+    """node, path (array), depth: node-simple undirected paths from ``start``, level by level; the levels are staged."""
+    return reduce(DataFrame.unionByName, _grown(_steps(e), start, depth))
 
 
 def paths(e: DataFrame, start: str, end: str, longest: int = 5, limit: int = 10, shortest: int = 1, types: list[str] | None = None) -> DataFrame:
-    """Node-simple paths of ``shortest`` to ``longest`` steps, over relations of ``types`` if given; short ones first."""
-    t = trails(e if types is None else e.where(F.col("rel").isin(*types)), start, longest).where((F.col("node") == end) & (F.col("depth") >= shortest))
-    return t.select(F.array_join("path", ">").alias("path"), F.col("depth").alias("length")).orderBy("length", "path").limit(limit)
+    """Node-simple paths of ``shortest`` to ``longest`` steps, over relations of ``types`` if given; short ones first.
+
+    Grown from both ends, as far as the middle: a path of n steps is ceil(n / 2) steps from the
+    start that meet floor(n / 2) from the end, and no level is made or read twice.
+    """
+    step = _steps(e if types is None else e.where(F.col("rel").isin(*types)))
+    back = _grown(step, end, longest // 2)
+    # the last forward level of an odd length only meets the last backward one
+    forth = _grown(step, start, longest - longest // 2, back[-1].select("node").distinct() if longest % 2 else None)
+    f, b = (reduce(DataFrame.unionByName, x) for x in (forth, back))
+    b = b.select("node", F.slice(F.reverse("path"), 2, F.greatest("depth", F.lit(1))).alias("rest"), F.col("depth").alias("left"))
+    b = b.withColumn("rest", F.when(F.col("left") > 0, F.col("rest")).otherwise(F.array().cast("array<string>")))
+    met = f.join(b, "node").where((F.col("depth") - F.col("left")).isin(0, 1) & ~F.arrays_overlap("path", "rest"))
+    length = F.col("depth") + F.col("left")
+    return met.where(length.between(shortest, longest)).select(F.array_join(F.concat("path", "rest"), ">").alias("path"), length.alias("length")).orderBy("length", "path").limit(limit)
 
 
 def traversal(e: DataFrame, n: DataFrame, start: str, depth: int = 3, types: list[str] | None = None, limit: int = 50) -> DataFrame:
@@ -70,13 +96,24 @@ def traversal(e: DataFrame, n: DataFrame, start: str, depth: int = 3, types: lis
 
 
 def within(e: DataFrame, start: str, radius: int) -> DataFrame:
-    """node, distance: nodes at most ``radius`` away. Breadth first: each level holds only nodes not seen before, so no path is enumerated."""
-    step = both_ways(e).select("src", F.col("dst").alias("next"))
-    seen = level = e.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("distance"))
-    for d in range(1, radius + 1):
-        level = level.join(step, F.col("node") == F.col("src")).select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(level)
-    return seen
+    """node, distance: nodes at most ``radius`` away.
+
+    Breadth first: each level holds only nodes not seen before, and is staged, so that it is made
+    once and what was seen is read as files; it ends early where nothing new is found.
+    """
+    spark, step = e.sparkSession, _steps(e)
+    level = spark.createDataFrame([(start, 0)], "node string, distance int")
+    schema, at = level.schema, []
+    for d in range(radius + 1):
+        if d:
+            new = level.join(step, F.col("node") == F.col("src")).select(F.col("next").alias("node")).distinct()
+            level = new.join(spark.read.schema(schema).parquet(*at).select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
+        at.append(new_path(spark, "level"))
+        level.write.parquet(at[-1])
+        level = spark.read.schema(schema).parquet(at[-1])
+        if level.isEmpty():
+            break
+    return spark.read.schema(schema).parquet(*at)
 
 
 def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
@@ -87,16 +124,17 @@ def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
 def similar_by_neighbours(e: DataFrame, n: DataFrame, of: str) -> DataFrame:
     """id, shared, similarity: Jaccard of neighbourhoods among nodes of the same type, common neighbours reached by the same relation.
 
-    Only nodes of the anchor's type take part, so degrees are counted for them alone.
+    The neighbours of the anchor's type are made once and staged; only nodes that share one with the anchor are counted.
     """
     kind = n.where(F.col("id") == of).select(F.col("type").alias("t"))
     same = n.join(F.broadcast(kind), n["type"] == F.col("t")).select(F.col("id").alias("src"))
-    b = both_ways(e).join(same, "src", "left_semi").distinct()
-    mine = b.where(F.col("src") == of).select(F.col("dst").alias("dst"), "rel", F.lit(1).alias("hit"))
-    s = b.join(mine, ["dst", "rel"], "left").groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("deg"), F.countDistinct(F.when(F.col("hit") == 1, F.col("dst"))).alias("shared"))
-    d0 = b.where(F.col("src") == of).agg(F.countDistinct("dst").alias("d0"))
-    s = s.where((F.col("id") != of) & (F.col("shared") > 0)).join(F.broadcast(d0))
-    return s.select("id", "shared", (F.col("shared") / (F.col("deg") + F.col("d0") - F.col("shared"))).alias("similarity"))
+    b = staged(both_ways(e).join(same, "src", "left_semi").distinct(), "neighbours")
+    mine = b.where(F.col("src") == of).select("dst", "rel")
+    near = b.where(F.col("src") != of).join(mine, ["dst", "rel"], "left_semi").groupBy("src").agg(F.countDistinct("dst").alias("shared"))
+    degree = b.groupBy("src").agg(F.countDistinct("dst").alias("deg"))
+    d0 = mine.agg(F.countDistinct("dst").alias("d0"))
+    s = near.join(degree, "src").join(F.broadcast(d0))
+    return s.select(F.col("src").alias("id"), "shared", (F.col("shared") / (F.col("deg") + F.col("d0") - F.col("shared"))).alias("similarity"))
 
 
 def degrees(e: DataFrame, n: DataFrame) -> DataFrame:
@@ -116,3 +154,64 @@ def consistency(e: DataFrame, n: DataFrame) -> DataFrame:
     total = n.agg(F.count(F.lit(1)).alias("total"))
     one = total.join(F.broadcast(lone)).join(F.broadcast(repeated))
     return one.withColumn("score", F.greatest(F.lit(0.0), 1 - (F.col("orphans") + F.col("repeated")) / F.greatest(F.col("total"), F.lit(1))))
+
+
+# ---- structure of the whole graph
+
+
+def components(e: DataFrame, n: DataFrame) -> DataFrame:
+    """id, component: the smallest id of each node's connected component, for all nodes of ``n``.
+
+    Stars of large and of small neighbours in turn: each round joins nothing, but hands every
+    node's smallest neighbour to its other ones, so labels spread over twice the distance. The
+    edges of a round are staged, and rounds end once they don't change.
+    """
+    edges = both_ways(e).where("src > dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    edges, before = staged(edges, "edges"), None
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        # larger neighbours get the smallest neighbour or the node itself
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a node and its smaller neighbours all get the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        edges = staged(small.where("a > b").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    # stars now: every node but the smallest has one edge, to it
+    return n.select("id").join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def triangles(e: DataFrame) -> DataFrame:
+    """id, degree, triangles of every node with an edge, relations and directions aside.
+
+    Each edge points to its end of higher degree, so no node has many edges that leave it,
+    hubs least of all; two edges that leave a node make a triangle if their ends are joined.
+    """
+    u = staged(both_ways(e).where("src < dst").select("src", "dst").distinct(), "edges")
+    degree = staged(u.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    d = lambda c: degree.select(F.col("id").alias(c), F.struct("degree", "id").alias(f"o_{c}"))
+    x = u.join(d("src"), "src").join(d("dst"), "dst")
+    up = F.col("o_src") < F.col("o_dst")
+    out = staged(x.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.greatest("o_src", "o_dst").alias("o")), "oriented")
+    wedge = out.join(out.select("a", F.col("b").alias("c"), F.col("o").alias("o_c")), "a").where("o < o_c").select("a", "b", "c")
+    found = wedge.join(out.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
+    each = found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    return degree.join(each, "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+def clustering(e: DataFrame, n: DataFrame) -> DataFrame:
+    """id, coefficient: the share of pairs of a node's neighbours that are joined; 0 for nodes with fewer than two."""
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    t = triangles(e).select("id", F.when(F.col("degree") > 1, F.col("triangles") / pairs).otherwise(0.0).alias("coefficient"))
+    return n.select("id").join(t, "id", "left").select("id", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
+
+
+def density(e: DataFrame, n: DataFrame) -> DataFrame:
+    """One row: nodes, edges (different pairs of different nodes) and their share of all pairs."""
+    nodes = n.agg(F.countDistinct("id").alias("nodes"))
+    edges = both_ways(e).where("src < dst").select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("edges"))
+    return nodes.join(F.broadcast(edges)).select("nodes", "edges", F.coalesce(F.try_divide(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)).alias("density"))

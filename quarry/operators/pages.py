@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed
 from quarry.functions.text import domain
+from quarry.sources.staging import ship
 
 RECORD = """page_id long, url string, content_hash string, page_type string, title string, description string, visible string, main_content string,
 navigation array<struct<text:string,url:string,title:string>>, breadcrumbs array<struct<text:string,url:string>>,
@@ -47,6 +48,7 @@ def records(pages: DataFrame) -> DataFrame:
             rows = [_record(i, None if u is None else str(u), None if h is None else str(h)) for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
             yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(names)})
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(parsed, RECORD)
 
 

@@ -14,6 +14,7 @@ from quarry.operators import graph as G
 from quarry.operators import relational as R
 from quarry.operators import vector as V
 from quarry.operators.mutation import upsert_last
+from quarry.sources.staging import shared_dir
 from quarry.sources.tables import load
 from quarry.streaming import windows as S
 
@@ -692,10 +693,7 @@ SELECT url, min(depth)::BIGINT AS depth FROM w GROUP BY url""")
 def crawl_reach(s, d):
     """Breadth-first over links, resolved against their page's url, from the first url until no level has a new one."""
     if not s.sparkContext.getCheckpointDir():
-        told = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.checkpoint.dir", None)
-        if not told and not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        s.sparkContext.setCheckpointDir(told or "/tmp/checkpoints/quarry")
+        s.sparkContext.setCheckpointDir(shared_dir(s))
 
     def resolved(batches):
         from urllib.parse import urljoin

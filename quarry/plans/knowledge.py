@@ -342,7 +342,7 @@ def vector_store(s, d):
     from quarry.sources import vectors
 
     e = load(s, d, "embeddings")
-    from quarry.plans.records import scratch
+    from quarry.sources.staging import new_path as scratch
 
     path = scratch(s, "vectors")
     vectors.save(e.where("vec_id % 2 = 0"), path, "stand-in", 64)

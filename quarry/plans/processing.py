@@ -12,6 +12,7 @@ from quarry.operators import extraction as E
 from quarry.operators import pages as P
 from quarry.plans.catalogue import load, query
 from quarry.plans.webpages import _CATEGORY
+from quarry.sources.staging import staged
 
 #: Limits of what is processed: characters, and the least quality that is kept.
 LEAST, MOST, LEAST_QUALITY = 50, 100_000, 0.3
@@ -24,19 +25,16 @@ def sentences(c: Column) -> Column:
 
 def readability(c: Column) -> Column:
     """struct of counts, averages, Flesch reading ease and Flesch-Kincaid grade; syllables are runs of vowels."""
-    return X.bound(c, _readability)
+    counts = F.struct(F.size(sentences(c)).alias("s"), X.token_count(c).alias("w"), F.regexp_count(c, F.lit("[aeiouyAEIOUY]+")).alias("y"), F.length(F.regexp_replace(c, r"\s+", "")).alias("l"))
+    return X.bound(counts, _readability)
 
 
-def _readability(c: Column) -> Column:
-    n_s = F.greatest(F.size(sentences(c)), F.lit(1))
-    words = X.token_count(c)
-    n_w = F.greatest(words, F.lit(1))
-    syllables = F.regexp_count(c, F.lit("[aeiouyAEIOUY]+"))
-    per, syl = words / n_s, syllables / n_w
-    letters = F.length(F.regexp_replace(c, r"\s+", ""))
+def _readability(n: Column) -> Column:
+    n_w = F.greatest(n["w"], F.lit(1))
+    per, syl = n["w"] / F.greatest(n["s"], F.lit(1)), n["y"] / n_w
     return F.struct(
-        F.round(206.835 - 1.015 * per - 84.6 * syl, 4).alias("flesch"), F.round(0.39 * per + 11.8 * syl - 15.59, 4).alias("grade"), words.cast("long").alias("words"), F.size(sentences(c)).cast("long").alias("sentences"),
-        F.round(per, 4).alias("sentence_length"), F.round(letters / n_w, 4).alias("word_length"),
+        F.round(206.835 - 1.015 * per - 84.6 * syl, 4).alias("flesch"), F.round(0.39 * per + 11.8 * syl - 15.59, 4).alias("grade"), n["w"].cast("long").alias("words"), n["s"].cast("long").alias("sentences"),
+        F.round(per, 4).alias("sentence_length"), F.round(n["l"] / n_w, 4).alias("word_length"),
     )
 
 
@@ -55,16 +53,15 @@ def readability_whole(s, d):
 
 def quality(c: Column) -> Column:
     """0.2 for length, 0.2 for reading ease, 0.3 for technical categories, 0.15 for sentences and 0.15 for different words; at most 1."""
-    return X.bound(c, _quality)
+    t = X.tokens(c)
+    varied = X.bound(t, lambda t: F.coalesce(F.try_divide(F.size(F.array_distinct(t)), F.size(t)), F.lit(0.0)))
+    return X.bound(F.struct(readability(c).alias("read"), F.size(E.term_categories(c)).alias("kinds"), varied.alias("varied")), _quality)
 
 
-def _quality(c: Column) -> Column:
-    n = X.token_count(c)
+def _quality(x: Column) -> Column:
+    n = x["read"]["words"]
     length = F.when(n.between(100, 3000), F.least(n / 1000, F.lit(1.0))).otherwise(0.5)
-    kinds = F.size(F.array_distinct(F.transform(E.technical_terms(c), lambda x: x["category"])))
-    t = X.tokens(c)
-    varied = F.coalesce(F.try_divide(F.size(F.array_distinct(t)), F.size(t)), F.lit(0.0))
-    total = 0.2 * length + 0.2 * F.least(readability(c)["flesch"] / 100, F.lit(1.0)) + 0.3 * F.least(kinds * 0.1, F.lit(1.0)) + 0.15 * F.least(F.size(sentences(c)) / 20, F.lit(1.0)) + 0.15 * varied
+    total = 0.2 * length + 0.2 * F.least(x["read"]["flesch"] / 100, F.lit(1.0)) + 0.3 * F.least(x["kinds"] * 0.1, F.lit(1.0)) + 0.15 * F.least(x["read"]["sentences"] / 20, F.lit(1.0)) + 0.15 * x["varied"]
     return F.round(F.least(total, F.lit(1.0)), 6)
 
 
@@ -212,7 +209,7 @@ def valid(df: DataFrame) -> Column:
         bad |= u.endswith(x)
     for x in fixed.EXCLUDED_CONTENT_TYPES:
         bad |= F.lower("content_type").contains(x)
-    return F.coalesce((X.url_problems(F.col("url")) == "") & F.length("content").between(LEAST, MOST) & ~bad, F.lit(False))
+    return F.coalesce(X.is_web_url(F.col("url")) & F.length("content").between(LEAST, MOST) & ~bad, F.lit(False))
 
 
 _ENDS = " OR ".join(f"ends_with(lower(regexp_replace(url, '[?#].*$', '')), '{x}')" for x in fixed.EXCLUDED_EXTENSIONS)
@@ -244,8 +241,8 @@ def item_normalise(s, d):
 
 def described(content: Column, meta: Column) -> Column:
     """The stated description, else the first sentence, cut at 200 characters."""
-    first = F.coalesce(F.element_at(sentences(content), 1), F.lit(""))
-    return F.when(F.coalesce(meta, F.lit("")) != "", meta).otherwise(F.when(F.length(first) > 200, F.concat(F.substring(first, 1, 200), F.lit("..."))).otherwise(first))
+    cut = lambda first: F.when(F.length(first) > 200, F.concat(F.substring(first, 1, 200), F.lit("..."))).otherwise(first)
+    return F.when(F.coalesce(meta, F.lit("")) != "", meta).otherwise(X.bound(F.coalesce(F.element_at(sentences(content), 1), F.lit("")), cut))
 
 
 _DESC = f"CASE WHEN doc_id % 5 = 0 THEN 'stated' ELSE CASE WHEN length(coalesce(list_extract({_SENT.replace('(text', '(content')}, 1), '')) > 200 THEN substr(list_extract({_SENT.replace('(text', '(content')}, 1), 1, 200) || '...' ELSE coalesce(list_extract({_SENT.replace('(text', '(content')}, 1), '') END END"
@@ -269,10 +266,13 @@ def item_structured_data(s, d):
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """Items with description, readability, term categories and quality_score."""
-    kinds = F.size(F.array_distinct(F.transform(E.technical_terms(F.col("main_content")), lambda x: x["category"])))
-    t = df.withColumn("main_content", X.strip_boilerplate(X.clean(F.col("content")))).withColumn("description", described(F.col("content"), F.lit(None).cast("string")))
-    t = t.withColumn("flesch", readability(F.col("main_content"))["flesch"]).withColumn("term_kinds", kinds).withColumn("structures", structured(df))
+    """Items with description, readability, term categories and quality_score.
+
+    The cleaned text and what is found in it are settled, so that neither a filter on the score nor other readers compute them again.
+    """
+    t = X.settled(df, main_content=X.strip_boilerplate(X.clean(F.col("content"))))
+    t = X.settled(t, description=described(F.col("content"), F.lit(None).cast("string")), read=readability(F.col("main_content")), categories=E.term_categories(F.col("main_content")))
+    t = t.withColumns({"flesch": F.col("read.flesch"), "words": F.col("read.words"), "term_kinds": F.size("categories"), "structures": structured(df)}).drop("read")
     n = F.length("main_content")
     score = (
         F.when(n > 100, F.least(n / 1000, F.lit(1.0)) * 0.2).otherwise(0.0) + F.when(F.length("title") > 10, 0.1).otherwise(0.0) + F.when(F.length("description") > 20, 0.1).otherwise(0.0)
@@ -318,7 +318,7 @@ def process_rejects(s, d):
 
 def classified(df: DataFrame) -> DataFrame:
     """Scored items with topic, content_type_class and audience."""
-    holds = lambda k: F.exists(E.technical_terms(F.col("main_content")), lambda x: x["category"] == k)
+    holds = lambda k: F.array_contains("categories", k)
     topic = F.when(holds("satellites"), "satellite").when(holds("instruments"), "instrumentation").when(holds("applications"), "applications").when(holds("parameters"), "data_products").otherwise("general")
     kind = F.when(F.col("page_type") == "faq", "faq").when(F.col("page_type") == "documentation", "documentation").when(F.col("page_type") == "product", "product_description").otherwise("informational")
     return df.withColumns({"topic": topic, "kind": kind, "audience": F.when(F.col("flesch") > 70, "general").when(F.col("flesch") > 50, "intermediate").otherwise("technical")})
@@ -352,20 +352,21 @@ SELECT s.doc_id, length(title) AS title_length, desc_length::BIGINT AS descripti
 def seo_metadata(s, d):
     """Lengths, density of the first five keywords, and links by whether they hold the domain."""
     t = items(s, d)
-    t = scored(normalised(t.where(valid(t))))
+    # the words' counts and the texts both come from it
+    t = staged(scored(normalised(t.where(valid(t)))).withColumnRenamed("words", "n_words"), "scored")
     j = t.join(top_words(t, "doc_id", "main_content", 5), "doc_id", "left")
     hits = F.aggregate(F.coalesce("words", F.array().cast("array<string>")), F.lit(0), lambda a, x: a + E.occurrences(F.col("main_content"), x))
     inside = F.size(F.filter("links", lambda x: x.contains(F.col("domain"))))
-    return j.select("doc_id", F.length("title").cast("long").alias("title_length"), F.length("description").cast("long").alias("description_length"), F.round(F.coalesce(F.try_divide(hits, X.token_count(F.col("main_content"))), F.lit(0.0)), 6).alias("keyword_density"), inside.cast("long").alias("internal_links"), (F.size("links") - inside).cast("long").alias("external_links"))
+    return j.select("doc_id", F.length("title").cast("long").alias("title_length"), F.length("description").cast("long").alias("description_length"), F.round(F.coalesce(F.try_divide(hits, F.col("n_words")), F.lit(0.0)), 6).alias("keyword_density"), inside.cast("long").alias("internal_links"), (F.size("links") - inside).cast("long").alias("external_links"))
 
 
 @query(f"WITH {_CHAIN}, o AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS rn FROM scored) SELECT doc_id, length(text) AS content_length, {_TOPIC} AS topic FROM o WHERE rn = 1 AND quality_score >= {LEAST_QUALITY}")
 def post_steps(s, d):
     """Deduplicated by content, filtered by quality, enriched."""
     t = items(s, d)
-    t = scored(normalised(t.where(valid(t))))
+    t = normalised(t.where(valid(t)))
     first = t.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-    kept = t.join(first, ["content_hash", "doc_id"], "left_semi").where(F.col("quality_score") >= LEAST_QUALITY)
+    kept = scored(t.join(first, ["content_hash", "doc_id"], "left_semi")).where(F.col("quality_score") >= LEAST_QUALITY)
     return classified(kept).select("doc_id", F.length("main_content").cast("long").alias("content_length"), "topic")
 
 
@@ -378,10 +379,11 @@ def full_pipeline(s, d):
 
 
 def run_pipeline(scraped: DataFrame) -> dict[str, DataFrame]:
-    """documents, chunks (with vectors) and rejected of scraped items, as lazy plans."""
+    """documents (stored), chunks (with vectors) and rejected of scraped items."""
     from quarry.operators.vector import embedded
 
-    kept = classified(scored(normalised(scraped.where(valid(scraped))))).where(F.col("quality_score") >= LEAST_QUALITY)
+    # stored once: the chunks are cut from what is stored
+    kept = staged(classified(scored(normalised(scraped.where(valid(scraped))))).where(F.col("quality_score") >= LEAST_QUALITY), "documents")
     c = kept.select("doc_id", F.posexplode(X.word_chunks(F.col("main_content"))).alias("chunk_index", "text"))
     chunks = embedded(c.withColumn("content_hash", F.md5(F.col("text").cast("binary"))).withColumn("token_count", X.token_count(F.col("text"))))
     return {"documents": kept, "chunks": chunks, "rejected": scraped.where(~valid(scraped)).select("doc_id", "url")}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,22 +12,12 @@ from quarry.operators import mutation as M
 from quarry.operators import relational as R
 from quarry.plans.catalogue import _ALL, _BOTH, _NODES, load, query
 from quarry.sources import tables as S
+from quarry.sources.staging import new_path as scratch
 
 _n = lambda: F.count(F.lit(1))
 _id = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
 
 
-def scratch(s: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share, removed when the application ends."""
-    told = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.checkpoint.dir", None)
-    if not told and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(told or '/tmp/checkpoints/quarry').rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    p = s._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 # ---- sources and sinks
 
 

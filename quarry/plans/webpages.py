@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions import fixed
 from quarry.operators import pages as P
 from quarry.plans.catalogue import load, query
-from quarry.plans.records import scratch
+from quarry.sources.staging import new_path as scratch
+from quarry.sources.staging import ship
 
 #: Entities that the pages of the tables use, for the SQL's sake.
 _ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -131,6 +132,7 @@ def page_sanitised(s, d):
         for b in batches:
             yield b[["page_id"]].assign(html=[sanitise(h) for h in b["html"]])
 
+    ship(s)
     safe = load(s, d, "pages").select("page_id", "html").mapInPandas(clean, "page_id long, html string")
     return safe.select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"), F.col("html").rlike("(?i)<(script|style|nav|article|div)").alias("unsafe"))
 
@@ -145,6 +147,7 @@ def helper_clean_text(s, d):
         for b in batches:
             yield b[["doc_id"]].assign(text=[helper_clean(t) for t in b["text"]])
 
+    ship(s)
     return load(s, d, "documents").select("doc_id", "text").mapInPandas(clean, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

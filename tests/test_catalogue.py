@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from quarry.plans import catalogue
-from quarry.plans import knowledge, processing, records, state, webpages  # noqa: F401
+from quarry.plans import knowledge, processing, records, state, structure, webpages  # noqa: F401
 from quarry.sources.tables import NAMES
 
 DIR = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def test_same_rows(spark, duck, name):
     r = duck.sql(catalogue.ORACLE_SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(r.columns)
-    assert plain(df.select(*cols).collect()) == plain(r.select(",".join(f'"{c}"' for c in cols)).fetchall())
+    assert plain(df.select(*(f"`{c}`" for c in cols)).collect()) == plain(r.select(",".join(f'"{c}"' for c in cols)).fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
