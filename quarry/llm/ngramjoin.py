@@ -14,8 +14,10 @@ order, rare first. The order is cut into ``FRAGMENTS`` fragments of about equal
    has all common tokens of that prefix in the other's, so too few of them rule the pair out.
    The bitmap filter: parities of the tokens by 8 bits of their hashes can't differ in more
    places than the sets differ in tokens.
-4. The test: each class's set is cut at the fragments, the overlap of a pair is counted for
-   each fragment by itself, and the counts are summed per pair.
+4. The test: each class's set is cut at the fragments into rows (fragment, class, tokens). A
+   fragment's rows are joined with each other by the pairs to test, each giving a partial
+   overlap by itself, and the partial counts are summed per pair. Before, the sizes of two
+   sets in each fragment bound what their overlaps can sum to.
 5. Components come from alternating large-star and small-star rounds.
 
 No link between different components can be missed, because two sets over the threshold
@@ -35,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import forget, lookup_join, release, ship, staged
@@ -137,6 +138,10 @@ class Order:
         keys = (self.rank[(h >> low).astype(np.int64)] << low) | (h & np.uint64((1 << (64 - BUCKET_BITS)) - 1))
         return np.sort((keys ^ np.uint64(1 << 63)).view(np.int64))
 
+    def sizes(self, h: np.ndarray) -> np.ndarray:
+        """How many of the hashes lie in each fragment."""
+        return np.bincount(self.fragment[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], minlength=FRAGMENTS).astype(np.int32)
+
     def cut(self, h: np.ndarray) -> list[np.ndarray]:
         """The hashes of each fragment."""
         f = self.fragment[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -172,7 +177,7 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, row_key, n, h1, h2, sigs, bits, prefix of each document."""
+    """doc_id, row_key, n, h1, h2, sigs, bits, cuts (tokens in each fragment), prefix of each document."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = order.value
@@ -180,21 +185,21 @@ def describe(docs: DataFrame, order, n: int, num: int, den: int) -> DataFrame:
             out = []
             for h in shingle_sets([bytes(t) for t in b["t"]], n):
                 if not len(h):
-                    out.append((0, 0, 0, None, None, None, 0))
+                    out.append((0, 0, 0, None, None, None, None, 0))
                     continue
                 sigs = (h[None, :] * _SEEDS[:, None] ^ (h[None, :] >> np.uint64(31))).min(1) if len(h) < 4096 else np.array([(h * s ^ (h >> np.uint64(31))).min() for s in _SEEDS])
                 p = len(h) - -(-num * len(h) // den) + 1
                 keys = o.keys(h)[:p]
                 # 31 bits of a token are enough to find candidates
-                out.append((len(h), *set_sums(h), sigs.view(np.int64), parities(h), (keys & 0x7FFFFFFF).astype(np.int32), int(keys[-1])))
-            made = pd.DataFrame(out, columns=["n", "h1", "h2", "sigs", "bits", "prefix", "last"])
+                out.append((len(h), *set_sums(h), sigs.view(np.int64), parities(h), o.sizes(h), (keys & 0x7FFFFFFF).astype(np.int32), int(keys[-1])))
+            made = pd.DataFrame(out, columns=["n", "h1", "h2", "sigs", "bits", "cuts", "prefix", "last"])
             yield pd.concat([b[["doc_id", "row_key"]].reset_index(drop=True), made], axis=1)
 
-    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, h1 long, h2 long, sigs array<long>, bits array<long>, prefix array<int>, last long")
+    return docs.mapInPandas(rows, "doc_id string, row_key long, n long, h1 long, h2 long, sigs array<long>, bits array<long>, cuts array<int>, prefix array<int>, last long")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: int) -> DataFrame:
-    """a, b, na, nb, shared for each of ``pairs`` (a, b, na, nb): overlaps counted by fragment and summed.
+    """a, b, na, nb, shared for each of ``pairs`` (a, b, na, nb) with a common token: one partial overlap for each fragment, summed.
 
     Sets are made again from the texts of one document of each class in a pair.
     """
@@ -204,17 +209,23 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: in
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         o = order.value
         for b in batches:
-            parts = [[part.view(np.int64) for part in o.cut(h)] for h in shingle_sets([bytes(t) for t in b["t"]], n)]
-            yield pd.DataFrame({"cid": b["cid"], "fragments": pd.Series(parts, index=b.index, dtype=object)})
+            cids, sets = b["cid"].to_numpy(), shingle_sets([bytes(t) for t in b["t"]], n)
+            rows = [(c, f, part.view(np.int64)) for c, h in zip(cids, sets, strict=True) for f, part in enumerate(o.cut(h)) if len(part)]
+            yield pd.DataFrame(rows, columns=["cid", "fragment", "tokens"])
 
     picked = docs.join(F.broadcast(keys) if keys.count() <= PICK_ROWS else keys, "row_key").select("cid", "t")
     # repeated rows of a document give its set again
-    parts = staged(picked.mapInPandas(cut, "cid long, fragments array<array<long>>"), "fragments").dropDuplicates(["cid"])
-    left = parts.select(F.col("cid").alias("a"), F.col("fragments").alias("fa"))
-    right = parts.select(F.col("cid").alias("b"), F.col("fragments").alias("fb"))
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-    shared = F.aggregate(partial, F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", shared.alias("shared"))
+    parts = staged(picked.mapInPandas(cut, "cid long, fragment int, tokens array<long>"), "fragments").dropDuplicates(["cid", "fragment"])
+    side = lambda k: parts.select("fragment", F.col("cid").alias(k), F.col("tokens").alias(f"t{k}"))
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = each.join(side("a"), ["fragment", "a"]).join(side("b"), ["fragment", "b"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("partial"))
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("shared"))
+
+
+def _fragments_allow(ca: str, cb: str, both: Column, num: int, den: int) -> Column:
+    """Whether the overlaps that the sizes in each fragment allow sum to enough for sets of ``both`` tokens together."""
+    most = F.aggregate(F.zip_with(ca, cb, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return most * (num + den) >= num * both
 
 
 def linked(o: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,28 +275,30 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "row_key", "t")
     d = staged(describe(texts, order, n, num, den), "documents")
-    c = d.where("n > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), *(F.first(x).alias(x) for x in ("n", "sigs", "bits", "prefix", "last")))
+    c = d.where("n > 0").groupBy("h1", "h2").agg(F.min(F.col("doc_id").cast(kind)).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"), *(F.first(x).alias(x) for x in ("n", "sigs", "bits", "cuts", "prefix", "last")))
     c, whole = staged(c.withColumn("cid", F.monotonically_increasing_id()), "classes"), d
     d = staged(d.select("doc_id", "n", "h1", "h2", *["row_key"] * rows), "documents")
     forget(whole)
 
     # step 2
-    g = c.select("cid", "n", "sigs", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig"))
-    heads = g.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key"), F.col("cid").alias("hid"), F.col("n").alias("hn"), F.col("sigs").alias("hs"))).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "h.hid", "h.hn", "h.hs")
+    g = c.select("cid", "n", "sigs", "cuts", F.posexplode("sigs").alias("j", "sig")).withColumn("key", F.xxhash64("j", "sig"))
+    heads = g.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key"), F.col("cid").alias("hid"), F.col("n").alias("hn"), F.col("sigs").alias("hs"), F.col("cuts").alias("hc"))).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "h.hid", "h.hn", "h.hs", "h.hc")
     g = lookup_join(g, heads, "key", F.col("cid"), salts=8).where("hid IS NOT NULL AND hid <> cid")
     same = sum(((F.col("sigs")[i] == F.col("hs")[i]).cast("int") for i in range(SIGNATURES)), F.lit(0))
-    g = g.where((same >= AGREE) & _long_enough(F.col("n"), F.col("hn"), num, den))
+    g = g.where((same >= AGREE) & _long_enough(F.col("n"), F.col("hn"), num, den) & _fragments_allow("cuts", "hc", F.col("n") + F.col("hn"), num, den))
     pairs = staged(g.select(F.least("cid", "hid").alias("a"), F.greatest("cid", "hid").alias("b"), F.when(F.col("cid") < F.col("hid"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("cid") < F.col("hid"), F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct(), "pairs")
     early = staged(components(linked(overlaps(docs, pairs, c, order, n), num, den)), "components")
     forget(pairs)
 
-    # step 3; both sides of the join read one shuffle
+    # step 3
     x = lookup_join(c.select("cid", "n", "bits", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
     x = x.select("cid", "n", F.coalesce("component", "cid").alias("comp"), *(F.col("bits")[i].alias(f"b{i}") for i in range(4)), F.posexplode("prefix").alias("pos", "token"))
     x = x.select("token", "cid", "comp", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("m"), *(f"b{i}" for i in range(4)))
-    # tokens of one component only can't link two
-    w = W.partitionBy("token")
-    x = x.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi")
+    # tokens of one component only can't link two; staged, so that the join's sides can be split where a token is frequent
+    x = staged(x, "tokens")
+    several = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    every, x = x, staged(x.join(several, "token", "left_semi"), "tokens")
+    forget(every)
     l, r = (x.select("token", *(F.col(k).alias(k + s) for k in x.columns[1:])) for s in "12")
     n1, n2 = (F.shiftright(f"m{s}", 32).cast("int") for s in "12")
     pos1, pos2 = (F.col(f"m{s}").bitwiseAND(0x7FFFFFFF).cast("int") for s in "12")
@@ -296,12 +309,12 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     found = staged(found, "pairs")
     release(spark)
     for k in "ab":
-        found = found.join(c.select(F.col("cid").alias(k), F.col("prefix").alias(f"p{k}"), F.col("last").alias(f"l{k}")), k)
+        found = found.join(c.select(F.col("cid").alias(k), F.col("prefix").alias(f"p{k}"), F.col("last").alias(f"l{k}"), F.col("cuts").alias(f"cut_{k}")), k)
     first = F.col("la") <= F.col("lb")
     # tokens that share their 31 bits make one, so no more are counted as missing than are
     missing = F.size(F.array_except(F.when(first, F.col("pa")).otherwise(F.col("pb")), F.when(first, F.col("pb")).otherwise(F.col("pa"))))
     enough = missing <= F.when(first, F.col("na")).otherwise(F.col("nb")) - F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    found = staged(found.where(enough).select("a", "b", "na", "nb", "ca", "cb"), "pairs")
+    found = staged(found.where(enough & _fragments_allow("cut_a", "cut_b", F.col("na") + F.col("nb"), num, den)).select("a", "b", "na", "nb", "ca", "cb"), "pairs")
     late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
     forget(found)
