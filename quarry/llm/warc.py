@@ -11,7 +11,7 @@ Defined results: null html is an empty payload; an empty table gives no archives
 rows; repeated rows give a record each; a null page id gives a record without an id, which
 revisits an equal payload that has one; a record with missing, repeated or misnumbered
 segments, a wrong total length, bad framing or a digest mismatch has status ``damaged``
-and a null payload; a cut or damaged file gives the records before the damage and one such row
+and a null payload, and so has, once ``resolved``, a revisit without its response; a cut or damaged file gives the records before the damage and one such row
 for the rest. Records of other types (warcinfo, request, metadata) are skipped. The parts of one
 record meet in one row, so a record's block is bounded by a row's memory. Other columns of the
 input are ignored.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import lookup_join, new_path, ship
+from quarry.llm.common import lookup_join, new_path, ship, staged
 
 #: Longest record block, in bytes; longer ones are segmented.
 SEGMENT_BYTES = 4096
@@ -39,6 +40,7 @@ CHUNK_BYTES = 1500
 #: Records per archive file, which with the bound on blocks limits a file's size.
 RECORDS_PER_FILE = 4096
 
+_SIZE = re.compile(rb"[0-9A-Fa-f]{1,16}")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -58,7 +60,9 @@ def unframe(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].rstrip(b" \t")
+        if not _SIZE.fullmatch(digits) or (size := int(digits, 16)) > len(body) - end:
+            raise ValueError("a chunk's size is no number, or more than is left")
         at = end + 2
         if size == 0:
             # trailer fields, if any, end with an empty line
@@ -276,13 +280,31 @@ def reassemble(parts: DataFrame) -> DataFrame:
     )
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``records`` with each revisit's payload length and digest taken from the response that it names.
+
+    A revisit whose response isn't there, isn't whole or has another digest is ``damaged``.
+    """
+    records = staged(records.drop("payload"), "records")
+    asked = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    whole = records.where("record_type <> 'revisit' AND status = 'whole'").select("page_id", "payload_digest", "payload_bytes")
+    found = whole.join(asked, ["page_id", "payload_digest"]).groupBy(F.concat_ws(" ", "payload_digest", "page_id").alias("named")).agg(F.max("payload_bytes").alias("there"))
+    revisit = F.col("record_type") == "revisit"
+    r = lookup_join(records.withColumn("named", F.when(revisit, F.concat_ws(" ", "payload_digest", "refers_to"))), found, "named", F.col("page_id"))
+    lost = F.coalesce(revisit, F.lit(False)) & F.col("there").isNull()
+    return r.select(
+        "page_id", "url", "record_type", "refers_to", F.when(lost, "damaged").otherwise(F.col("status")).alias("status"), "n_segments",
+        F.when(revisit, F.col("there")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(~lost, F.col("payload_digest")).alias("payload_digest"),
+    )
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes ``pages`` to archives and returns what reading them back gives."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = new_path(spark, "warc")
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
-    r = reassemble(read_parts(spark, path))
+    r = resolved(reassemble(read_parts(spark, path)))
     return r.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

@@ -130,6 +130,26 @@ def test_warc_damage():
     assert warc.assemble(parts, f | {"warc-payload-digest": "sha1:X"})[0] == "damaged"
 
 
+def test_warc_chunk_sizes_are_strict():
+    assert warc.unframe(b"5 ;x=y\r\nhello\r\n00\r\n\r\n") == b"hello"
+    for size in (b"-6", b"+5", b"1_0", b" 5", b"0x5", b"", b"g", b"7fffffffffffffff", b"5" * 40, b"6"):
+        with pytest.raises(ValueError):
+            warc.unframe(b"1\r\nA\r\n" + size + b"\r\nhello\r\n0\r\n\r\n")
+
+
+def test_warc_revisits_need_their_response(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "same" if i < 5 else f"own {i}") for i in range(8)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/r")
+    records = warc.reassemble(warc.read_parts(spark, f"{tmp_path}/r"))
+    got = {r.page_id: r for r in warc.resolved(records).collect()}
+    assert len(got) == 8 and all(r.status == "whole" and r.payload_bytes == (4 if int(i) < 5 else 5) for i, r in got.items())
+    assert all(got[str(i)].refers_to == "4" and got[str(i)].payload_digest == got["4"].payload_digest for i in range(4))
+    lost = warc.resolved(records.where("page_id <> '4'"))
+    assert sorted((r.page_id, r.status, r.payload_bytes) for r in lost.where("record_type = 'revisit'").collect()) == [(str(i), "damaged", None) for i in range(4)]
+    other = warc.resolved(records.withColumn("payload_digest", F.when(F.col("page_id") == "4", "X").otherwise(F.col("payload_digest"))))
+    assert other.where("status = 'damaged'").count() == 4
+
+
 def test_warc_damaged_files_give_rows(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i + 10) + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, f"{tmp_path}/w")
