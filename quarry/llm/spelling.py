@@ -173,7 +173,7 @@ def _rooted(words: DataFrame) -> DataFrame:
     step = staged(words.where("form IS NOT NULL").select("word", F.col("form").alias("to")), "forms")
     while True:
         on = step.select(F.col("word").alias("to"), F.col("to").alias("on"))
-        moved = staged(lookup_join(step, on, "to", F.col("word")).select("word", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "forms")
+        moved = staged(lookup_join(step, on, "to", F.col("word"), salts=1).select("word", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "forms")
         step = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
