@@ -4,59 +4,15 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.staging import new_path, shared_dir, ship, staged  # noqa: F401  (the operators take them from here)
+
 #: A looked-up table is broadcast up to this many rows; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python workers (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="quarry-code-")
-    path = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, in local mode only."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not told and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return told or "/tmp/checkpoints/quarry"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
-    jvm, jsc = spark._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def forget(*tables: DataFrame) -> None:
     """Removes the files of tables made by ``staged`` that nothing reads any more, and lets Spark drop the shuffles behind them."""
