@@ -187,6 +187,18 @@ RELATION_PATTERNS = {
 }
 NEGATIVE = (r"(?:not|no|without|except|excluding)\s+", r"(?:unlike|different\s+from|compared\s+to)\s+", r"(?:if|when|while|although|though)\s+", r"(?:might|could|would|should|may)\s+")
 TEMPORAL = (r"(?:since|from|during|in)\s+(\d{4}|\w+\s+\d{4})", r"(?:launched|operational|active)\s+(?:since|from|in)\s+(\d{4}|\w+\s+\d{4})", r"(?:between|from)\s+(\d{4})\s+(?:to|and)\s+(\d{4})")
+SPATIAL = (r"(?:over|above|covering)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"(?:in|at|from)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"(?:region|area|zone):\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)")
+QUANTITATIVE = (
+    r"(\d+(?:\.\d+)?)\s*(km|m|degrees?|%|Hz|GHz|MHz)",
+    r"(?:resolution|accuracy|frequency):\s*(\d+(?:\.\d+)?)\s*(km|m|degrees?|%|Hz|GHz|MHz)",
+    r"(?:approximately|about|around)\s+(\d+(?:\.\d+)?)\s*(km|m|degrees?|%|Hz|GHz|MHz)",
+)
+#: Properties of a relation that its context states, by relation: (property, pattern).
+STATED = {
+    "measures": (("measurement_accuracy", r"accuracy[:\s]+([^,\.\s]+)"), ("measurement_frequency", r"frequency[:\s]+([^,\.\s]+)")),
+    "observes": (("coverage_area", r"coverage[:\s]+([^,\.\s]+)"), ("spatial_resolution", r"resolution[:\s]+([^,\.\s]+)")),
+    "operated_by": (("role", r"(?:role|responsibility)[:\s]+([^,\.\s]+)"),),
+}
 
 # ---- Fixed values: page types, by substrings of the url and then of the title, in order.
 PAGE_TYPES_BY_URL = (

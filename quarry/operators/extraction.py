@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,21 +75,29 @@ def satellite_info(text: Column) -> Column:
     )
 
 
-def _by_pattern(docs: DataFrame, key: str, text: str, patterns: list[tuple]) -> DataFrame:
-    """key, text, a struct p of (name, number, first type, second type, expression) and x (start, end, m) of every match.
+def _by_pattern(docs: DataFrame, key: str, text: str, patterns: list[tuple], more: Callable[[Column, Column, Column], dict[str, Column]]) -> DataFrame:
+    """key and, for every match of a pattern, kind, pattern (its number), src_type, dst_type, start, end and what ``more`` makes of (text, expression, match).
 
-    Texts are first tested against each pattern; only those that match get places, by one expression for all patterns.
+    A text is tested against each pattern and the matches of those that fit are placed, all in its own row: no copy of the text is made for a pattern or a match.
     """
     names = ("kind", "pattern", "src_type", "dst_type", "re")
-    tests = (F.when(F.col(text).rlike(p[-1]), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p, strict=True)))) for p in patterns)
-    hit = docs.select(key, text, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("p"))
-    return hit.select(key, text, "p", F.explode(located(F.col(text), F.col("p.re"))).alias("x"))
+
+    def places(t: Column) -> Column:
+        tests = (F.when(t.rlike(p[-1]), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p, strict=True)))) for p in patterns)
+
+        def found(p: Column) -> Column:
+            row = lambda x: F.struct(*(p[n].alias(n) for n in names[:-1]), x["start"].alias("start"), x["end"].alias("end"), *(c.alias(n) for n, c in more(t, p["re"], x).items()))
+            return F.transform(located(t, p["re"]), row)
+
+        return F.flatten(F.transform(F.filter(F.array(*tests), lambda x: x.isNotNull()), found))
+
+    return docs.select(key, F.inline(bound(F.col(text), places)))
 
 
 def pattern_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, name, type, pattern (its number within the type), start, end of every match of an entity pattern."""
     patterns = [(kind, i, kind, kind, f"(?i){p}") for kind, ps in fixed.ENTITY_PATTERNS.items() for i, p in enumerate(ps)]
-    found = _by_pattern(docs, key, text, patterns).select(key, F.trim("x.m").alias("name"), F.col("p.kind").alias("type"), "p.pattern", "x.start", "x.end")
+    found = _by_pattern(docs, key, text, patterns, lambda t, p, x: {"name": F.trim(x["m"])}).select(key, "name", F.col("kind").alias("type"), "pattern", "start", "end")
     return found.where((F.length("name") >= LEAST_LENGTH) & ~F.lower("name").isin("the", "and", "for", "with"))
 
 
@@ -188,18 +197,32 @@ def relation_patterns() -> list[tuple[str, int, str, str, str]]:
     return out
 
 
+def _around(t: Column, x: Column) -> dict[str, Column]:
+    """What stands before a match, and the match with what is around it, in one line."""
+    first, wide = F.greatest(x["start"] - BEFORE, F.lit(0)), F.greatest(x["start"] - AROUND, F.lit(0))
+    return {"before": F.substring(t, first + 1, x["start"] - first), "context": F.trim(F.regexp_replace(F.substring(t, wide + 1, x["end"] + AROUND - wide), r"\s+", " "))}
+
+
 def pattern_relations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, source, src_type, target, dst_type, rel, start, context, temporal of every relation pattern that matches and isn't negated."""
-    end = lambda n: F.trim(F.call_function("regexp_extract", F.col("x.m"), F.col("p.re"), F.lit(n)))
-    found = _by_pattern(docs, key, text, relation_patterns()).select(key, text, F.col("p.kind").alias("rel"), "p.pattern", "p.src_type", "p.dst_type", end(1).alias("source"), end(2).alias("target"), "x.start", "x.end")
-    begin = F.greatest(F.col("start") - BEFORE, F.lit(0))
-    before = F.substring(F.col(text), begin + 1, F.col("start") - begin)
-    found = found.where(~before.rlike("(?i)" + "|".join(fixed.NEGATIVE)))
-    begin = F.greatest(F.col("start") - AROUND, F.lit(0))
-    context = F.trim(F.regexp_replace(F.substring(F.col(text), begin + 1, F.col("end") + AROUND - begin), r"\s+", " "))
-    found = found.withColumn("context", context)
-    years = F.concat(*(F.regexp_extract_all("context", F.lit(f"(?i){p}"), F.lit(1)) for p in fixed.TEMPORAL))
-    return found.select(key, "source", "src_type", "target", "dst_type", "rel", "pattern", "start", "context", years.alias("temporal"))
+    """Every relation pattern that matches and isn't negated: key, source, src_type, target, dst_type, rel, start, context, and what the context states.
+
+    temporal and spatial hold what their patterns name, quantitative numbers with units, and
+    stated the properties (a map) that relations of this kind have.
+    """
+
+    def more(t: Column, p: Column, x: Column) -> dict[str, Column]:
+        end = lambda n: F.trim(F.call_function("regexp_extract", x["m"], p, F.lit(n)))
+        return {"source": end(1), "target": end(2), **_around(t, x)}
+
+    found = _by_pattern(docs, key, text, relation_patterns(), more).where(~F.col("before").rlike("(?i)" + "|".join(fixed.NEGATIVE)))
+    every = lambda patterns, group: F.concat(*(F.regexp_extract_all("context", F.lit(f"(?i){p}"), F.lit(group)) for p in patterns))
+    amounts = F.transform(F.arrays_zip(every(fixed.QUANTITATIVE, 1).alias("n"), every(fixed.QUANTITATIVE, 2).alias("unit")), lambda q: F.concat_ws(" ", q["n"], q["unit"]))
+    said = [F.when(F.col("kind") == rel, F.struct(F.lit(name).alias("key"), F.nullif(F.regexp_extract("context", f"(?i){p}", 1), F.lit("")).alias("value"))) for rel, ps in fixed.STATED.items() for name, p in ps]
+    stated = F.map_from_entries(F.filter(F.array(*said), lambda x: x.isNotNull() & x["value"].isNotNull()))
+    return found.select(
+        key, "source", "src_type", "target", "dst_type", F.col("kind").alias("rel"), "pattern", "start", "context",
+        every(fixed.TEMPORAL, 1).alias("temporal"), every(fixed.SPATIAL, 1).alias("spatial"), amounts.alias("quantitative"), stated.alias("stated"),
+    )
 
 
 def relation_confidence(base: Column, method: Column, context: Column, source_count: Column, target_count: Column) -> Column:

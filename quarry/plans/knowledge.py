@@ -7,6 +7,7 @@ same expression in both dialects, and parts give the rows of a table.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,11 +249,29 @@ def run_template(nodes: DataFrame, edges: DataFrame, name: str, **params: object
     return TEMPLATES[name](nodes, edges, **params)
 
 
-@query(f"WITH {_NODES}, {_GEO}, {_BOTH} SELECT 'neighbours' AS query, count(*) AS n FROM both_ways JOIN nodes ON id = dst WHERE src = 'n3' UNION ALL SELECT 'entities', count(*) FROM nodes WHERE type = 'nation' UNION ALL SELECT 'relations', count(*) FROM edges WHERE rel = 'located_in'")
+def answered(nodes: DataFrame, edges: DataFrame, queries: list[tuple[str, dict]]) -> DataFrame:
+    """query, row: the rows of several queries by name, each as JSON of its columns by name."""
+    parts = [run_template(nodes, edges, name, **params) for name, params in queries]
+    one = lambda name, df: df.select(F.lit(name).alias("query"), F.to_json(F.struct(*sorted(df.columns))).alias("row"))
+    return reduce(DataFrame.unionByName, (one(q[0], df) for q, df in zip(queries, parts, strict=True)))
+
+
+@query(f"""WITH RECURSIVE {_NODES}, {_GEO}, {_BOTH}, w AS (SELECT 's1' AS node, ['s1'] AS path, 0 AS depth UNION ALL SELECT dst, list_append(path, dst), depth + 1 FROM w JOIN both_ways ON src = node WHERE depth < 4 AND NOT list_contains(path, dst)), near AS (SELECT DISTINCT node FROM w WHERE depth <= 1),
+b AS (SELECT DISTINCT src, dst, rel FROM both_ways), g AS (SELECT src AS id, count(DISTINCT dst) AS deg FROM b GROUP BY 1), sh AS (SELECT b.src AS id, count(DISTINCT b.dst) AS shared FROM b JOIN b m ON m.src = 's1' AND m.dst = b.dst AND m.rel = b.rel WHERE b.src <> 's1' GROUP BY 1)
+SELECT 'find_entities' AS query, to_json({{'id': id, 'name': name, 'type': type}}) AS row FROM nodes WHERE type = 'nation' UNION ALL SELECT 'find_relations', to_json({{'dst': dst, 'rel': rel, 'src': src}}) FROM edges WHERE rel = 'located_in'
+UNION ALL SELECT 'find_neighbors', to_json({{'id': id, 'name': name, 'rel': rel, 'type': type}}) FROM both_ways JOIN nodes ON id = dst WHERE src = 'n3'
+UNION ALL SELECT 'find_paths', to_json({{'length': depth, 'path': p}}) FROM (SELECT depth, array_to_string(path, '>') AS p FROM w WHERE node = 's2' AND depth > 0 ORDER BY depth, p LIMIT 10)
+UNION ALL SELECT 'find_similar', to_json({{'id': sh.id, 'shared': shared}}) FROM sh JOIN nodes USING (id) WHERE type = 'supplier'
+UNION ALL SELECT 'subgraph', to_json({{'dst': dst, 'rel': rel, 'src': src}}) FROM edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)
+UNION ALL SELECT 'traversal', to_json({{'distance': depth, 'id': id, 'name': name, 'path': p, 'type': type}}) FROM (SELECT DISTINCT depth, id, name, type, array_to_string(path, '>') AS p FROM w JOIN nodes ON id = node WHERE depth BETWEEN 1 AND 2 ORDER BY depth, name, p LIMIT 50)
+UNION ALL SELECT 'aggregate', to_json({{'n': count(*), 'type': type}}) FROM nodes GROUP BY type""")
 def template_dispatch(s, d):
-    n, e = G.nodes(s, d), G.geo_edges(s, d)
-    one = lambda q, df: df.agg(F.lit(q).alias("query"), F.count(F.lit(1)).alias("n"))
-    return one("neighbours", run_template(n, e, "find_neighbors", id="n3")).unionByName(one("entities", run_template(n, e, "find_entities", type="nation"))).unionByName(one("relations", run_template(n, e, "find_relations", rel="located_in")))
+    """The rows of all eight queries by name."""
+    n, e = G.nodes(s, d).select("id", "name", "type"), G.geo_edges(s, d)
+    queries = [("find_entities", {"type": "nation"}), ("find_relations", {"rel": "located_in"}), ("find_neighbors", {"id": "n3"}), ("find_paths", {"start": "s1", "end": "s2", "longest": 4}), ("find_similar", {"id": "s1"}), ("subgraph", {"id": "s1", "radius": 1}), ("traversal", {"start": "s1", "depth": 2}), ("aggregate", {})]
+    out = answered(n, e, queries)
+    # a similarity is a fraction, whose digits the two engines write differently
+    return out.select("query", F.when(F.col("query") == "find_similar", F.regexp_replace("row", ',"similarity":[^,}]*', "")).otherwise(F.col("row")).alias("row"))
 
 
 def _walk(depth: int) -> str:
@@ -296,12 +315,19 @@ def find_relations_distinct(s, d):
 _SEM = "SELECT d.doc_id, d.text, d.source, round(1 - list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2))), 6) AS relevance FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY relevance DESC, d.doc_id LIMIT 15"
 
 
-@query(f"SELECT 'semantic' AS kind, doc_id, relevance AS score FROM (SELECT * FROM ({_SEM}) ORDER BY relevance DESC, doc_id LIMIT 10 OFFSET 5) UNION ALL SELECT 'keyword', doc_id, 0.8::DOUBLE FROM (SELECT doc_id FROM documents WHERE text ILIKE '%the%' ORDER BY doc_id LIMIT 10 OFFSET 5)")
+_KEY = "(SELECT doc_id, text, source FROM documents WHERE text ILIKE '%the%' ORDER BY doc_id LIMIT 15)"
+
+
+@query(f"""WITH h AS (SELECT doc_id, text, source, round(relevance * 1.2, 6) AS score, 0 AS leg FROM ({_SEM}) UNION ALL SELECT doc_id, text, source, 0.8::DOUBLE, 1 FROM {_KEY}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(source, '') || ':' || substr(coalesce(text, ''), 1, 100) ORDER BY leg, score DESC, doc_id) AS rn FROM h) WHERE rn = 1 ORDER BY score DESC, leg, doc_id LIMIT 15),
+a AS (SELECT 'semantic' AS kind, doc_id, relevance AS score FROM (SELECT * FROM ({_SEM}) ORDER BY relevance DESC, doc_id LIMIT 10 OFFSET 5) UNION ALL SELECT 'keyword', doc_id, 0.8::DOUBLE FROM (SELECT * FROM {_KEY} ORDER BY doc_id LIMIT 10 OFFSET 5) UNION ALL SELECT 'hybrid', doc_id, score FROM (SELECT * FROM f ORDER BY score DESC, doc_id LIMIT 10 OFFSET 5))
+SELECT * FROM a UNION ALL SELECT 'log:' || kind, NULL, count(*)::DOUBLE FROM a GROUP BY kind""")
 def search_dispatch(s, d):
-    """Pages of two kinds of search."""
+    """A page of each kind of search, and the log of the searches: kind and number of results."""
     docs, emb = load(s, d, "documents"), load(s, d, "embeddings")
-    page = lambda k: V.search(docs, emb, k, 0, "the", 10, 5).select(F.lit(k).alias("kind"), "doc_id", "score")
-    return page("semantic").unionByName(page("keyword"))
+    found = [V.search(docs, emb, k, 0, "the", 10, 5).select(F.lit(k).alias("kind"), "doc_id", "score") for k in ("semantic", "keyword", "hybrid")]
+    log = [f.groupBy(F.concat(F.lit("log:"), "kind").alias("kind")).agg(F.lit(None).cast("long").alias("doc_id"), F.count(F.lit(1)).cast("double").alias("score")) for f in found]
+    return reduce(DataFrame.unionByName, found + log)
 
 
 @query("""WITH q AS (SELECT doc_id, string_split_regex(lower(source || ' ' || substr(text, 1, 500)), '\\s+') AS w FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL)), o AS (SELECT doc_id, string_split_regex(lower(source || ' ' || substr(text, 1, 500)), '\\s+') AS w FROM documents WHERE text IS NOT NULL)
@@ -315,15 +341,18 @@ def similar_by_head(s, d):
 
 @query(f"""WITH {_NODES}, {_GEO}, {_BOTH}, r AS (SELECT n.name || ' (' || n.type || ') - ' || rel AS x, n.name, row_number() OVER (ORDER BY n.name) AS rn FROM both_ways JOIN nodes n ON n.id = dst WHERE src = 'n3'),
 m AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
-SELECT conv_id, md5((SELECT string_agg(x, '; ' ORDER BY name) FROM r WHERE rn <= 5) || chr(10) || string_agg(x, chr(10) ORDER BY turn)) AS context FROM m WHERE rn <= 6 GROUP BY conv_id""")
+SELECT conv_id, md5((SELECT string_agg('[' || source || '] ' || substr(text, 1, 500), chr(10) ORDER BY relevance DESC, doc_id) FROM (SELECT * FROM ({_SEM}) ORDER BY relevance DESC, doc_id LIMIT 5)) || chr(10) || (SELECT string_agg(x, '; ' ORDER BY name) FROM r WHERE rn <= 5) || chr(10) || string_agg(x, chr(10) ORDER BY turn)) AS context FROM m WHERE rn <= 6 GROUP BY conv_id""")
 def query_context(s, d):
-    """Five relations of an entity and the last six messages of each conversation, as one text."""
+    """The five nearest documents, five relations of an entity and the last six messages of each conversation, as one text."""
+    near = V.semantic(load(s, d, "documents"), load(s, d, "embeddings"), 0, 5)
+    block = F.struct((-F.col("relevance")).alias("r"), "doc_id", F.concat(F.lit("["), "source", F.lit("] "), F.substring("text", 1, 500)).alias("x"))
+    docs = near.agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda v: v["x"]), "\n").alias("docs"))
     r = G.neighbours(G.geo_edges(s, d), G.nodes(s, d), "n3").orderBy("name").limit(5)
     rel = r.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", F.concat("name", F.lit(" ("), "type", F.lit(") - "), "rel").alias("x")))), lambda v: v["x"]), "; ").alias("relations"))
     w = E.ranked(load(s, d, "conversations"), ["conv_id"], [F.desc("turn")], 6)
     said = F.struct("turn", F.concat(F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit(": "), "text").alias("x"))
     m = w.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda v: v["x"]), "\n").alias("said"))
-    return m.join(F.broadcast(rel)).select("conv_id", F.md5(F.concat("relations", F.lit("\n"), "said").cast("binary")).alias("context"))
+    return m.join(F.broadcast(rel)).join(F.broadcast(docs)).select("conv_id", F.md5(F.concat("docs", F.lit("\n"), "relations", F.lit("\n"), "said").cast("binary")).alias("context"))
 
 
 @query(f"""WITH {_NOTES}, {_TERMS}, rels AS (SELECT a.term AS x, b.term AS y FROM terms a JOIN terms b ON a.doc_id = b.doc_id WHERE a.category = 'satellites' AND b.category = 'instruments' GROUP BY ALL)
@@ -336,18 +365,17 @@ def query_enhancement(s, d):
     return t.join(rels, "term").groupBy("doc_id", "term").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("related"))
 
 
-@query("SELECT vec_id, len(embedding) AS size, md5(array_to_string(list_transform(embedding, lambda x: round(x, 3)::VARCHAR), ',')) IS NOT NULL AS there FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS size, md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS digest, 'stand-in' AS model FROM embeddings")
 def vector_store(s, d):
-    """Vectors saved with their metadata, others appended by key, and all loaded again."""
+    """Vectors saved with their metadata, others appended by key, and all loaded again, whole."""
     from quarry.sources import vectors
+    from quarry.sources.staging import new_path
 
-    e = load(s, d, "embeddings")
-    from quarry.sources.staging import new_path as scratch
-
-    path = scratch(s, "vectors")
+    e, path = load(s, d, "embeddings"), new_path(s, "vectors")
     vectors.save(e.where("vec_id % 2 = 0"), path, "stand-in", 64)
     vectors.append(e, path, "stand-in", 64)
-    return vectors.load(s, path).select("vec_id", F.size("embedding").cast("long").alias("size"), F.lit(True).alias("there"))
+    digits = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ",")
+    return vectors.load(s, path).select("vec_id", F.size("embedding").cast("long").alias("size"), F.md5(digits.cast("binary")).alias("digest"), "model")
 
 
 @query()

@@ -167,20 +167,20 @@ def chunks_recursive(s, d):
 
 
 def question_pairs(c: Column) -> Column:
-    """array<struct<question, answer>>: marked questions and answers, then numbered questions."""
-    of = lambda p, q, a: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(F.trim(F.regexp_extract(m, p, q)).alias("question"), F.trim(F.regexp_extract(m, p, a)).alias("answer")))
+    """array<struct<question, answer>>: marked questions and answers, then numbered questions; without white space around them."""
+    part = lambda m, p, g: F.btrim(F.regexp_extract(m, p, g), F.lit(" \t\n\x0b\f\r"))
+    of = lambda p, q, a: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(part(m, p, q).alias("question"), part(m, p, a).alias("answer")))
     numbered = F.filter(of(fixed.FAQ, 2, 3), lambda x: (x["question"] != "") & (x["answer"] != ""))
     return F.concat(of(fixed.QA, 1, 2), numbered)
 
 
 @query()
 def question_pairs_of_turns(s, d):
-    """From conversations written as questions and answers."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    c = load(s, d, "conversations").where("turn < 2").withColumn("answer", F.lead("text").over(w)).where("turn = 0 AND answer IS NOT NULL")
-    plain = lambda x: F.regexp_replace(F.substring(x, 1, 40), "[QqAa\n]", "o")
-    t = c.select("conv_id", F.concat(F.lit("Q: "), plain(F.col("text")), F.lit(" A: "), plain(F.col("answer"))).alias("t"))
-    return t.select("conv_id", F.explode(question_pairs(F.col("t"))).alias("x")).select("conv_id", "x.question", "x.answer")
+    """From whole conversations written as questions and answers: every turn, its whole text."""
+    mark = F.when(F.col("role") == "user", "Q: ").otherwise("A: ")
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat(mark, "text").alias("x"))))
+    t = load(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda r: r["x"]), "\n").alias("t"))
+    return t.select("conv_id", F.posexplode(question_pairs(F.col("t"))).alias("pair", "x")).select("conv_id", "pair", "x.question", "x.answer")
 
 
 # ---- the chain
@@ -370,12 +370,17 @@ def post_steps(s, d):
     return classified(kept).select("doc_id", F.length("main_content").cast("long").alias("content_length"), "topic")
 
 
-@query(f"WITH {_CHAIN}, e AS (SELECT * FROM scored WHERE quality_score >= {LEAST_QUALITY}) SELECT 'documents' AS name, count(*) AS n FROM e UNION ALL SELECT 'chunks', coalesce(sum((words + 999) // 1000), 0)::BIGINT FROM e UNION ALL SELECT 'rejected', (SELECT count(*) FROM items) - (SELECT count(*) FROM valid)")
+@query(rf"""WITH {_CHAIN}, e AS (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM scored WHERE quality_score >= {LEAST_QUALITY})
+SELECT 'document' AS kind, doc_id, NULL::BIGINT AS chunk, md5(text) AS digest, {_TOPIC} AS topic, quality_score FROM e UNION ALL
+SELECT 'chunk', doc_id, i // 1000, md5(array_to_string(w[i + 1:i + 1000], ' ')), NULL, NULL FROM (SELECT doc_id, w, unnest(range(0, len(w), 1000)) AS i FROM e) UNION ALL
+SELECT 'rejected', doc_id, NULL, md5(url), NULL, NULL FROM items WHERE doc_id NOT IN (SELECT doc_id FROM valid)""")
 def full_pipeline(s, d):
-    """Rows of each table that the whole pipeline stores."""
+    """Every row that the whole pipeline stores: documents, chunks and what it refuses."""
     out = run_pipeline(items(s, d))
-    n = lambda k: out[k].agg(F.lit(k).alias("name"), F.count(F.lit(1)).alias("n"))
-    return n("documents").unionByName(n("chunks")).unionByName(n("rejected"))
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, digest, chunk=none, topic=none, score=none: df.select(F.lit(kind).alias("kind"), "doc_id", chunk.cast("long").alias("chunk"), F.md5(F.col(digest).cast("binary")).alias("digest"), topic.alias("topic"), score.cast("double").alias("quality_score"))
+    docs = row(out["documents"], "document", "main_content", topic=F.col("topic"), score=F.col("quality_score"))
+    return docs.unionByName(row(out["chunks"], "chunk", "text", F.col("chunk_index"))).unionByName(row(out["rejected"], "rejected", "url"))
 
 
 def run_pipeline(scraped: DataFrame) -> dict[str, DataFrame]:

@@ -178,10 +178,11 @@ def feedback_append(s, d):
 # ---- exports
 
 
-@query("""SELECT conv_id, md5('[' || string_agg('{"role":"' || role || '","turn":' || turn || ',"length":' || length(text) || '}', ',' ORDER BY turn) || ']') AS digest FROM conversations GROUP BY conv_id""")
+@query("SELECT conv_id, md5(to_json(list({'role': role, 'turn': turn, 'content': text} ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id")
 def export_chat_json(s, d):
-    one = F.struct("turn", F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","turn":'), F.col("turn").cast("string"), F.lit(',"length":'), F.length("text").cast("string"), F.lit("}")).alias("x"))
-    j = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["x"]), ","), F.lit("]"))
+    """Each conversation's messages in order as one JSON text, with their contents."""
+    one = F.struct("turn", F.struct("role", "turn", F.col("text").alias("content")).alias("x"))
+    j = F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["x"]), {"ignoreNullFields": "false"})
     return load(s, d, "conversations").groupBy("conv_id").agg(F.md5(j.cast("binary")).alias("digest"))
 
 

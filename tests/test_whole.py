@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import duckdb
 
-from quarry.operators import vector
-from quarry.plans import catalogue
+from quarry.functions import fixed
+from quarry.operators import extraction, vector
+from quarry.plans import catalogue, processing
 
 DIR = "/root/testdata/sf0.001"
 
@@ -65,3 +66,60 @@ def test_crawl_reaches_every_level_and_relative_links(spark, tmp_path):
     want = {f"{at}{i}": i - 10 for i in range(10, 31)} | {f"{at}0": 1, "http://[bad": 1}
     got = [tuple(r) for r in catalogue.crawl_reach(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_question_pairs_of_whole_conversations(spark):
+    """All turns and whole texts, against Python's expressions."""
+    turns = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{DIR}/conversations.parquet' ORDER BY ALL").fetchall()
+    said = defaultdict(list)
+    for conv, _, role, text in turns:
+        said[conv].append(("Q: " if role == "user" else "A: ") + text)
+    want = []
+    for conv, lines in said.items():
+        t = "\n".join(lines)
+        pairs = [(m[1].strip(" \t\n\x0b\f\r"), m[2].strip(" \t\n\x0b\f\r")) for m in re.finditer(fixed.QA, t, re.ASCII)]
+        pairs += [p for m in re.finditer(fixed.FAQ, t, re.ASCII) if all(p := (m[2].strip(" \t\n\x0b\f\r"), m[3].strip(" \t\n\x0b\f\r")))]
+        want += [(conv, i, *p) for i, p in enumerate(pairs)]
+    assert sorted(map(tuple, processing.question_pairs_of_turns(spark, DIR).collect())) == sorted(want) and want
+
+
+def test_relation_contexts(spark):
+    text = "INSAT-3D carries imager over Arabian Sea, resolution: 4 km. VHRR measures SST with accuracy: high since 2013 at about 10 km. INSAT-3D observes India, coverage: national"
+    rows = [(1, text), (2, None), (3, "")]
+    got = {(r["rel"], r["source"], r["target"]): r for r in extraction.pattern_relations(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = got["has_instrument", "INSAT-3D", "imager"]
+    around = re.sub(r"\s+", " ", text[: len("INSAT-3D carries imager") + 100]).strip()
+    every = lambda ps, g: [m[g] for p in ps for m in re.finditer(p, around, re.I)]
+    assert first["context"] == around and first["spatial"] == every(fixed.SPATIAL, 1) and first["temporal"] == every(fixed.TEMPORAL, 1)
+    assert first["quantitative"] == [f"{a} {b}" for a, b in zip(every(fixed.QUANTITATIVE, 1), every(fixed.QUANTITATIVE, 2))] and first["stated"] == {}
+    assert next(r["stated"] for k, r in got.items() if k[0] == "measures") == {"measurement_accuracy": "high"}
+    seen = next(r["stated"] for k, r in got.items() if k[0] == "observes")
+    assert seen == {"coverage_area": "national", "spatial_resolution": "4"}
+
+
+def test_matches_of_a_text_are_placed_in_its_own_row(spark):
+    """One row per text before the matches: no pattern makes a copy of it."""
+    docs = spark.createDataFrame([(1, "INSAT-3D carries VHRR over India")], "doc_id long, text string")
+    plan = extraction.pattern_mentions(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
+def test_cooccurring_relations_by_brute_force(spark):
+    docs = spark.createDataFrame([(1, "INSAT-3D and VHRR see SST. " + "x" * 210 + " Kalpana-1 carries CCD over India"), (2, None)], "doc_id long, text string")
+    m = extraction.pattern_mentions(docs)
+    rows = m.collect()
+    first = {}
+    for i, (rel, sources, targets) in enumerate(fixed.RELATIONS):
+        for a in sources:
+            for b in targets:
+                first.setdefault((a, b), rel)
+    want = {}
+    order = lambda r: (r["start"], r["end"], r["type"], r["pattern"])
+    for a in rows:
+        for b in rows:
+            gap = b["start"] - a["end"]
+            if order(a) < order(b) and -200 < gap <= 200 and a["name"] != b["name"] and (a["type"], b["type"]) in first:
+                k = (a["name"], b["name"], first[a["type"], b["type"]], a["type"], b["type"])
+                want[k] = min(gap, want.get(k, 999))
+    got = {(r["source"], r["target"], r["rel"], r["src_type"], r["dst_type"]): r["distance"] for r in extraction.cooccurring(m).collect()}
+    assert got == want and want
