@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import properties as P
+from quarry.functions import sketches as K
 from quarry.operators import graph as G
+from quarry.operators.counted import Counters
 from quarry.plans.catalogue import _GEO, _NODES, load, query
+from quarry.plans.processing import _CHAIN, LEAST_QUALITY, items, normalised, scored, valid
+from quarry.sources import keyed_table as T
 from quarry.sources import vector_index as I
 from quarry.sources.staging import new_path
 
@@ -77,3 +82,69 @@ def vector_index_recall(s, d):
     part, whole = I.search_many(q, path, 10, 14), I.search_many(q, path, 10, 16)
     hit = whole.select("query", "vec_id").join(part.select("query", "vec_id", "rank"), ["query", "vec_id"], "left")
     return hit.agg(F.countDistinct("query").alias("queries"), (F.count_if((F.col("query") == F.col("vec_id")) & (F.col("rank") == 1)) == F.countDistinct("query")).alias("found_itself"), (F.count("rank") >= 0.9 * F.count(F.lit(1))).alias("recall_over_09"))
+
+
+# ---- sketches, variant properties, counters, merges
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, true AS distinct_within, true AS median_within FROM events GROUP BY ALL")
+def sketches_by_month(s, d):
+    """Distinct users and medians of months, from sketches kept by day, each within its bound of the exact value."""
+    e, path = load(s, d, "events"), new_path(s, "sketches")
+    K.by_day(e, "ts", "user_id", "value", "event_type").write.parquet(path)
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    m = K.merged(s.read.parquet(path), month, "event_type").select("month", "event_type", "n", K.distinct_count().alias("about"), K.quantile(0.5).alias("median"))
+    e = e.withColumn("month", F.date_format("ts", "yyyy-MM")).join(m, ["month", "event_type"])
+    below, upto = F.avg((F.col("value") < F.col("median")).cast("int")), F.avg((F.col("value") <= F.col("median")).cast("int"))
+    exact = e.groupBy("month", "event_type", "n", "about").agg(F.countDistinct("user_id").alias("users"), below.alias("below"), upto.alias("upto"))
+    # three standard errors for the count; a rank near a half for the median
+    near = F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), 3 * 0.0065 * F.col("users"))
+    return exact.select("month", "event_type", "n", near.alias("distinct_within"), ((F.col("below") <= 0.515) & (F.col("upto") >= 0.485)).alias("median_within"))
+
+
+@query("SELECT event_id, (props->>'k')::INT AS k, user_id FROM events WHERE (props->>'k')::INT >= 50")
+def property_filter(s, d):
+    """Events by a typed property, from properties stored as variants."""
+    path = new_path(s, "variants")
+    load(s, d, "events").select("event_id", "user_id", P.parsed(F.col("props")).alias("props")).write.parquet(path)
+    v = s.read.parquet(path).withColumn("k", P.at("props", "$.k", "int"))
+    return v.where("k >= 50").select("event_id", "k", "user_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id ELSE (props->>'k')::INT END AS k, CASE WHEN event_id % 2 = 0 THEN 'yes' END AS seen FROM events WHERE event_id % 3 = 0 OR (props->>'k')::INT = 7")
+def property_update(s, d):
+    """Properties added and replaced, and found by their values."""
+    new = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "new": true}')))
+    seen = F.when(F.col("event_id") % 2 == 0, '{"seen": "yes"}')
+    e = load(s, d, "events").withColumn("p", P.updated(P.updated(P.parsed(F.col("props")), P.parsed(new)), P.parsed(seen)))
+    return e.where(P.holds("p", {"$.new": True}) | P.holds("p", {"$.k": 7})).select("event_id", P.at("p", "$.k", "long").alias("k"), P.at("p", "$.seen", "string").alias("seen"))
+
+
+@query(f"WITH {_CHAIN} SELECT (SELECT count(*) FROM items) AS seen, (SELECT count(*) FROM valid) AS valid, (SELECT count(*) FROM scored WHERE quality_score >= {LEAST_QUALITY}) AS kept, (SELECT count(*) FROM scored WHERE term_kinds > 0) AS with_terms, (SELECT coalesce(sum(length(text)), 0)::BIGINT FROM scored WHERE quality_score >= {LEAST_QUALITY}) AS characters")
+def process_counters(s, d):
+    """What a run of the chain saw, accepted, enriched and stored, counted in the pass that stores."""
+    c = processed(items(s, d), new_path(s, "processed"))
+    return s.createDataFrame([(c["seen"], c["valid"], c["kept"], c["valid.with_terms"], c["kept.characters"] or 0)], "seen long, valid long, kept long, with_terms long, characters long")
+
+
+def processed(scraped: DataFrame, path: str) -> dict[str, object]:
+    """Writes what the chain keeps of ``scraped`` items; returns the run's counters."""
+    c = Counters()
+    t = c.watch(scraped, "seen")
+    t = c.watch(scored(normalised(t.where(valid(t)))), "valid", with_terms=F.count_if(F.col("term_kinds") > 0))
+    c.watch(t.where(F.col("quality_score") >= LEAST_QUALITY), "kept", characters=F.sum(F.length("main_content"))).write.parquet(path)
+    return c.values()
+
+
+@query("""SELECT c_custkey, CASE WHEN o.p IS NOT NULL THEN o.p ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_custkey % 11 <> 0
+UNION ALL SELECT -1, 'new', NULL""")
+def keyed_merge(s, d):
+    """Upserts and deletions through a table in buckets, of which only those hit are rewritten."""
+    path = new_path(s, "keyed")
+    c = load(s, d, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    T.create(c, path, "c_custkey", 16)
+    new = load(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
+    T.merge(new.join(c.select("c_custkey"), "c_custkey", "left_semi"), path, [F.col("o_orderkey")])
+    T.merge(c.where("c_custkey % 11 = 0").select("c_custkey"), path, delete=F.lit(True))
+    T.merge(s.createDataFrame([(-1, "new")], "c_custkey long, c_mktsegment string"), path)
+    return T.read(s, path)
