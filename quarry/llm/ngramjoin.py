@@ -43,7 +43,7 @@ from quarry.llm.common import forget, lookup_join, release, ship, staged
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Min-hashes of a set, and how many of them two classes must share to be paired in step 2.
 SIGNATURES, AGREE = 6, 3
 #: Keys that may be broadcast to pick rows.
@@ -291,13 +291,15 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     forget(pairs)
 
     # step 3
-    x = lookup_join(c.select("cid", "n", "bits", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
-    x = x.select("cid", "n", F.coalesce("component", "cid").alias("comp"), *(F.col("bits")[i].alias(f"b{i}") for i in range(4)), F.posexplode("prefix").alias("pos", "token"))
-    x = x.select("token", "cid", "comp", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("m"), *(f"b{i}" for i in range(4)))
+    x = lookup_join(c.select("cid", "n", "prefix"), early.withColumnRenamed("node", "cid"), "cid", F.col("n"), salts=1)
+    x = x.select("cid", "n", F.coalesce("component", "cid").alias("comp"), F.posexplode("prefix").alias("pos", "token"))
+    x = x.select("token", "cid", "comp", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("m"))
     # tokens of one component only can't link two; staged, so that the join's sides can be split where a token is frequent
     x = staged(x, "tokens")
     several = x.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    every, x = x, staged(x.join(several, "token", "left_semi"), "tokens")
+    # only the few that stay get their class's parities
+    bits = c.select("cid", *(F.col("bits")[i].alias(f"b{i}") for i in range(4)))
+    every, x = x, staged(x.join(several, "token", "left_semi").join(bits, "cid").select("token", "cid", "comp", "m", *(f"b{i}" for i in range(4))), "tokens")
     forget(every)
     l, r = (x.select("token", *(F.col(k).alias(k + s) for k in x.columns[1:])) for s in "12")
     n1, n2 = (F.shiftright(f"m{s}", 32).cast("int") for s in "12")
