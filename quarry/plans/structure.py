@@ -13,6 +13,7 @@ from quarry.plans.catalogue import _GEO, _NODES, load, query
 from quarry.plans.processing import _CHAIN, LEAST_QUALITY, items, normalised, scored, valid
 from quarry.sources import keyed_table as T
 from quarry.sources import vector_index as I
+from quarry.sources.fetching import fetched
 from quarry.sources.staging import new_path
 
 # ---- connected components, triangles, density
@@ -148,3 +149,29 @@ def keyed_merge(s, d):
     T.merge(c.where("c_custkey % 11 = 0").select("c_custkey"), path, delete=F.lit(True))
     T.merge(s.createDataFrame([(-1, "new")], "c_custkey long, c_mktsegment string"), path)
     return T.read(s, path)
+
+
+@query("SELECT url, CASE WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 7 = 3 THEN 3 WHEN page_id % 7 = 5 THEN 2 ELSE 1 END AS attempts, CASE WHEN page_id % 7 <> 3 THEN md5(coalesce(html, '')) END AS digest FROM (SELECT url, min(page_id) AS page_id, arg_min(coalesce(html, ''), page_id) AS html FROM pages WHERE url IS NOT NULL GROUP BY url)")
+def pages_fetched(s, d):
+    """The pages' urls fetched host by host from a folder that stands for the web, some of them gone or only there at a second try."""
+    p = load(s, d, "pages").where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by(F.coalesce("html", F.lit("")), "page_id").alias("html"))
+    path = new_path(s, "web").removeprefix("file://")
+    p.select("page_id", "html", F.md5(F.col("url").cast("binary")).substr(1, 2).alias("part"), "url").repartition("part").write.partitionBy("part").parquet(path)
+    tried: set[str] = set()
+
+    def opener(url: str) -> tuple[int, str | None]:
+        import hashlib
+
+        from pyarrow import dataset
+
+        at = f"{path}/part={hashlib.md5(url.encode()).hexdigest()[:2]}"
+        found = dataset.dataset(at, format="parquet").to_table(filter=dataset.field("url") == url).to_pylist()[0]
+        if found["page_id"] % 7 == 3:
+            return 404, None
+        if found["page_id"] % 7 == 5 and url not in tried:
+            tried.add(url)
+            return 429, None
+        return 200, found["html"]
+
+    f = fetched(p, opener, delay=0)
+    return f.select("url", "status", "attempts", F.md5(F.col("html").cast("binary")).alias("digest"))
