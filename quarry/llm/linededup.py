@@ -182,10 +182,10 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     return staged(done.select("cid").union(verified(docs, found, key, text, num, den)), "removed")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the later matches among their lines removed from the text.
 
-    With ``counts``, the columns n_lines and n_removed are added.
+    ``counts`` names two columns to add: the lines of each text, and those removed.
     """
     classes = staged(classes_of(docs, key, text, num, den), "classes")
     release(docs.sparkSession)
@@ -212,19 +212,23 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     d = d.withColumn("__quarry_left", F.when(whole, F.struct(n.alias("n"), F.col(text).alias("text"))).when(F.col(text).isNotNull(), F.transform(F.array(bound), left)[0]))
     out = [F.col("__quarry_left.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        out += [F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(n - F.col("__quarry_left.n"), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.coalesce(n, F.lit(0)).cast("long").alias(counts[0]), F.coalesce(n - F.col("__quarry_left.n"), F.lit(0)).cast("long").alias(counts[1])]
     return d.select(*out)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of ``documents``: what stays of each document, as a SHA-256, and the numbers of lines."""
-    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), counts=True)
+    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), counts=("n_lines", "n_removed"))
     return d.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: later matches of lines go; documents stay, if need be with an empty text."""
-    return dedup_lines(docs)
+    """Pipeline stage: later matches of lines go, and with them documents of which no words are left; n_chars follows the text."""
+    lines, removed = "__quarry_lines", "__quarry_removed"
+    d = dedup_lines(docs, counts=(lines, removed)).where(~((F.col(removed) > 0) & (F.btrim("text", F.lit(" \n" + _GAPS)) == "")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(*docs.columns)
 
 
 OP1_SQL = r"""

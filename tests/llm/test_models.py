@@ -158,7 +158,7 @@ def equal_rows_equal_results(df, *values):
 
 
 def test_line_dedup_of_odd_inputs(odd):
-    got = linededup.dedup_lines(odd, counts=True)
+    got = linededup.dedup_lines(odd, counts=("n_lines", "n_removed"))
     assert got.columns == [*odd.columns, "n_lines", "n_removed"] and got.count() == odd.count()
     assert got.where("cid <> 7 OR gone <> 7").count() == 0
     empty = got.where("doc_id = 6").first()
@@ -168,7 +168,7 @@ def test_line_dedup_of_odd_inputs(odd):
 def test_line_dedup_of_a_hundred_thousand_lines(spark):
     n = 100_000
     lines = [f"w{i} x{i} y{i} z{i}" if i % 2 else "the same line" for i in range(n)]
-    got = linededup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), counts=True).first()
+    got = linededup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), counts=("n_lines", "n_removed")).first()
     assert (got.n_lines, got.n_removed) == (n, n // 2 - 1)
     assert got.text.split("\n")[:3] == lines[:2] + lines[3:4]
 
