@@ -6,9 +6,11 @@ of ``window`` consecutive words (a shorter item is one window). One scan of a no
 text finds every window; the hits are mapped back to words and to code points of the
 original text.
 
-The automaton is broadcast and stays in each worker, so its source is measured first: items of
-over ``MAX_ITEM_BYTES`` of text in all are refused with a ValueError. Larger sets are scanned a
-part at a time, each in a call of its own; a worker keeps the automaton of one call only.
+The automaton is broadcast and stays in each worker, so its source is measured first. Items of
+over ``MAX_ITEM_BYTES`` of text in all are scanned in parts: long items are cut into pieces that
+share ``window`` - 1 words, so that every window is in one piece, pieces are dealt out by hash,
+and each part is one pass with an automaton of its own, whose runs of words are united with
+those of the passes before. A worker keeps the automaton of one pass only.
 
 Defined results: null and wordless texts have no words and are clean; items that are null
 or wordless give no window, as do items with a null id; repeated items count once by id;
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship
+from quarry.llm.common import ship, staged
 
 #: Words in a window.
 WINDOW = 13
@@ -92,6 +94,22 @@ def spans_of(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(points[at[i][0]]), int(points[at[j - 1][1]])) for i, j in runs]
 
 
+def pieces(text: bytes, window: int, most: int) -> list[bytes]:
+    """The words of an item as texts of at most about ``most`` bytes each, which overlap by ``window`` - 1 words."""
+    w = words_of(text)
+    out, first, size = [], 0, 0
+    for i, x in enumerate(w):
+        size += len(x) + 1
+        if size >= most and i + 1 - first >= window:
+            out.append(b" ".join(w[first : i + 1]))
+            first = i + 2 - window
+            size = sum(len(y) + 1 for y in w[first : i + 1])
+    # the rest adds windows only if it goes beyond what it shares
+    if not out or len(w) - first >= window:
+        out.append(b" ".join(w[first:]))
+    return out
+
+
 _HIT = "n_words long, runs array<struct<first:int,past:int>>, spans array<struct<start:int,end:int>>, items array<string>"
 #: Each worker process builds an automaton once.
 _built: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
@@ -126,17 +144,64 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out
     ship(spark)
     b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_item_bytes:
-        raise ValueError(f"{size} bytes of items are over the limit of {max_item_bytes}: scan them in parts")
-    hits = _scanner(spark, [(r["item"], bytes(r["text"])) for r in b.collect()], window)
-    tmp = "__quarry_hits"
-    df = docs.withColumn(tmp, hits(F.col(text).cast("binary")))
+    tmp, new = "__quarry_hits", "__quarry_part"
+    if size <= max_item_bytes:
+        df = docs.withColumn(tmp, _scanner(spark, _collected(b), window)(F.col(text).cast("binary")))
+    else:
+        df = docs
+        for i, part in enumerate(_parts(b, window, size, max_item_bytes)):
+            # staged, so that no worker holds two automata
+            df = df.withColumn(new, _scanner(spark, _collected(part), window)(F.col(text).cast("binary")))
+            df = staged(df.withColumn(tmp, _united(F.col(tmp), F.col(new)) if i else F.col(new)).drop(new), "part")
     h = F.col(tmp)
     n_hit = F.aggregate(h["runs"], F.lit(0).cast("long"), lambda s, r: s + r["past"] - r["first"])
     named = F.struct(h["n_words"].alias("n_words"), n_hit.alias("n_hit"), h["items"].alias("items"), h["spans"].alias("spans"), ((n_hit > 0) & (20 * n_hit >= h["n_words"])).alias("contaminated"))
     return df.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), named.alias(out))
 
 
+def _collected(items: DataFrame) -> list[tuple[str, bytes]]:
+    return [(r["item"], bytes(r["text"])) for r in items.collect()]
+
+
+def _parts(items: DataFrame, window: int, size: int, most: int) -> list[DataFrame]:
+    """The items' pieces in parts of at most ``most`` bytes each."""
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, n, p) for i, t in zip(b["item"], b["text"], strict=True) for n, p in enumerate(pieces(bytes(t), window, max(most // 16, 1)))]
+            yield pd.DataFrame(rows, columns=["item", "n", "text"])
+
+    p = staged(items.mapInPandas(cut, "item string, n int, text binary").where(F.octet_length("text") > 0), "pieces")
+    parts = -(-size // most)
+    while True:
+        part = F.pmod(F.xxhash64("item", "n"), F.lit(parts))
+        largest = p.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size")).first()[0] or 0
+        # parts even out as they get smaller; single words may be longer than a piece should be
+        if largest <= most or parts > 64 * (size // most + 1):
+            return [p.where(part == i).select("item", "text") for i in range(parts)]
+        parts = parts * 3 // 2 + 1
+
+
+def _united(a: Column, b: Column) -> Column:
+    """Two passes' hits as one: runs of words and their spans merged where they meet, items together."""
+    runs = lambda h: F.zip_with(h["runs"], h["spans"], lambda r, s: F.struct(r["first"].alias("first"), r["past"].alias("past"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["past"], x["past"]).alias("past"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (last["past"] >= x["first"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(x)))
+
+    none = F.expr("CAST(array() AS array<struct<first:int,past:int,start:int,end:int>>)")
+    merged = F.aggregate(F.array_sort(F.concat(runs(a), runs(b))), none, step)
+    return F.transform(
+        F.array(F.struct(merged.alias("m"))),
+        lambda s: F.struct(
+            a["n_words"].alias("n_words"), F.transform(s["m"], lambda r: F.struct(r["first"].alias("first"), r["past"].alias("past"))).alias("runs"),
+            F.transform(s["m"], lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"),
+        ),
+    )[0]
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` against every item of ``benchmark``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -187,13 +187,33 @@ def test_decontamination_of_nothing_and_of_repeated_rows(spark, no_docs):
     assert sorted(r.hits.n_hit for r in decontam.decontaminate(docs, bench).collect()) == [2, 2, 60_000]
 
 
+def test_pieces_of_items_keep_every_window():
+    for n, window, most in ((40, 13, 30), (40, 5, 1), (13, 13, 10), (12, 13, 10), (200, 13, 300), (1, 3, 1)):
+        text = sentence(n).encode()
+        parts = decontam.pieces(text, window, most)
+        assert set().union(*(decontam.windows_of(p, window) for p in parts)) == decontam.windows_of(text, window)
+        assert n < 2 * window or len(parts) > 1
+    assert decontam.pieces(b"!! ", 13, 10) == [b""]
+
+
+def test_decontamination_in_parts(spark):
+    bench = spark.createDataFrame([(i, sentence(60)) for i in range(12)], "item_id long, text string")
+    items = [r.text for r in bench.collect()]
+    texts = [" ".join([sentence(5), *(items[(i + k) % 12][k * 10 :] for k in range(i % 4)), sentence(7)]) for i in range(30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: {r.doc_id: r.hits for r in df.collect()}
+    whole = rows(decontam.decontaminate(docs, bench))
+    assert any(h.n_hit for h in whole.values()) and rows(decontam.decontaminate(docs, bench, max_item_bytes=1500)) == whole
+
+
 def test_decontamination(spark):
     item, short = sentence(30), "rare pair"
     t = [f"{sentence(50)}, {item.upper()}! {sentence(5)}", "A Rare-pair.", sentence(300) + " " + " ".join(item.split()[:13]), None, "", " ".join(item.split()[:12])]
     docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, short), (3, None), (None, "x"), (4, "..."), (5, item)], "item_id long, text string")
-    with pytest.raises(ValueError):  # the automaton is broadcast, so its source is bounded
-        decontam.decontaminate(docs, bench, max_item_bytes=60)
+    # items beyond the bound are scanned in parts, with the same result
+    whole = {r.doc_id: r.hits for r in decontam.decontaminate(docs, bench).collect()}
+    assert {r.doc_id: r.hits for r in decontam.decontaminate(docs, bench, max_item_bytes=120).collect()} == whole
     for table in (docs, docs.withColumn("hits", F.lit(1))):
         got = {r.doc_id: r.hits for r in decontam.decontaminate(table, bench).collect()}
         assert [(got[i].n_hit, got[i].contaminated, list(got[i]["items"])) for i in range(6)] == [(30, True, ["1", "5"]), (2, True, ["2"]), (13, False, ["1", "5"]), (0, False, []), (0, False, []), (0, False, [])]
