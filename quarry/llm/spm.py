@@ -127,7 +127,7 @@ class Vocabulary:
         # a piece by id, or a character without one by its code point after the ids
         self.n_ids = len(pieces)
         self.strings = [p for p, _, _ in pieces]
-        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
+        self._forget_pairs()
         # characters inside longer pieces; the others stand alone
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         assert not any(META in p.lstrip(META) for p in self.ids), "a piece reaches across words"
@@ -178,24 +178,43 @@ class Vocabulary:
             same &= self.key_chars[at, j - i] == 0
         return alive, rows[same], at[same]
 
+    def _forget_pairs(self) -> None:
+        """Known pairs are kept sorted, the newest apart: they join the others once they are many, so a pair is moved few times."""
+        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
+        self.new_keys, self.new_ok = np.empty(0, np.int64), np.empty(0, bool)
+
+    @staticmethod
+    def _known(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' places in a sorted table, and whether they are there."""
+        at = np.searchsorted(table, keys)
+        at[at == len(table)] = 0
+        return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+
     def _follows(self, keys: np.ndarray) -> np.ndarray:
         """Whether the second token of each pair (first << 32 | second) may follow the first."""
-        at = np.searchsorted(self.pair_keys, keys)
-        if len(self.pair_keys):
-            at[at == len(self.pair_keys)] = 0
-            new = self.pair_keys[at] != keys
-            if not new.any():
-                return self.pair_ok[at]
-            todo = np.unique(keys[new])
-        else:
-            todo = np.unique(keys)
-        if len(self.pair_keys) + len(todo) > PAIRS:
-            self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
-            todo = np.unique(keys)
+        out = np.zeros(len(keys), bool)
+        at, old = self._known(self.pair_keys, keys)
+        out[old] = self.pair_ok[at[old]]
+        if old.all():
+            return out
+        rest = np.flatnonzero(~old)
+        at, there = self._known(self.new_keys, keys[rest])
+        out[rest[there]] = self.new_ok[at[there]]
+        rest = rest[~there]
+        if not len(rest):
+            return out
+        todo, own = np.unique(keys[rest], return_inverse=True)
         ok = self._neighbours(todo)
-        at = np.searchsorted(self.pair_keys, todo)
-        self.pair_keys, self.pair_ok = np.insert(self.pair_keys, at, todo), np.insert(self.pair_ok, at, ok)
-        return self.pair_ok[np.searchsorted(self.pair_keys, keys)]
+        out[rest] = ok[own]
+        if len(self.pair_keys) + len(self.new_keys) + len(todo) > PAIRS:
+            self._forget_pairs()
+        at = np.searchsorted(self.new_keys, todo)
+        self.new_keys, self.new_ok = np.insert(self.new_keys, at, todo), np.insert(self.new_ok, at, ok)
+        if len(self.new_keys) > 4096 + len(self.pair_keys) // 8:
+            at = np.searchsorted(self.pair_keys, self.new_keys)
+            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, at, self.new_keys), np.insert(self.pair_ok, at, self.new_ok)
+            self.new_keys, self.new_ok = np.empty(0, np.int64), np.empty(0, bool)
+        return out
 
     def _string(self, token: int) -> str:
         return "" if token == START else self.strings[token] if token < self.n_ids else chr(token - self.n_ids)
