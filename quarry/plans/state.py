@@ -145,3 +145,16 @@ def upload_pipeline(s, d):
     t = raw.where(F.coalesce(F.octet_length("content"), F.lit(0)) <= 10 * 1024 * 1024).withColumn("text", F.decode("content", "UTF-8"))
     status = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "failed").otherwise("completed")
     return t.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("content_hash"), status.alias("status"), F.coalesce(F.size(X.stride_chunks(F.col("text"))), F.lit(0)).cast("long").alias("chunks"))
+
+
+_UPLOADS = "u AS (SELECT doc_id, n_chars * 400 AS file_size, CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' END AS content_type FROM documents)"
+
+
+@query(f"WITH {_UPLOADS} SELECT doc_id, file_size FROM u WHERE content_type IN ('text/plain', 'application/pdf') AND file_size <= {10 * 1024 * 1024}")
+def upload_gate(s, d):
+    """Uploads of a known type within the size limit; those without a type are refused."""
+    from quarry.sources.tables import admissible
+
+    k = F.col("doc_id") % 4
+    u = load(s, d, "documents").select("doc_id", (F.col("n_chars") * 400).alias("file_size"), F.when(k == 0, "text/plain").when(k == 1, "application/pdf").when(k == 2, "image/png").alias("content_type"))
+    return admissible(u).select("doc_id", "file_size")

@@ -58,31 +58,6 @@ def live(values: DataFrame, now: DataFrame, ts: str, ttl: str) -> DataFrame:
     return values.join(F.broadcast(now)).where((F.col(ttl) <= 0) | (age < F.make_dt_interval(secs=F.col(ttl).cast("decimal(18,6)")))).drop("now")
 
 
-def changed_stream(stream: DataFrame, key: str, value: str, ts: str) -> DataFrame:
-    """key, before, value of each change of ``value`` under ``key`` in a stream: the last value is kept as state.
-
-    Rows of a micro-batch are taken in order of ``ts``; the first value of a key isn't a change.
-    """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for v in pd.concat(batches).sort_values(ts, kind="stable")[value]:
-            if last is not None and v != last:
-                rows.append((k[0], last, v))
-            last = v
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(rows, columns=[key, "before", value])
-
-    kind = stream.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, before string, {value} string"
-    return stream.select(key, value, ts).groupBy(key).applyInPandasWithState(step, out, "last string", "append", "NoTimeout")
-
-
 def feed(spark, path: str, schema: str) -> DataFrame:
     """A stream of JSON records landed as files: conditions, forecasts and alerts."""
     return spark.readStream.schema(schema).json(path)

@@ -303,16 +303,6 @@ def run_stream(df, path):
     assert not q.isActive and q.exception() is None
 
 
-def test_changes_of_a_stream_equal_the_batch(spark, tmp_path):
-    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    src.repartition(1).write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in")
-    run_stream(S.changed_stream(s, "user_id", "event_type", "ts"), tmp_path)
-    got = spark.read.parquet(f"{tmp_path}/out").groupBy("user_id").count()
-    want = S.changes(src, "user_id", "event_type", "ts", "event_id").groupBy("user_id").count()
-    assert rows(got) == rows(want)
-
-
 def test_tumbling_counts_of_a_stream(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type").orderBy("ts")
     src.coalesce(1).write.parquet(f"{tmp_path}/in")
