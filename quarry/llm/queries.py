@@ -33,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": ngramjoin.OP3_SQL,
     "op5_benchmark_decontamination": decontam.OP5_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
+    "op11_suffix_dedup": suffixdedup.OP11_SQL,
     "op13_hard_negatives": hardneg.OP13_SQL,
 }

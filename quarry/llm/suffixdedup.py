@@ -422,3 +422,18 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, n, j * 1000 AS base, substr(h, (2000 * j + 1)::BIGINT, 2098) AS p FROM (SELECT doc_id, h, n, unnest(range(0, ((n - 50) // 1000 + 1)::BIGINT)) AS j FROM d WHERE n >= 50)),
+w AS (SELECT doc_id, base + i AS i, hash(substr(p, (2 * i + 1)::BIGINT, 100)) AS w FROM (SELECT doc_id, base, p, unnest(range(0, least(1000, n - 49 - base)::BIGINT)) AS i FROM c)),
+f AS (SELECT w, min(doc_id) AS f FROM w GROUP BY w),
+g AS (SELECT w.doc_id, i FROM w JOIN f ON f.w = w.w WHERE f < w.doc_id),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM g)) GROUP BY doc_id, k),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id),
+k AS (SELECT p.doc_id, string_agg(substr(h, (2 * x + 1)::BIGINT, (2 * (coalesce(y, n) - x))::BIGINT), '' ORDER BY x) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
