@@ -71,11 +71,16 @@ def slug(c: Column, most: int = 50) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(s, r"[-\s]+", "-"), 1, most), r"^-+|-+$", "")
 
 
-def file_size(n: Column) -> Column:
-    """Bytes as text in steps of 1024, up to TB; exactly 0 is "0 B"."""
-    out = F.concat(F.format_string("%.1f", n / 1024**4), F.lit(" TB"))
-    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024 ** (k + 1), F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
+def file_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes as text in steps of 1024, up to ``largest``; exactly 0 is "0 B". A tenth's half goes to the even one, as C's printf has it."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
+    # a double times 10 / 1024**k is a half of one only where it is exactly so: quotients by powers of two are exact
+    tenths = lambda k: F.format_string("%.1f", F.rint(n / 1024**k * 10) / 10)
+    out = None
+    for k, unit in reversed(list(enumerate(units))):
+        text = F.concat(tenths(k), F.lit(f" {unit}"))
+        out = text if out is None else F.when(n < 1024 ** (k + 1), text).otherwise(out)
     return F.when(n == 0, "0 B").otherwise(out)
 
 
