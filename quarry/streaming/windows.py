@@ -30,9 +30,10 @@ def sliding(events: DataFrame, ts: str, size: str, step: str, *keys: str) -> Dat
 
 
 def sessions(events: DataFrame, ts: str, gap_s: int, key: str) -> DataFrame:
-    """Sessions by key: a gap of ``gap_s`` seconds or more begins a new one."""
+    """Sessions by key: a gap of ``gap_s`` seconds or more, of rounded times, begins a new one."""
     w = W.partitionBy(key).orderBy(ts, "event_id")
-    t = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    # whole seconds by rounding, halves to the even one: cutting off their fractions makes some gaps a second shorter or longer
+    t = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("long")
     s = events.withColumn("new", F.coalesce((t - F.lag(t).over(w) >= gap_s).cast("int"), F.lit(1))).withColumn("session", F.sum("new").over(w))
     return s.groupBy(key, "session").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("start"))
 
