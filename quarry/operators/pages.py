@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions import fixed
 from quarry.functions.text import domain
@@ -22,34 +23,62 @@ satellite struct<satellite_name:string,launch_date:string,instruments:array<stri
 documentation struct<sections:array<struct<title:string,level:int,content:string>>,code_examples:array<struct<code:string,language:string>>>"""
 
 
-def _record(page_id: int, url: str | None, html: str | None) -> tuple:
+#: Rows of a batch that are parsed and handed on at once, so that a worker never holds the records of a whole Arrow batch.
+SLICE = 64
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most ``rows`` rows."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
+def _record(url: str | None, html: str | None, wanted: frozenset[str]) -> dict[str, object]:
+    """The ``wanted`` fields of a page; the others aren't computed."""
     import hashlib
 
     from quarry.functions import html as H
 
     n = H.parse(html)
-    kind = H.page_type(n, url)
-    m = H.metadata(n)
-    docs = H.documentation(n) if kind == "documentation" else None
+    kind = H.page_type(n, url) if wanted & {"page_type", "product", "satellite", "questions", "documentation"} else None
     # the last ones take regions out of the tree, so a new one is made for them
-    return (
-        page_id, url, hashlib.md5((html or "").encode()).hexdigest(), kind, H.title(n), H.description(n), H.visible(n), H.main_content(H.parse(html)), H.navigation(n), H.breadcrumbs(n),
-        tuple(m.values()), H.links(n, url), H.images(n, url), H.tables(n), H.forms(n),
-        H.product(n) if kind == "product" else None, H.satellite(H.parse(html)) if kind == "satellite" else None, H.faq(H.parse(html)) if kind == "faq" else None, docs,
-    )
-
-
-def records(pages: DataFrame) -> DataFrame:
-    """A row with all fields of ``RECORD`` for each of ``pages`` (page_id, url, html); null html is empty."""
-    names = [x.split(" ", 1)[0] for x in ("page_id url content_hash page_type title description visible main_content navigation breadcrumbs metadata links images tables forms product satellite questions documentation").split()]
+    made = {
+        "content_hash": lambda: hashlib.md5((html or "").encode()).hexdigest(),
+        "page_type": lambda: kind,
+        "title": lambda: H.title(n),
+        "description": lambda: H.description(n),
+        "visible": lambda: H.visible(n),
+        "navigation": lambda: H.navigation(n),
+        "breadcrumbs": lambda: H.breadcrumbs(n),
+        "metadata": lambda: tuple(H.metadata(n).values()),
+        "links": lambda: H.links(n, url),
+        "images": lambda: H.images(n, url),
+        "tables": lambda: H.tables(n),
+        "forms": lambda: H.forms(n),
+        "product": lambda: H.product(n) if kind == "product" else None,
+        "documentation": lambda: H.documentation(n) if kind == "documentation" else None,
+        "main_content": lambda: H.main_content(H.parse(html)),
+        "satellite": lambda: H.satellite(H.parse(html)) if kind == "satellite" else None,
+        "questions": lambda: H.faq(H.parse(html)) if kind == "faq" else None,
+    }
+    return {c: f() for c, f in made.items() if c in wanted}
+
+
+def records(pages: DataFrame, *fields: str) -> DataFrame:
+    """page_id, url and ``fields`` of ``RECORD`` (all, if none is named) for each of ``pages`` (page_id, url, html); null html is empty."""
+    schema = StructType.fromDDL(RECORD)
+    names = ["page_id", "url", *(f for f in schema.names[2:] if not fields or f in fields)]
+    wanted = frozenset(names)
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [_record(i, None if u is None else str(u), None if h is None else str(h)) for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)]
-            yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(names)})
+        for b in slices(batches):
+            rows = [_record(None if u is None else str(u), None if h is None else str(h), wanted) for u, h in zip(b["url"], b["html"], strict=True)]
+            made = {c: pd.Series([r[c] for r in rows], dtype=object) for c in names[2:]}
+            yield pd.DataFrame({"page_id": pd.Series(list(b["page_id"]), dtype=object), "url": pd.Series(list(b["url"]), dtype=object), **made})
 
     ship(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInPandas(parsed, RECORD)
+    return pages.select("page_id", "url", "html").mapInPandas(parsed, StructType([schema[c] for c in names]))
 
 
 def page_type(url: Column, title: Column) -> Column:

@@ -30,14 +30,14 @@ def _visible(c: str) -> str:
 _TITLE = _unescape("trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1))")
 
 
-def _records(s: SparkSession, d: str) -> DataFrame:
-    return P.records(load(s, d, "pages"))
+def _records(s: SparkSession, d: str, *fields: str) -> DataFrame:
+    return P.records(load(s, d, "pages"), *fields)
 
 
 @query(f"SELECT page_id, md5({_visible('html')}) AS digest FROM pages")
 def page_visible_text(s, d):
     """Shown text: without scripts and styles, lines stripped, phrases joined by one space."""
-    return _records(s, d).select("page_id", F.md5(F.col("visible").cast("binary")).alias("digest"))
+    return _records(s, d, "visible").select("page_id", F.md5(F.col("visible").cast("binary")).alias("digest"))
 
 
 _BASE = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
@@ -47,7 +47,7 @@ _BASE = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
 SELECT page_id, {_unescape('link')} AS link, count(*) AS n FROM a WHERE starts_with(link, 'http://') OR starts_with(link, 'https://') GROUP BY ALL""".replace("\\\\", "\\"))
 def page_links_absolute(s, d):
     """Links resolved against the page's url; repeated ones count."""
-    return _records(s, d).select("page_id", F.explode("links").alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+    return _records(s, d, "links").select("page_id", F.explode("links").alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cases(where: str, rules) -> str:
@@ -68,7 +68,7 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TYPED} SELECT page_id, page_type FROM typed")
 def page_type_rules(s, d):
     """Eight rules on the url, then three on the title, in order."""
-    return P.records(_typed(s, d)).select("page_id", "page_type")
+    return P.records(_typed(s, d), "page_type").select("page_id", "page_type")
 
 
 @query(f"WITH {_TYPED} SELECT page_id, page_type FROM typed")
@@ -84,30 +84,30 @@ _CATEGORY = "CASE " + " ".join(f"WHEN page_type = '{k}' THEN '{v}'" for k, v in
 @query(f"WITH {_TYPED}, t AS (SELECT page_id, page_type, {_visible('html')} AS text FROM typed) SELECT page_id, {_CATEGORY} AS category FROM t")
 def page_category(s, d):
     """By page type, else by words of the text, in order."""
-    return P.records(_typed(s, d)).select("page_id", P.category(F.col("page_type"), F.col("visible")).alias("category"))
+    return P.records(_typed(s, d), "page_type", "visible").select("page_id", P.category(F.col("page_type"), F.col("visible")).alias("category"))
 
 
 @query()
 def page_title_description(s, d):
     """Title, and the meta description or else the first paragraph's first 200 characters."""
-    return _records(s, d).select("page_id", "title", "description")
+    return _records(s, d, "title", "description").select("page_id", "title", "description")
 
 
 @query(f"""SELECT page_id, {_TITLE} AS title, coalesce({_unescape('''list_extract(regexp_extract_all(html, '<meta name="description" content="([^"]*)"', 1), -1)''')}, '') AS description, coalesce({_unescape('''list_extract(regexp_extract_all(html, '<meta name="keywords" content="([^"]*)"', 1), -1)''')}, '') AS keywords FROM pages""")
 def page_metadata_last(s, d):
     """Named meta tags, of which the last counts."""
-    return _records(s, d).select("page_id", "metadata.title", "metadata.description", "metadata.keywords")
+    return _records(s, d, "metadata").select("page_id", "metadata.title", "metadata.description", "metadata.keywords")
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), '(?is)<a\s[^>]*?href="([^"]*)"', 1)) AS url FROM pages""")
 def page_navigation(s, d):
     """Links of the first navigation region."""
-    return _records(s, d).select("page_id", F.explode("navigation").alias("x")).select("page_id", "x.url")
+    return _records(s, d, "navigation").select("page_id", F.explode("navigation").alias("x")).select("page_id", "x.url")
 
 
 @query()
 def page_main_content(s, d):
-    return _records(s, d).select("page_id", F.md5(F.col("main_content").cast("binary")).alias("digest"), F.length("main_content").alias("n"))
+    return _records(s, d, "main_content").select("page_id", F.md5(F.col("main_content").cast("binary")).alias("digest"), F.length("main_content").alias("n"))
 
 
 @query()
@@ -129,7 +129,7 @@ def page_sanitised(s, d):
     def clean(batches):
         from quarry.functions.html import sanitise
 
-        for b in batches:
+        for b in P.slices(batches):
             yield b[["page_id"]].assign(html=[sanitise(h) for h in b["html"]])
 
     ship(s)
@@ -144,7 +144,7 @@ def helper_clean_text(s, d):
     def clean(batches):
         from quarry.functions.html import helper_clean
 
-        for b in batches:
+        for b in P.slices(batches):
             yield b[["doc_id"]].assign(text=[helper_clean(t) for t in b["text"]])
 
     ship(s)
