@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.staging import new_path, staged
+from quarry.sources.staging import new_path, ship, staged
 from quarry.sources.tables import load
 
 
@@ -185,22 +187,74 @@ def components(e: DataFrame, n: DataFrame) -> DataFrame:
     return n.select("id").join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+#: Members' edges of a group that counts triangles, and entries of the lists that it meets.
+MEMBERS, ENTRIES = 1 << 18, 1 << 21
+
+
+def _counted(members: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """id, triangles from members a with their ends and lists of the ends of b: a, b and c count for every a -> b -> c with a -> c."""
+    flat = np.concatenate([*members["ends"], *lists["ends"]]) if len(members) and len(lists) else np.zeros(0, np.int64)
+    ids, code = np.unique(np.concatenate([members["a"], lists["b"], flat]).astype(np.int64), return_inverse=True)
+    if not len(flat):
+        return pd.DataFrame({"id": [], "triangles": []}, dtype=np.int64)
+    m, k = len(members), len(lists)
+    a, b, ends = code[:m], code[m : m + k], code[m + k :]
+    size = np.array([len(x) for x in [*members["ends"], *lists["ends"]]])
+    start = np.cumsum(size) - size
+    at = np.full(len(ids), -1)
+    at[b] = np.arange(m, m + k)
+    total, mine = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    for i in range(m):
+        out = ends[start[i] : start[i] + size[i]]
+        mine[out] = True
+        has = out[at[out] >= 0]
+        # the lists of all ends one after the other, in parts of bounded size
+        n = size[at[has]]
+        for part in np.split(np.arange(len(has)), np.searchsorted(np.cumsum(n), np.arange(ENTRIES, int(n.sum()), ENTRIES))):
+            row, lens = at[has[part]], n[part]
+            seg = ends[np.repeat(start[row] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+            hit = mine[seg]
+            by = np.bincount(np.repeat(np.arange(len(part)), lens)[hit], minlength=len(part))
+            total[has[part]] += by
+            total[a[i]] += by.sum()
+            total += np.bincount(seg[hit], minlength=len(ids)) if hit.sum() > len(ids) // 8 else 0
+            if hit.sum() <= len(ids) // 8:
+                np.add.at(total, seg[hit], 1)
+        mine[out] = False
+    found = np.flatnonzero(total)
+    return pd.DataFrame({"id": ids[found], "triangles": total[found]})
+
+
 def triangles(e: DataFrame) -> DataFrame:
     """id, degree, triangles of every node with an edge, relations and directions aside.
 
-    Each edge points to its end of higher degree, so no node has many edges that leave it,
-    hubs least of all; two edges that leave a node make a triangle if their ends are joined.
+    Each edge points to its end of higher degree, so no node has many edges that leave it, hubs
+    least of all. No pair of edges becomes a row: nodes with the same highest end make a group
+    (split where it is large), to which the list of each node that they point to is sent once,
+    and the lists are intersected there. So a dense part of the graph costs its edges.
     """
+    spark = e.sparkSession
+    ship(spark)
     u = staged(both_ways(e).where("src < dst").select("src", "dst").distinct(), "edges")
-    degree = staged(u.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    d = lambda c: degree.select(F.col("id").alias(c), F.struct("degree", "id").alias(f"o_{c}"))
-    x = u.join(d("src"), "src").join(d("dst"), "dst")
-    up = F.col("o_src") < F.col("o_dst")
-    out = staged(x.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), F.greatest("o_src", "o_dst").alias("o")), "oriented")
-    wedge = out.join(out.select("a", F.col("b").alias("c"), F.col("o").alias("o_c")), "a").where("o < o_c").select("a", "b", "c")
-    found = wedge.join(out.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
-    each = found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return degree.join(each, "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    degree = u.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    degree = staged(degree.withColumn("n", F.monotonically_increasing_id()), "degrees")
+    d = lambda c: degree.select(F.col("id").alias(c), F.struct("degree", "n").alias(f"o_{c}"))
+    x = u.join(d("src"), "src").join(d("dst"), "dst").select(F.least("o_src", "o_dst").alias("low"), F.greatest("o_src", "o_dst").alias("high"))
+    out = x.groupBy(F.col("low.n").alias("a")).agg(F.collect_list("high.n").alias("ends"), F.max("high").alias("top"))
+    out = staged(out.select("a", "ends", F.col("top.n").alias("top")), "oriented")
+    # groups by the highest end, in parts of at most MEMBERS edges or one node
+    parts = out.groupBy("top").agg(F.ceil(F.sum(F.size("ends")) / MEMBERS).alias("parts"))
+    members = staged(out.join(parts, "top").select("top", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a", "ends"), "members")
+    met = members.select("top", "part", "a", "ends").repartition("top", "part").select("top", "part", F.explode("ends").alias("b")).distinct()
+    lists = staged(met.join(out.select(F.col("a").alias("b"), "ends"), "b"), "lists")
+    # a group's lists in slices of about ENTRIES entries; its members go to each of them
+    slices = lists.groupBy("top", "part").agg(F.ceil(F.sum(F.size("ends")) / ENTRIES).alias("slices"))
+    l = lists.join(slices, ["top", "part"]).withColumn("slice", F.pmod(F.xxhash64("b", F.lit(7)), F.col("slices")))
+    m = members.join(slices, ["top", "part"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    key = ["top", "part", "slice"]
+    each = m.select(*key, "a", "ends").groupBy(*key).cogroup(l.select(*key, "b", "ends").groupBy(*key)).applyInPandas(_counted, "id long, triangles long")
+    each = each.groupBy(F.col("id").alias("n")).agg(F.sum("triangles").alias("triangles"))
+    return degree.join(each, "n", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 
 def clustering(e: DataFrame, n: DataFrame) -> DataFrame:
