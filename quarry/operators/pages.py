@@ -118,15 +118,17 @@ def crawl(pages: DataFrame, links: DataFrame, start: str, max_pages: int = 100,
     on until nothing new comes or ``max_pages`` pages are fetched, which bounds the crawl.
     """
     spark = pages.sparkSession
-    known = pages.select(F.col("url").alias("known")).distinct()
-    scope = links.where(in_scope(F.col("dst"), F.lit(start)))
     level = spark.createDataFrame([(start, 0, 0)], "url string, depth int, rank long")
     seen = level
     depth = 0
     while True:
         depth += 1
-        found = level.join(known, F.col("url") == F.col("known"), "left_semi").join(scope, F.col("url") == F.col("src"))
-        new = found.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti").select("rank", "pos", "dst")
+        # a level is at most max_pages rows: sent to the pages and links, so that neither is dealt or ordered
+        there = pages.select("url").join(F.broadcast(level.select("url")), "url", "left_semi").distinct()
+        at = F.broadcast(level.join(F.broadcast(there), "url", "left_semi").select("url", "rank"))
+        # staged, so that only the level's links are judged
+        found = stage(links.join(at, F.col("url") == F.col("src")).select("rank", "pos", "dst")).where(in_scope(F.col("dst"), F.lit(start)))
+        new = found.join(F.broadcast(seen.select(F.col("url").alias("dst"))), "dst", "left_anti").select("rank", "pos", "dst")
         from pyspark.sql import Window as W
 
         new = new.withColumn("k", F.row_number().over(W.partitionBy("rank").orderBy("pos"))).where(F.col("k") <= fan)
