@@ -42,8 +42,12 @@ def get(url: str, opener: Callable[[str], tuple[int, str | None]], retries: int,
     return url, status, None, retries
 
 
+#: Partitions of a host that is fetched without a delay.
+SPLITS = 16
+
+
 class _Host(InputPartition):
-    """The urls of one host, in a folder of their own."""
+    """The urls of one host, in a folder of their own; without a delay, those of one of its files."""
 
     def __init__(self, folder: str) -> None:
         super().__init__(folder)
@@ -59,6 +63,8 @@ class _PageReader(DataSourceReader):
         from pyarrow import fs
 
         files, at = fs.FileSystem.from_uri(self.path)
+        if not self.delay:  # nothing keeps tasks from asking one host together
+            return [_Host(f.path) for f in files.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and "/host=" in f.path and f.base_name.endswith(".parquet") and not f.base_name.startswith((".", "_"))]
         return [_Host(f.path) for f in files.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory and f.base_name.startswith("host=")]
 
     def read(self, partition: _Host | None) -> Iterator[tuple]:
@@ -92,6 +98,7 @@ class Pages(DataSource):
 
 def fetched(urls: DataFrame, opener: Callable[[str], tuple[int, str | None]], retries: int = 3, delay: float = 1.0) -> DataFrame:
     """``PAGES`` of the different urls: a host's are fetched one after the other, ``delay`` seconds apart, whatever the number of tasks.
+    With a ``delay`` of 0 a host is several partitions, so that a large one isn't one task.
 
     ``opener`` gives (status, body) or raises OSError, and must be picklable. The urls are staged
     by host in the shared folder, which must be one that pyarrow reaches. Reading the result
@@ -102,7 +109,9 @@ def fetched(urls: DataFrame, opener: Callable[[str], tuple[int, str | None]], re
     path = new_path(spark, "urls")
     path = path if "://" in path or path.startswith("file:") else f"file://{path}"
     u = urls.where(F.col("url").isNotNull()).select("url").distinct()
-    u.withColumn("host", F.coalesce(F.nullif(domain(F.col("url")), F.lit("")), F.lit("none"))).repartition("host").write.partitionBy("host").parquet(path)
+    u = u.withColumn("host", F.coalesce(F.nullif(domain(F.col("url")), F.lit("")), F.lit("none")))
+    parts = [] if delay else [F.pmod(F.xxhash64("url"), F.lit(SPLITS))]
+    u.repartition("host", *parts).write.partitionBy("host").parquet(path)
     spark.dataSource.register(Pages)
     return spark.read.format("quarry_pages").option("path", path).option("opener", _packed(opener)).option("retries", str(retries)).option("delay", str(delay)).load()
 
