@@ -110,8 +110,8 @@ def fetched(urls: DataFrame, opener: Callable[[str], tuple[int, str | None]], re
     path = path if "://" in path or path.startswith("file:") else f"file://{path}"
     u = urls.where(F.col("url").isNotNull()).select("url").distinct()
     u = u.withColumn("host", F.coalesce(F.nullif(domain(F.col("url")), F.lit("")), F.lit("none")))
-    parts = [] if delay else [F.pmod(F.xxhash64("url"), F.lit(SPLITS))]
-    u.repartition("host", *parts).write.partitionBy("host").parquet(path)
+    # a stated number, which Spark keeps however small the urls are
+    (u.repartition("host") if delay else u.repartition(SPLITS, "url")).write.partitionBy("host").parquet(path)
     spark.dataSource.register(Pages)
     return spark.read.format("quarry_pages").option("path", path).option("opener", _packed(opener)).option("retries", str(retries)).option("delay", str(delay)).load()
 
