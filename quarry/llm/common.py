@@ -56,4 +56,5 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], salt_by
     salt = "__quarry_salt"
     l = left.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(salt_by), F.lit(salts)), F.lit(0)).cast("int"))
     r = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [*([key] if isinstance(key, str) else key), salt], "left").drop(salt)
+    # merged, as the planner takes the repeated table for as small as the staged one and would broadcast it
+    return l.join(r.hint("merge"), [*([key] if isinstance(key, str) else key), salt], "left").drop(salt)

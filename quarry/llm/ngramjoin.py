@@ -213,12 +213,13 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, n: in
             rows = [(c, f, part.view(np.int64)) for c, h in zip(cids, sets, strict=True) for f, part in enumerate(o.cut(h)) if len(part)]
             yield pd.DataFrame(rows, columns=["cid", "fragment", "tokens"])
 
-    picked = docs.join(F.broadcast(keys) if keys.count() <= PICK_ROWS else keys, "row_key").select("cid", "t")
+    picked = docs.join(F.broadcast(keys) if keys.count() <= PICK_ROWS else keys.hint("merge"), "row_key").select("cid", "t")
     # repeated rows of a document give its set again
     parts = staged(picked.mapInPandas(cut, "cid long, fragment int, tokens array<long>"), "fragments").dropDuplicates(["cid", "fragment"])
     side = lambda k: parts.select("fragment", F.col("cid").alias(k), F.col("tokens").alias(f"t{k}"))
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    partial = each.join(side("a"), ["fragment", "a"]).join(side("b"), ["fragment", "b"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("partial"))
+    # merged: the planner doesn't see that pairs are repeated for each fragment, and the driver would hold them
+    partial = each.join(side("a").hint("merge"), ["fragment", "a"]).join(side("b").hint("merge"), ["fragment", "b"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("partial"))
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("shared"))
 
 
@@ -311,13 +312,13 @@ def classes_of(docs: DataFrame, n: int, num: int, den: int, rows: bool = False)
     found = staged(found, "pairs")
     release(spark)
     for k in "ab":
-        found = found.join(c.select(F.col("cid").alias(k), F.col("prefix").alias(f"p{k}"), F.col("last").alias(f"l{k}"), F.col("cuts").alias(f"cut_{k}")), k)
+        found = found.join(c.select(F.col("cid").alias(k), F.col("prefix").alias(f"p{k}"), F.col("last").alias(f"l{k}"), F.col("cuts").alias(f"cut_{k}")).hint("merge"), k)
     first = F.col("la") <= F.col("lb")
     # tokens that share their 31 bits make one, so no more are counted as missing than are
     missing = F.size(F.array_except(F.when(first, F.col("pa")).otherwise(F.col("pb")), F.when(first, F.col("pb")).otherwise(F.col("pa"))))
     enough = missing <= F.when(first, F.col("na")).otherwise(F.col("nb")) - F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den))
     found = staged(found.where(enough & _fragments_allow("cut_a", "cut_b", F.col("na") + F.col("nb"), num, den)).select("a", "b", "na", "nb", "ca", "cb"), "pairs")
-    late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb"), ["a", "b"])
+    late = linked(overlaps(docs, found.select("a", "b", "na", "nb"), c, order, n), num, den).join(found.select("a", "b", "ca", "cb").hint("merge"), ["a", "b"])
     late = staged(components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()), "components")
     forget(found)
 
