@@ -9,9 +9,11 @@
 3. Positives are searched first, without a window; then, in one search for all positives of an
    anchor, the negatives in the window of each.
 
-A round is one join of blocks of anchors with the blocks of the lists they visit, so a list with
-very many rows or anchors is many rows of the join, and a task holds two blocks at a time. Of a
-pair of blocks only each anchor's best rows go on.
+A round is a grid: anchors are dealt in groups of ``ANCHORS``, lists in cells of ``CELL`` rows, and
+a task holds one group and one cell, whose blocks it scores one after the other. So a vector is sent
+once for each group of anchors and an anchor once for each cell, not once for each list; a list with
+very many rows is many blocks over several cells. Within a cell only what reaches an anchor's kth
+score so far goes on, and nothing is broadcast but which lists a group visits.
 
 Vectors are made whole numbers first: a component x becomes floor(scale * x). Scores are exact:
 products are formed in floats only where the norms show that these hold them exactly, else in
@@ -38,10 +40,10 @@ from quarry.llm.common import ship, staged
 
 #: Lists at most, and sampled rows for each.
 LISTS, SAMPLE = 1024, 32
-#: Rows of a block, rows of a list that are packed by one task, and anchors of a block.
-BLOCK, PART, ANCHORS = 2048, 16_384, 1024
+#: Rows of a block, rows of a list that are packed by one task, rows of a cell, anchors of a group, and anchors scored at a time.
+BLOCK, PART, CELL, ANCHORS, STEP = 2048, 16_384, 65_536, 8192, 1024
 #: Lists visited in the first round; each later round goes on to ``WIDEN`` times as many.
-FIRST, WIDEN = 8, 8
+FIRST, WIDEN = 8, 128
 _MIN, _MAX = -(1 << 63), (1 << 63) - 1
 
 
@@ -118,53 +120,76 @@ def _windows(arrays, width: int, fill: int) -> np.ndarray:
     return out
 
 
-def _probes(centres: np.ndarray, radii: np.ndarray, first: int, last: int, k: int):
-    """Blocks of anchors for the lists they visit: (list, q, id, label, x, low, high), the kth scores in ``low``."""
+def _probes(centres: np.ndarray, radii: np.ndarray, cells: np.ndarray, first: int, last: int):
+    """Each anchor with the lists that it visits, as bits, and the cells that hold these."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in rows:
-            for at in range(0, len(whole), ANCHORS):
-                pdf = whole.iloc[at : at + ANCHORS]
+            for at in range(0, len(whole), STEP):
+                pdf = whole.iloc[at : at + STEP]
                 width = max(map(len, pdf["low"]))
                 a, low, high = _matrix(pdf["x"], centres.shape[1]), _windows(pdf["low"], width, _MAX), _windows(pdf["high"], width, _MIN)
-                kth = np.full(low.shape, _MIN)
-                for i, best in enumerate(pdf["best"]):
-                    for w in range(width):
-                        scores = [b["score"] for b in best if b["w"] == w] if best is not None else ()
-                        if len(scores) >= k:
-                            kth[i, w] = min(scores)
-                go = visits(a, centres, radii, low, high, kth, first, last)
-                low = np.maximum(low, kth)
-                q, own, label = (pdf[c].to_numpy(np.int64) for c in ("q", "id", "label"))
-                out = [(c, *(m[i].tobytes() for m in (q, own, label, a, low, high))) for c in np.flatnonzero(go.any(0)) for i in [go[:, c]]]
-                yield pd.DataFrame(out, columns=["list", "q", "own", "wanted", "a", "low", "high"])
+                go = visits(a, centres, radii, low, high, low, first, last)
+                into = go.astype(np.float32) @ cells > 0
+                yield pdf.assign(visits=[v.tobytes() for v in np.packbits(go, axis=1)], cells=[np.flatnonzero(v).astype(np.int32) for v in into])
 
     return run
 
 
-def _scored(size: int, k: int, same: bool):
-    """Of each pair of an anchors' block and a list's block, each anchor's best rows by window."""
+def _bits(blobs, lists: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1), axis=1, count=lists).astype(bool)
+
+
+def _asked(lists: int):
+    """(group, list): the lists that any anchor of a batch visits, by group."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for r in pdf.itertuples():
-                q, own, wanted = (np.frombuffer(v, np.int64) for v in (r.q, r.own, r.wanted))
-                low, high = (np.frombuffer(v, np.int64).reshape(len(q), -1) for v in (r.low, r.high))
-                ids, labels = np.frombuffer(r.ids, np.int64), np.frombuffer(r.labels, np.int64)
-                s = exact_products(np.frombuffer(r.a).reshape(-1, size), np.frombuffer(r.vectors, np.float32 if len(r.vectors) == 4 * size * len(ids) else np.float64).reshape(-1, size))
-                ok = (wanted[:, None] == labels) == same
-                ok &= (own[:, None] != ids) & (s >= low.min(1)[:, None]) & (s <= high.max(1)[:, None])
-                i, j = np.nonzero(ok)
-                s = s[i, j]
-                out = []
-                for w in range(low.shape[1]):
-                    fit = (s >= low[i, w]) & (s <= high[i, w])
-                    a, score, other = i[fit], s[fit], ids[j[fit]]
-                    order = np.lexsort((other, -score, a))
-                    a, score, other = a[order], score[order], other[order]
-                    top = np.arange(len(a)) - np.searchsorted(a, a) < k
-                    out.append(pd.DataFrame({"q": q[a[top]], "w": w, "score": score[top], "id": other[top]}))
-                yield pd.concat(out)
+            for group, p in pdf.groupby("group"):
+                any_of = np.zeros(lists, bool)
+                for at in range(0, len(p), STEP):
+                    any_of |= _bits(p["visits"].iloc[at : at + STEP], lists).any(0)
+                yield pd.DataFrame({"group": group, "list": np.flatnonzero(any_of)})
+
+    return run
+
+
+def _scored(size: int, k: int, same: bool, lists: int):
+    """Of the anchors of a group and the blocks of a cell, each anchor's best rows by window."""
+
+    def best(p: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        q, own, wanted = (p[c].to_numpy(np.int64) for c in ("q", "id", "label"))
+        width = max(map(len, p["low"]))
+        a, low, high, go = _matrix(p["x"], size), _windows(p["low"], width, _MAX), _windows(p["high"], width, _MIN), _bits(p["visits"], lists)
+        slot, score, other = (np.zeros(0, np.int64) for _ in range(3))
+        for r in blocks.itertuples():
+            at = np.flatnonzero(go[:, r.list])
+            if not len(at):
+                continue
+            ids, labels = np.frombuffer(r.ids, np.int64), np.frombuffer(r.labels, np.int64)
+            s = exact_products(a[at], np.frombuffer(r.vectors, np.float32 if len(r.vectors) == 4 * size * len(ids) else np.float64).reshape(-1, size))
+            i, j = np.nonzero(s >= low[at].min(1)[:, None])
+            s, i = s[i, j], at[i]
+            ok = ((wanted[i] == labels[j]) == same) & (own[i] != ids[j])
+            s, i, j = s[ok], i[ok], j[ok]
+            fits = [(s >= low[i, w]) & (s <= high[i, w]) for w in range(width)]
+            if not any(f.any() for f in fits):
+                continue
+            slot = np.concatenate([slot, *(i[f] * width + w for w, f in enumerate(fits))])
+            score, other = np.concatenate([score, *(s[f] for f in fits)]), np.concatenate([other, *(ids[j[f]] for f in fits)])
+            order = np.lexsort((other, ~score, slot))
+            slot, score, other = slot[order], score[order], other[order]
+            place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+            # rows of later blocks must reach the kth so far
+            full = place == k - 1
+            low[slot[full] // width, slot[full] % width] = score[full]
+            slot, score, other = (v[place < k] for v in (slot, score, other))
+        return pd.DataFrame({"q": q[slot // width], "w": slot % width, "score": score, "id": other})
+
+    def run(anchors: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(anchors) or not len(blocks):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("q", "w", "score", "id")})
+        return pd.concat([best(anchors.iloc[at : at + STEP], blocks) for at in range(0, len(anchors), STEP)])
 
     return run
 
@@ -188,32 +213,56 @@ class Lists:
 
         self.rows = staged(rows.mapInPandas(put, "list int, id long, label long, anchor boolean, x binary, far double"), "rows")
         each = self.rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
-        self.radii, parts = np.zeros(len(centres)), [1] * len(centres)
+        self.radii, n = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
         for r in each:
-            self.radii[r["list"]], parts[r["list"]] = r["far"], -(-r["n"] // PART)
+            self.radii[r["list"]], n[r["list"]] = r["far"], r["n"]
+        parts = np.maximum(1, -(-n // PART)).tolist()
+        # lists one after the other in cells of about CELL rows; a list's parts go round the cells that it reaches into
+        begin, end = (np.cumsum(n) - n) // CELL, np.maximum(0, np.cumsum(n) - 1) // CELL
+        end = np.maximum(begin, end)
+        self.cells = ((begin[:, None] <= np.arange(end.max() + 1)) & (np.arange(end.max() + 1) <= end[:, None])).astype(np.float32)
 
         def blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf, out = pdf.sort_values("id"), []
+            cell = begin[key[0]] + key[1] % (end[key[0]] - begin[key[0]] + 1)
             for at in range(0, len(pdf), BLOCK):
                 p = pdf.iloc[at : at + BLOCK]
                 x = _matrix(p["x"], size)
                 if np.abs(x).max(initial=0) < 1 << 24:
                     x = x.astype(np.float32)
-                out.append((key[0], p["id"].to_numpy().tobytes(), p["label"].to_numpy().tobytes(), x.tobytes()))
-            return pd.DataFrame(out, columns=["list", "ids", "labels", "vectors"])
+                out.append((key[0], cell, p["id"].to_numpy().tobytes(), p["label"].to_numpy().tobytes(), x.tobytes()))
+            return pd.DataFrame(out, columns=["list", "cell", "ids", "labels", "vectors"])
 
         part = F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, parts)), F.col("list") + 1))
-        self.blocks = staged(self.rows.groupBy("list", part.alias("part")).applyInPandas(blocks, "list int, ids binary, labels binary, vectors binary"), "lists")
+        self.blocks = staged(self.rows.groupBy("list", part.alias("part")).applyInPandas(blocks, "list int, cell int, ids binary, labels binary, vectors binary"), "lists")
+
+    def anchors(self) -> DataFrame:
+        """The rows that are anchors with a number q, in groups of about ``ANCHORS`` that lie in neighbouring lists."""
+        asked = staged(self.rows.where("anchor").select("list", "id", "label", "x").withColumn("q", F.monotonically_increasing_id()), "anchors")
+        n = np.zeros(len(self.centres), np.int64)
+        for r in asked.groupBy("list").count().collect():
+            n[r["list"]] = r["count"]
+        of = lambda v: F.element_at(F.array(*map(F.lit, v.tolist())), F.col("list") + 1)
+        place = of(np.cumsum(n) - n) + F.pmod(F.xxhash64("q"), of(np.maximum(n, 1)))
+        return asked.select("q", "id", "label", "x", F.floor(place / ANCHORS).cast("int").alias("group"))
 
     def best(self, queries: DataFrame, k: int, same: bool) -> DataFrame:
-        """(q, w, score, id) of the best ``k`` rows in each window of each query (q, id, label, x, low, high); of its label, or of others."""
+        """(q, w, score, id) of the best ``k`` rows in each window of each query (q, group, id, label, x, low, high); of its label, or of others."""
         best = self.spark.createDataFrame([], "q long, w int, score long, id long")
         rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("score"), "id"))
+        fields = "q long, group int, id long, label long, x binary, low array<long>, high array<long>, visits binary, cells array<int>"
         first, last = 0, FIRST
         while first < len(self.centres):
-            so_far = best.groupBy("q").agg(F.collect_list(F.struct("w", "score")).alias("best"))
-            probes = queries.join(so_far, "q", "left").mapInPandas(_probes(self.centres, self.radii, first, last, k), "list int, q binary, own binary, wanted binary, a binary, low binary, high binary")
-            found = probes.join(self.blocks, "list").drop("list").mapInPandas(_scored(self.size, k, same), "q long, w int, score long, id long")
+            kth = best.groupBy("q", "w").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+            kth = kth.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kth"))
+            low = F.transform("low", lambda x, w: F.greatest(x, F.try_element_at("kth", w)))
+            told = queries.join(kth, "q", "left").select("q", "group", "id", "label", "x", low.alias("low"), "high")
+            probes = staged(told.mapInPandas(_probes(self.centres, self.radii, self.cells, first, last), fields), "probes")
+            # at most LISTS rows for each group of anchors
+            asked = probes.mapInPandas(_asked(len(self.centres)), "group int, list int").distinct()
+            blocks = self.blocks.join(F.broadcast(asked), "list").groupBy("group", "cell")
+            sent = probes.withColumn("cell", F.explode("cells")).drop("cells").groupBy("group", "cell")
+            found = sent.cogroup(blocks).applyInPandas(_scored(self.size, k, same, len(self.centres)), "q long, w int, score long, id long")
             best = staged(found.unionByName(best).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
             first, last = last, last * WIDEN
         return best
@@ -234,7 +283,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, id: str = "id", label: str
     valid = staged(valid.dropDuplicates(["id", "label", "vector"]), "vectors")
     n, size = valid.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     lists = Lists(valid, max(size or 0, 1), max(1, min(LISTS, round(math.sqrt(n) / 2))), scale)
-    asked = staged(lists.rows.where("anchor").select("id", "label", "x").withColumn("q", F.monotonically_increasing_id()), "anchors")
+    asked = lists.anchors()
     free = asked.withColumn("low", F.array(F.lit(_MIN))).withColumn("high", F.array(F.lit(_MAX)))
     near = lists.best(free, positives, True)
     # a negative score has no row between its shares: its window is empty
@@ -242,7 +291,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, id: str = "id", label: str
     most = F.expr(f"({high} * CAST(score AS DECIMAL(20))) div 100")
     near = near.where("score >= 0").groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("id").alias("pid"), "score", least.alias("low"), most.alias("high")))).alias("near"))
     asked = staged(asked.join(near, "q"), "windows")
-    far = lists.best(asked.select("q", "id", "label", "x", F.col("near.low").alias("low"), F.col("near.high").alias("high")), negatives, False)
+    far = lists.best(asked.select("q", "group", "id", "label", "x", F.col("near.low").alias("low"), F.col("near.high").alias("high")), negatives, False)
     rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("score"), "id"))
     out = far.select("q", "w", rank.alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(asked.select("q", F.col("id").alias("anchor_id"), "near"), "q")
     own = F.get("near", F.col("w"))

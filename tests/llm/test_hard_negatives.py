@@ -96,3 +96,23 @@ def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
     rows = [(i, (l + 1) % 10 if i % 7 == 0 and l is not None else l, v) for i, l, v in rows]
     assert sorted(tuple(r) for r in hn.op13_hard_negatives(spark, d).collect()) == brute(rows, lambda i: i % 100 == 0)
+
+
+@pytest.mark.parametrize("sizes", [{"CELL": 60, "ANCHORS": 20, "STEP": 6}, {"CELL": 16, "PART": 10, "BLOCK": 4, "ANCHORS": 9, "FIRST": 1, "WIDEN": 3}])
+def test_groups_of_anchors_and_cells_of_rows(spark, monkeypatch, sizes):
+    for name, v in sizes.items():
+        monkeypatch.setattr(hn, name, v)
+    # noise without clusters, and a list of equal rows that spans many cells
+    rows = clustered(5, 400, spread=2.0) + [(1000 + i, i % 3, [1.0, 0.5, 0.0, 0.25, -1.0, 2.0]) for i in range(150)]
+    assert mined(spark, rows) == brute(rows, lambda i: i % 10 == 0)
+
+
+def test_anchors_are_sent_by_cell_and_never_broadcast(spark, monkeypatch):
+    """Copies of anchors, one for each list visited, were broadcast by the size of what they are made from."""
+    plans = []
+    monkeypatch.setattr(hn, "staged", lambda df, label, f=hn.staged: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if label == "best" else None) or f(df, label))
+    mined(spark, clustered(6, 300))
+    assert plans and all("CoGroup" in p and not any("x#" in line or "vectors#" in line for line in p.splitlines() if "BroadcastExchange" in line) for p in plans)
+    for p in plans:
+        # what is broadcast are pairs of a group and a list
+        assert p.count("BroadcastExchange") <= 1
