@@ -28,13 +28,15 @@ def geo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e(n, "n", "n_nationkey", "r", "n_regionkey").unionByName(e(s, "s", "s_suppkey", "n", "s_nationkey"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, touching: str | None = None) -> DataFrame:
+    """All edges; with ``touching``, those of the relations that have ends of this node type: no other edge meets such a node."""
     c, l, o = (load(spark, sf_dir, t) for t in ("customer", "lineitem", "orders"))
     at = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"), F.lit("located_in").alias("rel"))
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")
     sup = l.select("l_suppkey", "l_partkey").distinct().select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), part, F.lit("supplies").alias("rel"))
     ordered = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct().select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), part, F.lit("ordered").alias("rel"))
-    return geo_edges(spark, sf_dir).unionByName(at).unionByName(sup).unionByName(ordered)
+    ends = ((geo_edges(spark, sf_dir), ("region", "nation", "supplier")), (at, ("customer", "nation")), (sup, ("supplier", "part")), (ordered, ("customer", "part")))
+    return reduce(DataFrame.unionByName, (e for e, types in ends if touching in (None, *types)))
 
 
 def both_ways(e: DataFrame) -> DataFrame:
