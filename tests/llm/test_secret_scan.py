@@ -124,6 +124,51 @@ def test_without_ordinary_text_nothing_is_reported(spark):
     assert secrets.scan(docs.where("doc_id > 5")).count() == 0
 
 
+def test_ordinary_text_is_that_of_every_text(spark):
+    # no text with a key has prose; before, windows came from those alone, so nothing was reported
+    key = "q8Zr2LxV0bT7nKdY4mWcE1sHfJ6uPgA9"
+    texts = [key, *(prose(300) for _ in range(20)), f"{key[::-1]} {prose(2)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x.doc_id: [(s.start, s.end, s.kind) for s in x.secrets["all"]] for x in secrets.scan(docs).collect()}
+    assert found.pop(0) == [(0, 32, "rand")] and found.pop(21) == [(0, 32, "rand")] and not any(found.values())
+
+
+def test_windows_in_turn_and_their_steps(spark):
+    # all encodings and classes of several sizes; random symbols among prose, so that steps of all heights occur
+    needed = {e: [0, 1, 3] for e in range(5)}
+    texts = [" ".join(prose(30) if r.random() < 0.5 else "".join(r.choices(ABC[r.choice((0, 1, 3))], k=15)) for _ in range(20)) for _ in range(6)]
+    want = []
+    for t in texts:
+        for e in needed:
+            s = "".join(c for c in (t.lower() if e in (0, 2) else t.upper() if e == 1 else t) if c in ABC[e])
+            sizes, at, i = [(c, math.ceil(20 * 2 ** (c / 2))) for c in needed[e]], 0, 0
+            while at + sizes[i % 3][1] <= len(s):
+                c, n = sizes[i % 3]
+                want.append((e, c, step_of(p_of(e, s[at : at + n], s[at : at + n]))))
+                at, i = at + n, i + 1
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    steps = lambda most: sorted(map(tuple, secrets.window_steps(df, secrets.ordinary(F.col("t"), None, needed), needed, dict.fromkeys(needed, most)).collect()))
+    whole = steps(120)
+    # tiny p-values are approximate
+    clipped = lambda rows: sorted((e, c, min(s, 40)) for e, c, s in rows)
+    assert clipped(whole) == clipped(want) and len({s for *_, s in whole}) > 20
+    for most in (0, 5, 17, 40):
+        assert steps(most) == sorted((e, c, s if s <= most else secrets.ABOVE) for e, c, s in whole)
+
+
+def test_steps_guessed_too_low_are_counted_again():
+    runs, few = [(3, 0, 30, 1)], [(3, 0, 10, 50), (3, 0, 60, 50)]
+    asked = []
+
+    def others(kinds, most):
+        asked.append((kinds, most))
+        return [(3, 0, s if s <= most[3] else secrets.ABOVE, n) for s, n in ((20, 900), (90, 100))]
+
+    assert secrets._with_others(runs, few, others, {3: [0]}, 0.05) == [*few, (3, 0, 20, 900), (3, 0, secrets.ABOVE, 100)]
+    # of all windows fewer than one in twenty reach the guess, so the run might be reported: counted to its own step
+    assert asked == [({3: [0]}, {3: 10}), ({3: [0]}, {3: 30})]
+
+
 def test_a_hundred_thousand_matches_in_one_text(spark):
     n = 100_000
     docs = spark.createDataFrame([(1, "é password: hunter22\n" * n)], "doc_id long, text string")
