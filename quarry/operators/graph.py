@@ -39,6 +39,19 @@ def edges(spark: SparkSession, sf_dir: str, touching: str | None = None) -> Data
     return reduce(DataFrame.unionByName, (e for e, types in ends if touching in (None, *types)))
 
 
+def an_edge_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges among which every node that has any has one.
+
+    Nations, suppliers and customers have their place; a part has one of its suppliers. What
+    customers ordered leads to no other node: its ends are customers and parts of the same lines.
+    """
+    l = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    part = l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("supplies").alias("rel"))
+    c = load(spark, sf_dir, "customer")
+    at = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"), F.lit("located_in").alias("rel"))
+    return geo_edges(spark, sf_dir).unionByName(at).unionByName(part)
+
+
 def both_ways(e: DataFrame) -> DataFrame:
     """Each edge in its two orientations: src, dst, rel. A union, so that joins stay equi-joins."""
     return e.select("src", "dst", "rel").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
