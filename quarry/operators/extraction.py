@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,7 +25,7 @@ def term_variants(term: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys((term, f"{term}s", f"{term}es", term.replace("-", " "), term.replace(" ", "-"))))
 
 
-def _roots(category: str) -> list[str]:
+def shortest_variants(category: str) -> list[str]:
     """The variants of a category's terms that hold no other: a text that holds any variant holds one of these."""
     known = list(dict.fromkeys(v for w in fixed.TERMS[category] for v in term_variants(w)))
     return [v for v in known if not any(o != v and o in v for o in known)]
@@ -38,7 +37,7 @@ def technical_terms(text: Column) -> Column:
     The text is searched for the shortest variants once; longer ones are only looked for where what they hold is there.
     """
     words = list(dict.fromkeys((c, v) for c, terms in fixed.TERMS.items() for w in terms for v in term_variants(w)))
-    roots = list(dict.fromkeys(r for c in fixed.TERMS for r in _roots(c)))
+    roots = list(dict.fromkeys(r for c in fixed.TERMS for r in shortest_variants(c)))
 
     def found(t: Column, there: Column) -> Column:
         def hit(c: str, v: str) -> Column:
@@ -50,16 +49,6 @@ def technical_terms(text: Column) -> Column:
     return bound(F.lower(text), lambda t: bound(F.array(*(t.contains(r) for r in roots)), lambda there: found(t, there)))
 
 
-def term_categories(text: Column) -> Column:
-    """The categories of which the lower-cased text holds a term."""
-
-    def hits(t: Column) -> Column:
-        any_root = lambda c: reduce(lambda a, b: a | b, (t.contains(r) for r in _roots(c)))
-        return F.filter(F.array(*(F.when(any_root(c), F.lit(c)) for c in fixed.TERMS)), lambda x: x.isNotNull())
-
-    return bound(F.lower(text), hits)
-
-
 def all_matches(text: Column, patterns: tuple[str, ...]) -> Column:
     """What each pattern matches in the lower-cased text: its first group if it has one, else the match; in order of patterns."""
     found = [F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1 if re.compile(p).groups else 0)) for p in patterns]
