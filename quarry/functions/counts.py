@@ -118,3 +118,26 @@ def text_counts(text: Column, terms: dict[str, list[str]]) -> Column:
 
     kind = pa.struct([*((n, pa.int32()) for n in "swyl"), ("categories", pa.list_(pa.string()))])
     return F.arrow_udf(run, "struct<s:int,w:int,y:int,l:int,categories:array<string>>")(text)
+
+
+def top_word_hits(text: Column, k: int, stop: tuple[str, ...], least: int = 3) -> Column:
+    """struct<words, hits> of a text: its words between white space, and how often its ``k`` most frequent alphabetic words of ``least`` letters or more, less ``stop`` (ties: first in order), occur in the lower-cased text, also within others."""
+    pattern, less = b"[a-z]{%d,}" % least, frozenset(w.encode() for w in stop)
+    slices, lower = _slices(), _lower()
+
+    def run(a: pa.Array) -> pa.Array:
+        import re
+        from collections import Counter
+        from heapq import nsmallest
+
+        each = re.compile(pattern)
+
+        def hits(t: bytes) -> int:
+            t = lower(t)
+            n = Counter(each.findall(t))
+            return sum(t.count(w) for _, w in nsmallest(k, ((-c, w) for w, c in n.items() if w not in less)))
+
+        rows = [None if t is None else {"words": len(t.split()), "hits": hits(t)} for texts in slices(a) for t in texts]
+        return pa.array(rows, pa.struct([("words", pa.int32()), ("hits", pa.int32())]))
+
+    return F.arrow_udf(run, "struct<words:int,hits:int>")(text)
