@@ -160,17 +160,18 @@ def removed_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, nu
     x = x.select("cid", "b1", "b2", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.coalesce(F.col("done"), F.lit(False)).cast("long")).alias("m"), F.posexplode("prefix").alias("p", "word"))
     # size, position and whether it is removed already, in one number
     x = x.select("word", "cid", F.col("m").bitwiseOR(F.shiftleft(F.col("p").cast("long"), 1)).alias("m"), "b1", "b2")
-    r = x.select("word", *(F.col(c).alias(f"{c}x") for c in ("cid", "m", "b1", "b2")))
+    # both are renamed: a shuffle is read twice only if its two plans are alike, and a column isn't like a renamed one
+    x, r = (x.select("word", *(F.col(c).alias(f"{c}{side}") for c in ("cid", "m", "b1", "b2"))) for side in ("y", "x"))
     size = lambda m: F.shiftright(m, 32).cast("int")
     at = lambda m: F.shiftright(m, 1).bitwiseAND(0x7FFFFFFF).cast("int")
-    m, mx = F.col("m"), F.col("mx")
+    m, mx = F.col("my"), F.col("mx")
     n, nx = size(m), size(mx)
     # within a pair, some common word has no more words before it than either set can miss
     most = F.least(n - at(m), nx - at(mx))
-    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b1x"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b2x")))
-    ok = (F.col("cid") < F.col("cidx")) & (den * n >= num * nx) & (den * nx >= num * n) & (most * (num + den) >= num * (n + nx))
+    apart = F.bit_count(F.col("b1y").bitwiseXOR(F.col("b1x"))) + F.bit_count(F.col("b2y").bitwiseXOR(F.col("b2x")))
+    ok = (F.col("cidy") < F.col("cidx")) & (den * n >= num * nx) & (den * nx >= num * n) & (most * (num + den) >= num * (n + nx))
     ok &= (apart * (den + num) <= (den - num) * (n + nx)) & (m.bitwiseAND(mx).bitwiseAND(1) == 0)
-    rest = staged(x.join(r, "word").where(ok).select(F.col("cid").alias("a"), F.col("cidx").alias("b"), m.bitwiseAND(1).alias("da"), mx.bitwiseAND(1).alias("db")).distinct(), "pairs")
+    rest = staged(x.join(r, "word").where(ok).select(F.col("cidy").alias("a"), F.col("cidx").alias("b"), m.bitwiseAND(1).alias("da"), mx.bitwiseAND(1).alias("db")).distinct(), "pairs")
     release(docs.sparkSession)
     place = classes.select("cid", "at")
     found = rest.join(place.select(F.col("cid").alias("a"), F.col("at").alias("ata")), "a").join(place.select(F.col("cid").alias("b"), F.col("at").alias("atb")), "b")
