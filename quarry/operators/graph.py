@@ -274,8 +274,13 @@ def triangles(e: DataFrame) -> DataFrame:
 
 def clustering(e: DataFrame, n: DataFrame) -> DataFrame:
     """id, coefficient: the share of pairs of a node's neighbours that are joined; 0 for nodes with fewer than two."""
+    return coefficients(triangles(e), n)
+
+
+def coefficients(t: DataFrame, n: DataFrame) -> DataFrame:
+    """id, coefficient of every node of ``n``, from the degrees and triangles ``t`` of nodes."""
     pairs = F.col("degree") * (F.col("degree") - 1) / 2
-    t = triangles(e).select("id", F.when(F.col("degree") > 1, F.col("triangles") / pairs).otherwise(0.0).alias("coefficient"))
+    t = t.select("id", F.when(F.col("degree") > 1, F.col("triangles") / pairs).otherwise(0.0).alias("coefficient"))
     return n.select("id").join(t, "id", "left").select("id", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
 
 
