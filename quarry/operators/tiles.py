@@ -18,8 +18,8 @@ if TYPE_CHECKING:
 
 #: Nodes of a block (a tile has a bit for each two nodes of two blocks), least blocks, rows of a tile that are stored together.
 SIDE, BLOCKS, STRIP = 10_000, 4, 512
-#: Members that are cut into pieces together, and pairs that are set at once.
-MEMBERS, PAIRS = 1 << 17, 1 << 21
+#: Members that are cut into pieces together, pairs that are set at once, and pairs from which a group is set by itself.
+MEMBERS, PAIRS, LARGE = 1 << 17, 1 << 21, 1 << 12
 
 _PIECE, _STRIP = "tile long, data binary", "x int, y int, at int, dense boolean, data binary"
 
@@ -73,8 +73,15 @@ def _set(tile: np.ndarray, data: bytes) -> None:
     n, m = (int(x) for x in np.frombuffer(data, np.uint32, 2))
     gx, gy = np.frombuffer(data, np.uint32, n, 8), np.frombuffer(data, np.uint32, m, 8 + 4 * n)
     px, py = np.frombuffer(data, np.uint16, n, 8 + 4 * (n + m)), np.frombuffer(data, np.uint16, m, 8 + 4 * (n + m) + 2 * n)
-    first, many = np.searchsorted(gy, gx), np.searchsorted(gy, gx, "right")
-    many = many - first
+    groups, fx, nx = np.unique(gx, return_index=True, return_counts=True)
+    _, fy, ny = np.unique(gy, return_index=True, return_counts=True)
+    large = nx * ny >= LARGE
+    for i, k, j, m in zip(fx[large], nx[large], fy[large], ny[large], strict=True):
+        tile[np.ix_(px[i : i + k], py[j : j + m])] = True
+    rest = np.isin(gx, groups[~large])
+    gx, px, n = gx[rest], px[rest], int(rest.sum())
+    first = np.searchsorted(gy, gx)
+    many = np.searchsorted(gy, gx, "right") - first
     for at in np.split(np.arange(n), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
         k = many[at]
         col = np.repeat(first[at] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))

@@ -32,12 +32,13 @@ def test_no_groups(spark):
     assert T.triangles_of_groups(spark.createDataFrame([], "group long, id string")).collect() == []
 
 
-def test_groups_over_several_batches(monkeypatch):
-    """A group that goes on after a batch is cut as a whole, and pairs are set in parts."""
+@pytest.mark.parametrize("large", [1, 40, 1 << 12])
+def test_groups_over_several_batches(monkeypatch, large):
+    """A group that goes on after a batch is cut as a whole, and pairs are set in parts or by large groups."""
     import pyarrow as pa
 
     monkeypatch.setattr(T, "MEMBERS", 7)
-    monkeypatch.setattr(T, "PAIRS", 5)
+    monkeypatch.setattr(T, "PAIRS", 5), monkeypatch.setattr(T, "LARGE", large)
     rng, side, t = np.random.default_rng(1), 512, 2
     group = np.sort(rng.integers(0, 9, 120))
     code = rng.integers(0, 2 * 40, 120)
